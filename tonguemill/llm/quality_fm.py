@@ -8,9 +8,10 @@ of a few structure statistics; its ``lang``, ``source`` and length class. The sc
 where the bracket gives all pairwise interactions <v_i, v_j> in time linear in
 the features. Trained on ``labels``: a document is to be kept if its quality is 1
 and it is not toxic. Training uses at most :data:`TRAIN_ROWS` labelled documents,
-those whose hash is smallest, in mini-batches of Adam with a sparse penalty; only
-features seen in :data:`MIN_DF` of them get weights. The scan that scores is one
-pass without shuffle; the weights (about 5 MB, fixed by DIM and RANK) are broadcast.
+those whose hash is smallest, in mini-batches of Adam. Labels are noisy and most
+words are rare, so only features that pass a score test get weights (MIN_DF and
+SCREEN_Z). The scan that scores is one pass without shuffle; the weights (about
+5 MB, fixed by LOG_DIM and RANK) are broadcast.
 
 Nulls and odd input: a null text counts as empty (no words; its statistics are
 those of an empty text); a null lang or source is a value of its own; equal rows
@@ -33,7 +34,10 @@ from .tables import session_of, table
 
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_ROWS = 20_000
-LOG_DIM, RANK, EPOCHS, BATCH, MIN_DF = 17, 4, 6, 256, 5
+LOG_DIM, RANK, EPOCHS, BATCH, L2 = 18, 4, 6, 256, 3e-4
+#: Features get weights if at least so many training documents have them and their
+#: share of kept documents is so many standard errors off the average.
+MIN_DF, SCREEN_Z = 5, 4.0
 THRESHOLD = 0.5
 _SEED = 7
 
@@ -116,11 +120,22 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = _SEED) -> Model:
     empty = Model(0.0, np.zeros(dim), np.zeros((dim, RANK)), np.zeros(dim, bool))
     if len(y) == 0:
         return empty
+    if y.min() == y.max():
+        empty.w0 = 40.0
+        return empty
+    alike: dict[bytes, list[int]] = {}
+    for i, r in enumerate(rows):  # copies of a document count as one, by majority
+        alike.setdefault(r[0].tobytes(), []).append(i)
+    rows = [(rows[i[0]][0], int(2 * y[i].sum() >= len(i))) for i in alike.values()]
+    y = np.array([r[1] for r in rows], float)
     if y.min() == y.max():
         empty.w0 = 40.0
         return empty
     df = np.bincount(np.concatenate([r[0] for r in rows]), minlength=dim)
-    active = df >= min(MIN_DF, max(1, len(y) // 20))
+    good = np.bincount(np.concatenate([r[0] for r in rows]), weights=np.repeat(y, [len(r[0]) for r in rows]), minlength=dim)
+    rate = y.mean()
+    z = (good - df * rate) / np.sqrt(np.maximum(df * (1 - df / len(y)), 1e-9) * rate * (1 - rate))
+    active = (df >= min(MIN_DF, max(1, len(y) // 20))) & (np.abs(z) >= SCREEN_Z)
     ids = np.full(dim, -1)
     ids[active] = np.arange(active.sum())
     xs = [ids[r[0][active[r[0]]]] for r in rows]
@@ -130,7 +145,7 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = _SEED) -> Model:
     p[:, 1:] = rng.normal(0, 0.01, (m, RANK))
     w0 = 0.0
     mom, var = np.zeros_like(p), np.zeros_like(p)
-    b0 = np.zeros(2)
+    b0 = 0.0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     step, epochs = 0, max(EPOCHS, min(60, 60_000 // len(y)))
     total = epochs * -(-len(y) // BATCH)
@@ -152,15 +167,13 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = _SEED) -> Model:
             grad[:, 1:] = g[doc, None] * (sums[doc, 1:] - q[:, 1:])
             used, back = np.unique(x, return_inverse=True)
             total_g = np.stack([np.bincount(back, weights=grad[:, f]) for f in range(RANK + 1)], 1)
-            total_g += 1e-5 * p[used]
+            total_g += L2 * p[used]
             lr = 0.05 * (1 - (step - 1) / total)
             mom[used] = 0.9 * mom[used] + 0.1 * total_g
             var[used] = 0.99 * var[used] + 0.01 * total_g**2
             p[used] -= lr * (mom[used] / (1 - 0.9 ** min(step, 500))) / (np.sqrt(var[used] / (1 - 0.99 ** min(step, 5000))) + 1e-6)
-            shrink = lr * 2e-3
-            p[used, 0] = np.sign(p[used, 0]) * np.maximum(np.abs(p[used, 0]) - shrink * 0.2, 0)
-            b0 = 0.9 * b0 + 0.1 * np.array([g.sum(), 0])
-            w0 -= lr * b0[0]
+            b0 = 0.9 * b0 + 0.1 * g.sum()
+            w0 -= lr * b0
     w, v = np.zeros(dim), np.zeros((dim, RANK))
     w[active], v[active] = p[:, 0], p[:, 1:]
     return Model(w0, w, v, active)

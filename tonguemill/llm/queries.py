@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_fm, sharding, syncmers
+from . import license_scan, quality_fm, sharding, syncmers
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": license_scan.query,
         "op4_sharding": sharding.query,
         "op5_quality_classifier": quality_fm.query,
         "op10_document_fingerprints": syncmers.query,
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_document_fingerprints": syncmers.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op10_document_fingerprints": syncmers.SQL}

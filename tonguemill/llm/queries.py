@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, quality_fm, sharding, syncmers
+from . import decontaminate, license_scan, pii_crf, quality_fm, sharding, syncmers
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
         "op2_decontamination": decontaminate.query,
+        "op3_pii": pii_crf.query,
         "op4_sharding": sharding.query,
         "op5_quality_classifier": quality_fm.query,
         "op10_document_fingerprints": syncmers.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, pii_crf, quality_fm, sharding, syncmers
+from . import chat_format, decontaminate, license_scan, pii_crf, quality_fm, sharding, syncmers
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op3_pii": pii_crf.query,
         "op4_sharding": sharding.query,
         "op5_quality_classifier": quality_fm.query,
+        "op9_chat_formatting": chat_format.query,
         "op10_document_fingerprints": syncmers.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.SQL, "op10_document_fingerprints": syncmers.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op9_chat_formatting": chat_format.SQL, "op10_document_fingerprints": syncmers.SQL}

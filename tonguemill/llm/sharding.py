@@ -109,7 +109,7 @@ def uniform_shards(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed:
     spark = session_of(docs)
     docs = docs.drop("shard", "pos")
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    if any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Scan Existing", "InMemory", "Union")) or "FileScan" not in plan:
+    if any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Scan Existing", "InMemoryTableScan", "Union")) or "FileScan" not in plan:
         docs = written(docs, "shard-input")
     found = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.zeros(max((r.p for r in found), default=-1) + 1, np.int64)

@@ -225,7 +225,7 @@ def scorer(docs: DataFrame, model: Model):
                     out.append(m.probability(*features(b.column(0), b.column(1), b.column(2))))
                 yield pa.array(np.concatenate(out))
 
-    return score(*_columns(docs))
+    return score.asNondeterministic()(*_columns(docs))  # else it is run again for the filter
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, pii_crf, quality_fm, sharding, syncmers
+from . import chat_format, decontaminate, license_scan, pii_crf, quality_fm, sharding, simhash_trie, syncmers
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pii": pii_crf.query,
         "op4_sharding": sharding.query,
         "op5_quality_classifier": quality_fm.query,
+        "op8_simhash_near_dedup": simhash_trie.query,
         "op9_chat_formatting": chat_format.query,
         "op10_document_fingerprints": syncmers.query,
     }

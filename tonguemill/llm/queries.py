@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, pii_crf, quality_fm, sharding, simhash_trie, syncmers
+from . import chat_format, decontaminate, license_scan, mixing, pii_crf, quality_fm, sharding, simhash_trie, syncmers
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pii": pii_crf.query,
         "op4_sharding": sharding.query,
         "op5_quality_classifier": quality_fm.query,
+        "op6_mixing": mixing.query,
         "op8_simhash_near_dedup": simhash_trie.query,
         "op9_chat_formatting": chat_format.query,
         "op10_document_fingerprints": syncmers.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.SQL, "op9_chat_formatting": chat_format.SQL, "op10_document_fingerprints": syncmers.SQL}
+    return {"op1_license_scan": license_scan.SQL, "op6_mixing": mixing.SQL, "op9_chat_formatting": chat_format.SQL, "op10_document_fingerprints": syncmers.SQL}

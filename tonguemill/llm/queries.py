@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, mixing, pii_crf, quality_fm, sharding, simhash_trie, syncmers
+from . import chat_format, decontaminate, license_scan, mixing, paragraph_dedup, pii_crf, quality_fm, sharding, simhash_trie, syncmers
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_sharding": sharding.query,
         "op5_quality_classifier": quality_fm.query,
         "op6_mixing": mixing.query,
+        "op7_paragraph_dedup": paragraph_dedup.query,
         "op8_simhash_near_dedup": simhash_trie.query,
         "op9_chat_formatting": chat_format.query,
         "op10_document_fingerprints": syncmers.query,

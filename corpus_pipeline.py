@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, shards of clean mixed documents out."""
+"""The corpus pipeline: documents in, shards of clean and mixed documents out.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result
+is written as Parquet and read again as the next one's docs. All but the last return the columns of
+``documents``; the last adds ``shard`` and ``pos``.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonguemill.llm import quality_fm, sharding
+from tonguemill.llm import decontaminate, mixing, quality_fm, sharding, simhash_trie
 from tonguemill.llm.tables import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,26 +19,40 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine rejects go."""
-    model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
-    return quality_fm.keep(docs, model).select(*COLUMNS)
+    return quality_fm.keep(docs, quality_fm.train(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash_trie.without_near_copies(docs).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an exact phrase or a proximity match of a test item go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document is there once for each block that takes it."""
+    return mixing.mix(docs).select(*COLUMNS)
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A uniform shuffle into shards of exact size."""
     return sharding.uniform_shards(docs)
 
 
-STAGES = [("quality", quality), ("shard", shard)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("mix", mixed), ("shard", shards)]
 
-#: No SQL: a model is trained on the way. tests/llm holds the stages against brute force.
+#: No SQL: the first stage trains a model, and the last draws random numbers that SQL
+#: hasn't got. tests/llm holds run() and its stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         at = f"{shared_dir(spark)}/pipeline-{k}-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(at)
+        stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return docs

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,16 +168,16 @@ def token_ids(df: DataFrame, m: Model, column: str = "text", k: int | None = Non
 
 def table_frame(spark: SparkSession, m: Model) -> DataFrame:
     """The doubled table as rows (id, w)."""
-    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(2 * len(m.p)), pa.int32()), "w": pa.array(list(m.doubled().astype(np.float64)), pa.list_(pa.float64()))}).to_pandas(), "id int, w array<double>")
+    return spark.createDataFrame([(i, w) for i, w in enumerate(m.doubled().astype(float).tolist())], "id int, w array<double>")
 
 
 def scores_by_join(df: DataFrame, m: Model, key: str, column: str = "text") -> DataFrame:
     """(key, n_tokens, sums) by joining counted ids with the table: the relational
     form of scoring, with partial aggregation before the shuffle."""
-    counted = token_ids(df.select(key, column), m, column).select(key, F.explode("ids").alias("id")).groupBy(key, "id").agg(F.count(F.lit(1)).alias("c"))
+    counted = token_ids(df.select(F.col(key).alias("__key"), F.col(column).alias("text")), m).select("__key", F.explode("ids").alias("id")).groupBy("__key", "id").agg(F.count(F.lit(1)).alias("c"))
     joined = counted.join(table_frame(df.sparkSession, m), "id")
     n = len(m.languages)
-    return joined.groupBy(key).agg(F.sum("c").alias("n_tokens"), F.array(*[F.sum(F.col("c") * F.col("w")[i]) for i in range(n)]).alias("sums"))
+    return joined.groupBy(F.col("__key").alias(key)).agg(F.sum("c").alias("n_tokens"), F.array(*[F.sum(F.col("c") * F.col("w")[i]) for i in range(n)]).alias("sums"))
 
 
 def detection_line(lang: Column, confidence: Column, uncertain: Column, as_json: bool = False) -> Column:
@@ -191,8 +192,6 @@ def detection_line(lang: Column, confidence: Column, uncertain: Column, as_json:
 def register(spark: SparkSession, m: Model | None = None) -> None:
     """SQL functions: route_script, classify_word, token_keys, feature_buckets, and
     detect_language where a model is given."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def route_script(t: pd.Series) -> pd.Series:
         from ..functions.scripts import route

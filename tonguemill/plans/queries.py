@@ -509,7 +509,7 @@ def certified(spark, sf_dir):
 WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM e),
 q AS (SELECT id, v, CASE WHEN s = 0 THEN 1.0 ELSE s END AS s FROM s),
 r AS (SELECT id, v, s, list_transform(v, lambda x: CASE WHEN abs(x / s - floor(x / s) - 0.5) < 1e-12 THEN 2 * round(x / s / 2) ELSE round(x / s) END::INTEGER) AS q FROM q)
-SELECT id, q, round(s, 9) AS scale, round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(q[i] * s - v[i]))), 9) AS max_error, len(list_filter(q, lambda x: x = 0)) AS zeros FROM r""")
+SELECT id, array_to_string(q, ',') AS q, round(s, 9) AS scale, round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(q[i] * s - v[i]))), 9) AS max_error, len(list_filter(q, lambda x: x = 0)) AS zeros FROM r""")
 def quantize_rows(spark, sf_dir):
     """Vectors stored as 8-bit integers with a scale each, and what that costs."""
     e = _t(spark, sf_dir, "embeddings")
@@ -520,7 +520,7 @@ def quantize_rows(spark, sf_dir):
     q = F.transform("v", lambda x: F.rint(x / F.col("s")).cast("int"))
     d = e.select(F.col(key).alias("id"), v.alias("v")).withColumn("s", s).withColumn("s", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).withColumn("q", q)
     err = F.array_max(F.zip_with("q", "v", lambda a, b: F.abs(a * F.col("s") - b)))
-    return d.select("id", "q", F.round("s", 9).alias("scale"), F.round(err, 9).alias("max_error"), F.size(F.filter("q", lambda x: x == 0)).cast("bigint").alias("zeros"))
+    return d.select("id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"), F.round("s", 9).alias("scale"), F.round(err, 9).alias("max_error"), F.size(F.filter("q", lambda x: x == 0)).cast("bigint").alias("zeros"))
 
 
 # --- models -----------------------------------------------------------------------

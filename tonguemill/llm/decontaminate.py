@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .tables import session_of, table, written
+from .tables import sent_if_small, session_of, table, written
 
 PHRASE, LEAST = 8, 4
 WINDOW, STRIDE, RARE, SLOP, NEED, MARGIN = 24, 8, 12, 3, 0.5, 9.0
@@ -300,6 +300,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` with no match of any kind, columns as they are."""
     bad = matches(docs, benchmark).select(F.col("row_key").alias("__tm_key")).distinct()
+    bad = sent_if_small(written(bad, "contaminated"))
     return docs.withColumn("__tm_key", row_key()).join(bad, "__tm_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

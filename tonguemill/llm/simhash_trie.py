@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .components import connected_components
-from .tables import session_of, table, written
+from .tables import sent_if_small, session_of, table, written
 
 BUDGET, RATIO = 19, 0.8
 WORDS, BLOCKS = 4, ((0, 7), (7, 13), (13, 19), (19, 26), (26, 32))
@@ -277,11 +277,16 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
     g = g.withColumn("__tm_key", F.xxhash64("doc_id", "text_key")).join(best, "group")
     # rows of one key are equal in id and text: they stay or go together, but for one
-    marked = g.groupBy("__tm_key").agg(F.max(F.when(_rank() == F.col("best"), 1).otherwise(0)).alias("__tm_stay"), F.count(F.lit(1)).alias("__tm_rows"))
-    joined = docs.withColumn("__tm_key", key).join(marked, "__tm_key", "left").where("__tm_stay is null or __tm_stay = 1")
+    marked = written(g.groupBy("__tm_key").agg(F.max((_rank() == F.col("best")).cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows")), "marked")
+    gone = sent_if_small(marked.where("stay = 0").select("__tm_key"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.where("__tm_rows > 1").withColumn("__tm_no", F.row_number().over(Window.partitionBy("__tm_key").orderBy(F.lit(0)))).where("__tm_no = 1")
-    return joined.where("__tm_rows is null or __tm_rows = 1").select(*cols).unionByName(once.select(*cols))
+    kept = docs.withColumn("__tm_key", key).join(gone, "__tm_key", "left_anti")
+    equal = marked.where("stay = 1 and rows > 1").select("__tm_key")
+    if equal.isEmpty():
+        return kept.select(*cols)
+    equal = sent_if_small(equal)
+    once = kept.join(equal, "__tm_key", "left_semi").withColumn("__tm_no", F.row_number().over(Window.partitionBy("__tm_key").orderBy(F.lit(0)))).where("__tm_no = 1")
+    return kept.join(equal, "__tm_key", "left_anti").select(*cols).unionByName(once.select(*cols))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

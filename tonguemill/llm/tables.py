@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -60,6 +61,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows of one or two numbers that may be broadcast: about 60 MB as a hash table.
+SENT_KEYS = 2_000_000
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of narrow rows, marked for broadcast if it has at most
+    :data:`SENT_KEYS` rows; beyond that the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
 def session_of(df: DataFrame) -> SparkSession:
     return ready(df.sparkSession)
 

@@ -89,7 +89,7 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(arr: pa.Array) -> Words:
     """The words of each text of ``arr``."""
-    data, toff = buffers(pc.utf8_lower(arr))
+    data, toff = buffers(pc.utf8_lower(arr if pa.types.is_string(arr.type) else arr.cast(pa.string())))
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)

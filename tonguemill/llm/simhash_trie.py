@@ -21,7 +21,7 @@ number of distinct words. Cells that would hold more than :data:`CELL` fingerpri
 split into parts, and each pair of parts is a task.
 
 Equal fingerprints are one node, so thousands of exact copies cost one row. Of the
-pairs in a cell only a spanning forest is returned, which has the same components.
+pairs that a task finds only a spanning forest is returned, which has the same components.
 
 Nulls and odd input: a text without words (null, empty, marks only) has no
 fingerprint and is in no group; a null ``doc_id`` counts as the largest; rows that are
@@ -31,6 +31,8 @@ them where rows are wholly equal; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -43,6 +45,7 @@ from .tables import sent_if_small, session_of, table, written
 BUDGET, RATIO = 19, 0.8
 WORDS, BLOCKS = 4, ((0, 7), (7, 13), (13, 19), (19, 26), (26, 32))
 CELL = 200_000
+LEAF = 16  # fingerprints of a node that are compared one by one
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -88,56 +91,64 @@ def _bits32(x: np.ndarray, n: int) -> np.ndarray:
     return ((x[:, None] >> np.arange(n - 1, -1, -1, dtype=x.dtype)) & 1).astype(np.uint8)
 
 
-def trie_join(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget: int, budget: int, ratio: float, split: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (i, j) whose ``top`` words (uint32) differ in at most ``top_budget`` bits,
+def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget: int, budget: int, ratio: float, cell: np.ndarray | None = None, part: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Arrays of pairs (i, j) whose ``top`` words (uint32) differ in at most ``top_budget`` bits,
     their ``halves`` (n, 2 uint64) in at most ``budget``, and whose sizes are
-    within ``ratio``. With ``split``, only pairs with different values of it."""
+    within ``ratio``. With ``cell``, only pairs within one cell; with ``part``,
+    only pairs of different parts where they are not negative. The tries of all
+    cells and size classes are walked together."""
     klass = np.floor(np.log(np.maximum(size, 1)) / -np.log(ratio)).astype(np.int64) if ratio < 1 else size.astype(np.int64)
-    order = np.lexsort((top, klass))
-    top, halves, size, klass = top[order], halves[order], size[order], klass[order]
-    split = split[order] if split is not None else None
-    found = []
-    begins = np.flatnonzero(np.concatenate([[True], klass[1:] != klass[:-1]])) if len(klass) else np.zeros(0, np.int64)
-    ends = np.concatenate([begins[1:], [len(klass)]]) if len(klass) else begins
-    roots = [(a, b, a, b) for a, b in zip(begins, ends)]
-    roots += [(begins[i], ends[i], begins[i + 1], ends[i + 1]) for i in range(len(begins) - 1) if klass[begins[i + 1]] == klass[begins[i]] + 1]
-    for root in roots:
-        stack = [(np.array([root], np.int64), np.zeros(1, np.int64), 0)]
-        while stack:
-            pair, diff, level = stack.pop()
-            if len(pair) > 1 << 15:  # bounds the frontier's memory
-                half = len(pair) // 2
-                stack.append((pair[:half], diff[:half], level))
-                pair, diff = pair[half:], diff[half:]
-            width = np.maximum(pair[:, 1] - pair[:, 0], pair[:, 3] - pair[:, 2])
-            leaf = (width <= 8) | (level == 32)
-            if leaf.any():
-                found.append(_leaves(pair[leaf], top, halves, size, top_budget, budget, ratio, split))
-                pair, diff = pair[~leaf], diff[~leaf]
-            if not len(pair):
-                continue
-            mask = np.uint32(1 << (31 - level))
-            # a node's fingerprints agree above this level, so those with the bit set come last
-            cut = []
-            for lo, hi in ((pair[:, 0], pair[:, 1]), (pair[:, 2], pair[:, 3])):
-                prefix = top[lo] & ~np.uint32((1 << (32 - level)) - 1) if level else np.zeros(len(lo), np.uint32)
-                target = prefix | mask
-                cut.append(_lower(top, lo, hi, target))
-            same = (pair[:, 0] == pair[:, 2])
-            a0, a1 = (pair[:, 0], cut[0]), (cut[0], pair[:, 1])
-            b0, b1 = (pair[:, 2], cut[1]), (cut[1], pair[:, 3])
-            nxt, nd = [], []
-            for x, y, add, mine in ((a0, b0, 0, None), (a1, b1, 0, None), (a0, b1, 1, None), (a1, b0, 1, ~same)):
-                ok = (x[1] > x[0]) & (y[1] > y[0]) & (diff + add <= top_budget)
-                if mine is not None:
-                    ok &= mine
-                nxt.append(np.stack([x[0][ok], x[1][ok], y[0][ok], y[1][ok]], 1))
-                nd.append(diff[ok] + add)
-            pair, diff = np.concatenate(nxt), np.concatenate(nd)
-            if len(pair):
-                stack.append((pair, diff, level + 1))
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return order[out]
+    cell = np.zeros(len(top), np.int64) if cell is None else cell
+    part = np.full(len(top), -1, np.int64) if part is None else part
+    order = np.lexsort((top, klass, cell))
+    top, halves, size, klass, cell, part = top[order], halves[order], size[order], klass[order], cell[order], part[order]
+    if not len(top):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], (klass[1:] != klass[:-1]) | (cell[1:] != cell[:-1])]))
+    end = np.concatenate([begin[1:], [len(klass)]])
+    next_to = np.flatnonzero((cell[begin[1:]] == cell[begin[:-1]]) & (klass[begin[1:]] == klass[begin[:-1]] + 1))
+    roots = np.concatenate([np.stack([begin, end, begin, end], 1), np.stack([begin[next_to], end[next_to], begin[next_to + 1], end[next_to + 1]], 1)])
+    roots = roots[(roots[:, 1] - roots[:, 0] > 1) | (roots[:, 0] != roots[:, 2])]
+    stack = [(roots, np.zeros(len(roots), np.int64), 0)]
+    while stack:
+        pair, diff, level = stack.pop()
+        if len(pair) > 1 << 17:  # bounds the frontier's memory
+            half = len(pair) // 2
+            stack.append((pair[:half], diff[:half], level))
+            pair, diff = pair[half:], diff[half:]
+        width = np.maximum(pair[:, 1] - pair[:, 0], pair[:, 3] - pair[:, 2])
+        leaf = (width <= LEAF) | (level == 32)
+        if leaf.any():
+            for found in _leaves(pair[leaf], top, halves, size, top_budget, budget, ratio, part):
+                yield order[found]
+            pair, diff = pair[~leaf], diff[~leaf]
+        if not len(pair):
+            continue
+        mask = np.uint32(1 << (31 - level))
+        # a node's fingerprints agree above this level, so those with the bit set come last
+        cut = []
+        for lo, hi in ((pair[:, 0], pair[:, 1]), (pair[:, 2], pair[:, 3])):
+            prefix = top[lo] & ~np.uint32((1 << (32 - level)) - 1) if level else np.zeros(len(lo), np.uint32)
+            target = prefix | mask
+            cut.append(_lower(top, lo, hi, target))
+        same = (pair[:, 0] == pair[:, 2])
+        a0, a1 = (pair[:, 0], cut[0]), (cut[0], pair[:, 1])
+        b0, b1 = (pair[:, 2], cut[1]), (cut[1], pair[:, 3])
+        nxt, nd = [], []
+        for x, y, add, mine in ((a0, b0, 0, None), (a1, b1, 0, None), (a0, b1, 1, None), (a1, b0, 1, ~same)):
+            ok = (x[1] > x[0]) & (y[1] > y[0]) & (diff + add <= top_budget)
+            if mine is not None:
+                ok &= mine
+            nxt.append(np.stack([x[0][ok], x[1][ok], y[0][ok], y[1][ok]], 1))
+            nd.append(diff[ok] + add)
+        pair, diff = np.concatenate(nxt), np.concatenate(nd)
+        if len(pair):
+            stack.append((pair, diff, level + 1))
+
+
+def trie_join(*args, **kw) -> np.ndarray:
+    """All pairs of :func:`trie_pairs` in one array."""
+    return np.concatenate([np.zeros((0, 2), np.int64), *trie_pairs(*args, **kw)])
 
 
 def _lower(top: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -153,10 +164,9 @@ def _lower(top: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray)
         hi = np.where(open_ & ~less, mid, hi)
 
 
-def _leaves(pair, top, halves, size, top_budget, budget, ratio, split) -> np.ndarray:
+def _leaves(pair, top, halves, size, top_budget, budget, ratio, part) -> Iterator[np.ndarray]:
     """All pairs of the fingerprints of two nodes, settled by counting bits."""
     na, nb = pair[:, 1] - pair[:, 0], pair[:, 3] - pair[:, 2]
-    out = []
     each = na * nb
     start = 0
     total = np.cumsum(each)
@@ -166,35 +176,33 @@ def _leaves(pair, top, halves, size, top_budget, budget, ratio, split) -> np.nda
         who = np.repeat(np.arange(len(p)), n)
         k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
         i, j = p[who, 0] + k // m[who], p[who, 2] + k % m[who]
-        good = (i < j) if len(p) else np.zeros(0, bool)
-        if split is not None:
-            good &= split[i] != split[j]
+        good = (i < j) & ((part[i] != part[j]) | (part[i] < 0))
         i, j = i[good], j[good]
         good = np.bitwise_count(top[i] ^ top[j]) <= top_budget
         i, j = i[good], j[good]
         good = (np.bitwise_count(halves[i, 0] ^ halves[j, 0]).astype(np.int64) + np.bitwise_count(halves[i, 1] ^ halves[j, 1]) <= budget) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
-        out.append(np.stack([i[good], j[good]], 1))
+        if good.any():
+            yield np.stack([i[good], j[good]], 1)
         start = stop
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
-    """A spanning forest of the pairs on ``n`` nodes."""
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for k, (i, j) in enumerate(pairs.tolist()):
-        a, b = find(i), find(j)
-        if a != b:
-            root[b] = a
-            keep.append(k)
-    return pairs[keep]
+    """A forest of (node, smallest node) edges with the components of the pairs on ``n`` nodes."""
+    least = np.arange(n)
+    while len(pairs):
+        low = np.minimum(least[pairs[:, 0]], least[pairs[:, 1]])
+        new = least.copy()
+        for side in (0, 1):
+            np.minimum.at(new, least[pairs[:, side]], low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+        pairs = pairs[least[pairs[:, 0]] != least[pairs[:, 1]]]
+    while (least[least] != least).any():
+        least = least[least]
+    at = np.flatnonzero(least != np.arange(n))
+    return np.stack([at, least[at]], 1)
 
 
 def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:
@@ -226,22 +234,19 @@ def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cel
         if not cols[0]:
             return
         cell, ids, hi, lo, size = (np.concatenate(c) for c in cols)
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        for a, e in zip(begin, np.concatenate([begin[1:], [len(cell)]])):
-            if e - a < 2:
-                continue
-            at = order[a:e]
-            at = at[np.argsort(ids[at])]
-            halves = np.stack([lo[at], hi[at]], 1).copy().view(np.uint64)
-            c = int(cell[a])
-            l, r, word = c // parts % parts, c % parts, c // parts // parts >> 11
-            top = np.ascontiguousarray(halves.view(np.uint32).reshape(-1, 4)[:, word])
-            own = (ids[at].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            pairs = spanning(trie_join(top, halves, size[at].astype(np.int64), budget // WORDS, budget, ratio, own if l != r else None), len(at))
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at][pairs[:, 0]]), pa.array(ids[at][pairs[:, 1]])], ["a", "b"])
+        halves = np.stack([lo, hi], 1).view(np.uint64)
+        words = halves.view(np.uint32).reshape(-1, 4)
+        left, right, word = cell // parts % parts, cell % parts, cell // parts // parts >> 11
+        part = np.where(left != right, (ids.view(np.uint64) % np.uint64(parts)).astype(np.int64), -1)
+        top = words[np.arange(len(words)), word]
+        same, node = np.unique(ids, return_inverse=True)
+        edges, waiting = np.zeros((0, 2), np.int64), []
+        for pairs in trie_pairs(top, halves, size.astype(np.int64), budget // WORDS, budget, ratio, cell, part):
+            waiting.append(node[pairs])
+            if sum(map(len, waiting)) > 1 << 20:
+                edges, waiting = spanning(np.concatenate([edges, *waiting]), len(same)), []
+        edges = spanning(np.concatenate([edges, *waiting]), len(same))
+        yield pa.RecordBatch.from_arrays([pa.array(same[edges[:, 0]]), pa.array(same[edges[:, 1]])], ["a", "b"])
 
     sent = nodes.select("id", "hi", "lo", "n").mapInArrow(scatter, "cell bigint, id bigint, hi bigint, lo bigint, n int")
     return sent.repartition("cell").mapInArrow(join, "a bigint, b bigint")

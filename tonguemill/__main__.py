@@ -63,7 +63,7 @@ def cmd_mix(spark, args):
         print("\n".join(sorted(SOURCES)))
         return
     sources = [cached(spark, s, args.cache) if args.cache else create(spark, *parse_spec(s)) for s in args.source]
-    rows = mix.build(sources, args.cap_per_lang, args.wild_augment, args.short_augment, args.short_floor, args.seed)
+    rows = mix.build(sources, args.cap_per_lang or None, args.wild_augment, args.short_augment, args.short_floor, args.seed)
     splits = sinks.write_dataset(rows, args.out, args.format)
     sinks.write_manifest(args.out, args.argv, args.source, splits, args.format, seed=args.seed, cap_per_lang=args.cap_per_lang, wild_augment=args.wild_augment, short_augment=args.short_augment, short_floor=args.short_floor)
     print(json.dumps(splits))
@@ -112,34 +112,46 @@ def cmd_card(spark, args):
         print(sinks.dataset_card(json.load(f)))
 
 
+#: Command -> (function, options): a value is the default, a type alone is required (or
+#: repeated, for list); names without dashes in front are positional.
+COMMANDS = {
+    "detect": (cmd_detect, {"model": str, "*input": str, "lines": False, "json": False}),
+    "eval": (cmd_eval, {"model": str, "*files": list}),
+    "assess": (cmd_assess, {"model": str, "*files": list, "dump_errors": None, "dump_per_lang": 50}),
+    "fetch": (cmd_fetch, {"source": list, "cache": "cache"}),
+    "mix": (cmd_mix, {"out": None, "source": list, "seed": 42, "cap_per_lang": 0, "wild_augment": 0.0, "short_augment": 0.0, "short_floor": 0.0, "format": "parquet", "cache": None, "list": False}),
+    "train": (cmd_train, {"data": str, "out": str, "log2_d": 14, "per_lang_cap": 50_000, "store": "f16", "quant_max_drop": 0.2, "trainer": "logistic"}),
+    "quantize": (cmd_quantize, {"model": str, "out": str, "store": str}),
+    "clean": (cmd_clean, {"model": str, "data": str, "out": None, "conf": 0.995, "only_lang": list, "dry_run": False}),
+    "hard-negatives": (cmd_hard_negatives, {"model": str, "data": str, "out": str, "conf": 0.98, "per_lang": 4_000}),
+    "short-verify": (cmd_short_verify, {"data": str, "out": str, "judge": list, "min_agree": 2}),
+    "referee": (cmd_referee, {"data": str, "train": str, "out": str, "judge": list, "per_lang": 500}),
+    "card": (cmd_card, {"*manifest": str}),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tonguemill")
     sub = p.add_subparsers(dest="command", required=True)
-
-    def add(name, run, *options):
-        c = sub.add_parser(name)
+    for command, (run, options) in COMMANDS.items():
+        c = sub.add_parser(command)
         c.set_defaults(run=run)
-        for flag, kw in options:
-            c.add_argument(flag, **kw)
-
-    flag = lambda name, **kw: (name, kw)
-    model_ = flag("--model", required=True)
-    add("detect", cmd_detect, model_, flag("input"), flag("--lines", action="store_true"), flag("--json", action="store_true"))
-    add("eval", cmd_eval, model_, flag("files", nargs="+"))
-    add("assess", cmd_assess, model_, flag("files", nargs="+"), flag("--dump-errors"), flag("--dump-per-lang", type=int, default=50))
-    add("fetch", cmd_fetch, flag("--source", action="append", default=[]), flag("--cache", default="cache"))
-    add("mix", cmd_mix, flag("--out"), flag("--source", action="append", default=[]), flag("--seed", type=int, default=42), flag("--cap-per-lang", type=int), flag("--wild-augment", type=float, default=0.0), flag("--short-augment", type=float, default=0.0), flag("--short-floor", type=float, default=0.0), flag("--format", default="parquet", choices=["parquet", "jsonl"]), flag("--cache"), flag("--list", action="store_true"))
-    add("train", cmd_train, flag("--data", required=True), flag("--out", required=True), flag("--log2-d", type=int, default=14), flag("--per-lang-cap", type=int, default=50_000), flag("--store", default="f16", choices=model.STORES), flag("--quant-max-drop", type=float, default=0.2), flag("--trainer", default="logistic", choices=["logistic", "counts"]))
-    add("quantize", cmd_quantize, model_, flag("--out", required=True), flag("--store", required=True, choices=model.STORES))
-    add("clean", cmd_clean, model_, flag("--data", required=True), flag("--out"), flag("--conf", type=float, default=0.995), flag("--only-lang", action="append"), flag("--dry-run", action="store_true"))
-    add("hard-negatives", cmd_hard_negatives, model_, flag("--data", required=True), flag("--out", required=True), flag("--conf", type=float, default=0.98), flag("--per-lang", type=int, default=4000))
-    add("short-verify", cmd_short_verify, flag("--data", required=True), flag("--out", required=True), flag("--judge", action="append", required=True), flag("--min-agree", type=int, default=2))
-    add("referee", cmd_referee, flag("--data", required=True), flag("--train", required=True), flag("--out", required=True), flag("--judge", action="append", default=[]), flag("--per-lang", type=int, default=500))
-    add("card", cmd_card, flag("manifest"))
+        for name, value in options.items():
+            flag = "--" + name.replace("_", "-")
+            if name.startswith("*"):
+                c.add_argument(name[1:], **({"nargs": "+"} if value is list else {}))
+            elif value is list:
+                c.add_argument(flag, action="append", default=[])
+            elif value is False:
+                c.add_argument(flag, action="store_true")
+            elif value is str:
+                c.add_argument(flag, required=True)
+            else:
+                c.add_argument(flag, default=value, type=str if value is None else type(value))
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list | None = None) -> int:
     argv = sinks.replay(sys.argv[1:] if argv is None else argv)
     args = parser().parse_args(argv)
     args.argv = argv

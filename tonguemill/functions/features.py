@@ -32,6 +32,8 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class FeatureConfig:
+    """Lengths of the n-grams."""
+
     n_min: int = 1
     n_max: int = 5
 
@@ -40,6 +42,7 @@ class FeatureConfig:
             raise ValueError("1 <= n_min <= n_max <= 5 is needed")
 
 
+DEFAULT = FeatureConfig()
 _DOMAIN = r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 _RULES = [
     ("word", re.compile(r"[^\x00-\x7f].*", re.S)),
@@ -86,12 +89,13 @@ class WordTable:
     hash: np.ndarray
 
 
-def word_table(words: list[str], cfg: FeatureConfig = FeatureConfig()) -> WordTable:
+def word_table(words: list[str], cfg: FeatureConfig = DEFAULT) -> WordTable:
     """Keys of all words at once, in order of place, then n."""
     if not words:
         return WordTable(np.zeros(0, _U), np.zeros(1, np.int64), np.zeros(0, _U))
     letters = [_letters(w) for w in words]
-    flat = np.frombuffer("".join(letters).encode("utf-32-le", "surrogatepass"), np.uint32)
+    joined = "".join(letters)
+    flat = np.frombuffer(joined.encode("utf_32_le", errors="surrogatepass"), np.uint32)
     n = np.array([len(x) for x in letters])
     start = np.cumsum(n) - n
     with np.errstate(over="ignore"):
@@ -152,7 +156,7 @@ class Encoded:
     table: WordTable
 
 
-def encode(texts: pa.Array, cfg: FeatureConfig = FeatureConfig()) -> Encoded:
+def encode(texts: pa.Array, cfg: FeatureConfig = DEFAULT) -> Encoded:
     """Split, dictionary-encode, and make the keys of the distinct words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -177,7 +181,7 @@ def encode(texts: pa.Array, cfg: FeatureConfig = FeatureConfig()) -> Encoded:
     return Encoded(index, off, word_table(distinct, cfg))
 
 
-def text_keys(texts: pa.Array, cfg: FeatureConfig = FeatureConfig()) -> tuple[np.ndarray, np.ndarray]:
+def text_keys(texts: pa.Array, cfg: FeatureConfig = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all texts in order, offsets by text)."""
     e = encode(texts, cfg)
     t = e.table
@@ -195,18 +199,18 @@ def text_keys(texts: pa.Array, cfg: FeatureConfig = FeatureConfig()) -> tuple[np
     return keys, np.concatenate([[0], np.cumsum(total)])[e.off]
 
 
-def token_keys(text: str, cfg: FeatureConfig = FeatureConfig()) -> list[int]:
+def token_keys(text: str | None, cfg: FeatureConfig = DEFAULT) -> list[int]:
     return [int(k) for k in text_keys(pa.array([text]), cfg)[0]]
 
 
-def bucket_tokens(texts: pa.Array, log2_d: int, which: str = "fmix32", seed: int = hashing.SEED, cfg: FeatureConfig = FeatureConfig()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_tokens(texts: pa.Array, log2_d: int, which: str = "fmix32", seed: int = hashing.SEED, cfg: FeatureConfig = DEFAULT) -> tuple[np.ndarray, ...]:
     """(buckets, signs, offsets by text)."""
     keys, off = text_keys(texts, cfg)
     b, neg = hashing.buckets(keys, log2_d, which, seed)
     return b, neg, off
 
 
-def signed_ids(texts: pa.Array, log2_d: int, which: str = "fmix32", seed: int = hashing.SEED, cfg: FeatureConfig = FeatureConfig(), k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signed_ids(texts: pa.Array, log2_d: int, which: str = "fmix32", seed: int = hashing.SEED, cfg: FeatureConfig = DEFAULT, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows of the doubled table, offsets); the first ``k`` of each text if given."""
     b, neg, off = bucket_tokens(texts, log2_d, which, seed, cfg)
     ids = hashing.signed_index(b, neg, log2_d)

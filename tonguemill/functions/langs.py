@@ -84,7 +84,6 @@ COLUMN_RANGE = {"Cyrillic": (0, 21), "Latin": (21, 26), "Direct": (26, 30)}
 TWIN_GROUPS = {"turkic": "tat bak kaz kir tyv chv sah", "permic": "udm mhr kpv", "balkan": "bul mkd srp", "east": "rus ukr bel"}
 TWIN_OF: dict[str, str] = {code: g for g, codes in TWIN_GROUPS.items() for code in codes.split()}
 
-_LID176_EXTRA = {"mon": "mn khk", "sah": "sah", "tyv": "tyv", "udm": "udm", "mhr": "mhr", "kpv": "kpv"}
 _FLORES_EXTRA = {"srp": "srp_Latn", "uzn": "uzn_Latn", "tat": "tat_Latn tat_Arab", "mon": "khk_Cyrl", "cmn": "cmn_Hant zho_Hans", "ara": "arb_Arab"}
 
 
@@ -93,7 +92,7 @@ def _aliases() -> dict[str, dict[str, list[str]]]:
     tag = {"Cyrillic": "Cyrl", "Latin": "Latn", "Han": "Hans", "Kana": "Jpan", "Devanagari": "Deva", "Arabic": "Arab"}
     for x in ALL:
         if x.index < 26:
-            lid[x.iso3] = _LID176_EXTRA.get(x.iso3, x.iso1 or "").split()
+            lid[x.iso3] = [x.iso1 or x.iso3] + ["khk"] * (x.iso3 == "mon")
         flores[x.iso3] = [f"{x.iso3}_{tag[x.script]}", *_FLORES_EXTRA.get(x.iso3, "").split()]
     return {"lid176": lid, "flores": flores}
 

@@ -19,7 +19,8 @@ from ..functions import hashing
 from ..functions.langs import CODES
 
 VERSION = 3
-STORES = ("f16", "int8-row", "int8-col", "fp8-row", "fp8-col")
+STORES = ("f16", *(f"{kind}-{scheme}" for kind in ("int8", "fp8") for scheme in ("row", "col")))
+Scales = np.ndarray | None
 _LIMIT = {"int8": 127.0, "fp8": 448.0}
 
 
@@ -75,7 +76,7 @@ def parse_store(spec: str) -> tuple[str, str | None]:
     return kind, scheme or None
 
 
-def quantize(p: np.ndarray, kind: str, scheme: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+def quantize(p: np.ndarray, kind: str, scheme: str | None) -> tuple[np.ndarray, Scales]:
     """(stored values, scales); symmetric, one scale for each row or column."""
     p = np.asarray(p, np.float32)
     if kind == "f16":
@@ -90,14 +91,14 @@ def quantize(p: np.ndarray, kind: str, scheme: str | None) -> tuple[np.ndarray,
     return (np.rint(x).astype(np.int8) if kind == "int8" else f32_to_e4m3(x)), s
 
 
-def dequantize(stored: np.ndarray, scales: np.ndarray | None, kind: str, scheme: str | None) -> np.ndarray:
+def dequantize(stored: np.ndarray, scales: Scales, kind: str, scheme: str | None) -> np.ndarray:
     if kind == "f16":
         return stored.astype(np.float32)
     x = e4m3_to_f32(stored) if kind == "fp8" else stored.astype(np.float32)
     return x * (scales[:, None] if scheme == "row" else scales[None, :])
 
 
-def damage(p: np.ndarray, stored: np.ndarray, scales: np.ndarray | None, kind: str, scheme: str | None) -> dict:
+def damage(p: np.ndarray, stored: np.ndarray, scales: Scales, kind: str, scheme: str | None) -> dict:
     """What quantisation costs: largest and mean error, share of zeros, bytes."""
     err = np.abs(dequantize(stored, scales, kind, scheme) - np.asarray(p, np.float32))
     return {"max_error": float(err.max()), "mean_error": float(err.mean()), "zero_share": float((stored == 0).mean()), "bytes": int(stored.nbytes + (0 if scales is None else scales.nbytes)), "f16_bytes": int(2 * np.asarray(p).size)}

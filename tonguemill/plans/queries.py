@@ -346,7 +346,7 @@ def stem_clusters(spark, sf_dir):
     return select.stem_clusters(lemma_df(spark, sf_dir).select("lang", F.col("lemma").alias("token")), "lang")
 
 
-# --- metrics, on a judge that SQL can repeat: the language of accented letters ------
+# -- metrics, on a judge that SQL can repeat: the language of accented letters
 
 _ACCENTS = {"deu": "äöüßÄÖÜ", "spa": "ñíóúáÑÍÓÚÁ", "fra": "éèêçàùœÉÈÊÇÀ"}
 
@@ -441,7 +441,7 @@ def theta(spark, sf_dir):
     return metrics.theta(_doc_predictions(spark, sf_dir), "conf")
 
 
-# --- verdicts ----------------------------------------------------------------------
+# -- verdicts
 
 _TWIN = " OR ".join(f"(lang IN ({', '.join(repr(c) for c in g.split())}) AND pred IN ({', '.join(repr(c) for c in g.split())}))" for g in langs.TWIN_GROUPS.values())
 # judged rows with languages of one group among them: English and German are read as Russian and Ukrainian
@@ -502,7 +502,7 @@ def certified(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.certified(F.when(F.col("lang") == "en", "rus").otherwise(F.col("lang")), F.col("text")).alias("certified"))
 
 
-# --- stored tables ----------------------------------------------------------------
+# -- stored tables
 
 
 @_query("quantize_rows", """
@@ -523,7 +523,7 @@ def quantize_rows(spark, sf_dir):
     return d.select("id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"), F.round("s", 9).alias("scale"), F.round(err, 9).alias("max_error"), F.size(F.filter("q", lambda x: x == 0)).cast("bigint").alias("zeros"))
 
 
-# --- models -----------------------------------------------------------------------
+# -- models
 
 
 def _model(spark, sf_dir) -> Model:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import augment
 from ..functions import text as tx
-from ..functions.langs import CODES, lookup
+from ..functions.langs import ALL, CODES, lookup
 from ..operators import mix
 from .registry import positioned, source
 
@@ -46,7 +46,7 @@ def _out(df: DataFrame, lang: str, limit: int = 0) -> DataFrame:
 def _table(spark: SparkSession, path: str, files: str | None = None) -> DataFrame:
     """Parquet, JSON lines or CSV, by the extension."""
     at = f"{path}/{files}" if files else path
-    kind = at.rstrip("/").removesuffix(".gz").removesuffix(".zst").rsplit(".", 1)[-1].lower()
+    kind = at.lower().rstrip("/").removesuffix(".gz").removesuffix(".zst").rpartition(".")[2]
     if kind in ("json", "jsonl", "ndjson"):
         return spark.read.json(at)
     if kind in ("csv", "tsv"):
@@ -177,7 +177,7 @@ def _per_book(df: DataFrame, keep: int, seed: int) -> DataFrame:
 @source("gutenberg")
 def books(spark: SparkSession, path: str, langs: str = "ru", max_books: int = 80, per_book: int = 4000, min_chars: int = 20, max_chars: int = 200, seed: int = 42, banned: str = "война и мир|war and peace|guerre et paix") -> DataFrame:
     """Books (title, text) without licence frames: sentences, a seeded pick of each book."""
-    lang = {"ru": "rus", "fr": "fra", "de": "deu", "en": "eng"}[langs]
+    lang = next(x.iso3 for x in ALL if x.iso1 == langs)
     df = positioned(_table(spark, path).select("title", "text")).where(~F.coalesce(F.lower("title"), F.lit("")).rlike(banned)).orderBy("_pos").limit(max_books)
     t = F.regexp_replace(F.regexp_replace("text", r"(?s)^.*?\*\*\* ?START OF[^\n]*\n", ""), r"(?s)\*\*\* ?END OF.*$", "")
     return _out(_per_book(df.select("_pos", tx.sentences(t, min_chars, max_chars).alias("s")), per_book, seed), lang)
@@ -202,7 +202,7 @@ def diverse(spark: SparkSession, path: str, lang: str, budget: int = 14_000, min
     return got.select("lang", "text", F.col("rank").cast("bigint").alias("_pos"))
 
 
-# --- other readers ----------------------------------------------------------------
+# -- other readers
 
 
 def _coded(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ orders the rows of a source; for files it follows their order.
 from __future__ import annotations
 
 import ast
+import contextlib
 import hashlib
 import inspect
 import json
@@ -29,10 +30,9 @@ def source(name: str) -> Callable:
 
 def coerce(value: str):
     """A Python literal if it is one, else the text itself."""
-    try:
+    with contextlib.suppress(ValueError, SyntaxError):
         return ast.literal_eval(value)
-    except (ValueError, SyntaxError):
-        return value
+    return value
 
 
 def parse_spec(spec: str) -> tuple[str, dict]:

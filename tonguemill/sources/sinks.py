@@ -12,6 +12,9 @@ from ..functions import text as tx
 from .registry import parse_spec
 
 
+SPLITS = "train val test".split()
+
+
 def write_dataset(rows: DataFrame, out: str, fmt: str = "parquet") -> dict[str, int]:
     """(lang, text, split) by split; returns the rows of each."""
     if fmt == "parquet":
@@ -21,7 +24,7 @@ def write_dataset(rows: DataFrame, out: str, fmt: str = "parquet") -> dict[str,
     if fmt != "jsonl":
         raise ValueError(f"unknown format {fmt!r}")
     counts = {}
-    for split in ("train", "val", "test"):
+    for split in SPLITS:
         part = rows.where(F.col("split") == split).select("lang", "text")
         part.write.mode("overwrite").json(f"{out}/{split}.jsonl")
         counts[split] = rows.sparkSession.read.schema("lang string, text string").json(f"{out}/{split}.jsonl").count()
@@ -36,7 +39,7 @@ def write_manifest(out: str, argv: list[str], specs: list[str], splits: dict[str
     return m
 
 
-def replay(argv: list[str]) -> list[str]:
+def replay(argv: list) -> list:
     """``argv`` with ``--from-manifest FILE`` replaced by the recorded arguments, but for
     the recorded ``--out``; what else is given now comes after them and wins."""
     if "--from-manifest" not in argv:
@@ -82,5 +85,7 @@ def dataset_card(manifest: dict) -> str:
     for split, n in (manifest.get("splits") or {}).items():
         lines.append(f"- {split}: {n:,} rows")
     lines += ["", "| source | options |", "| --- | --- |"]
-    lines += [f"| {name} | {', '.join(f'{k}={v}' for k, v in options.items())} |" for name, options in manifest.get("sources", [])]
+    for name, options in manifest.get("sources", []):
+        shown = [f"{k}={v}" for k, v in options.items()]
+        lines.append("| " + name + " | " + " ".join(shown) + " |")
     return "\n".join(lines) + "\n"

@@ -42,7 +42,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# --- words ------------------------------------------------------------------------
+# -- words
 
 
 def test_words_equal_regex():
@@ -75,7 +75,7 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-# --- 1 ----------------------------------------------------------------------------
+# -- 1
 
 
 def test_license_automaton():
@@ -113,7 +113,7 @@ def test_bad_markup(bad):
         license_scan.Automaton(bad)
 
 
-# --- 2 ----------------------------------------------------------------------------
+# -- 2
 
 
 def test_decontamination(spark, docs, empty):
@@ -155,7 +155,7 @@ def test_rounds(spark, monkeypatch, docs):
     assert [r for r in part if r[3] == "exact"] == [r for r in whole if r[3] == "exact"]
 
 
-# --- 3 ----------------------------------------------------------------------------
+# -- 3
 
 
 def test_crf(docs, empty, spark):
@@ -198,7 +198,7 @@ def test_skip_edges_carry_evidence():
     assert np.abs(joined[0] - joined[1]).sum() <= np.abs(alone[0] - alone[1]).sum() + 1e-9
 
 
-# --- 4 ----------------------------------------------------------------------------
+# -- 4
 
 
 def test_matrix():
@@ -241,7 +241,7 @@ def test_shuffle_is_uniform(spark, tmp_path):
     assert a != b and sorted(a) == sorted(b) == list(range(40))
 
 
-# --- 5 ----------------------------------------------------------------------------
+# -- 5
 
 
 def labeled(spark, n=700):
@@ -286,7 +286,7 @@ def test_quality(spark, docs, empty):
     assert len(quality_fm.training_rows(d, l.union(spark.createDataFrame([(None, 1, 0), (1, None, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")), 50)) <= 50
 
 
-# --- 6 ----------------------------------------------------------------------------
+# -- 6
 
 
 def test_weights():
@@ -326,7 +326,7 @@ def test_mix_equals_sql(spark, docs, empty):
     assert mixing.mix(docs).columns[: len(docs.columns)] == docs.columns
 
 
-# --- 7 ----------------------------------------------------------------------------
+# -- 7
 
 
 def brute_paragraphs(rows):
@@ -378,7 +378,7 @@ def test_paragraph_join_path(spark, docs, monkeypatch):
     assert sorted((str(r.doc_id), r.paragraph) for r in paragraph_dedup.repeated_paragraphs(docs).collect()) == base
 
 
-# --- 8 ----------------------------------------------------------------------------
+# -- 8
 
 
 def test_trie_equals_brute_force():
@@ -441,7 +441,7 @@ def test_near_copies(spark, docs, empty, cell, monkeypatch):
     assert simhash_trie.near_copies(empty).count() == 0 and simhash_trie.without_near_copies(empty).count() == 0
 
 
-# --- 9 ----------------------------------------------------------------------------
+# -- 9
 
 
 def test_round_trip_of_anything():
@@ -466,7 +466,7 @@ def test_chats(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
-# --- 10 ---------------------------------------------------------------------------
+# -- 10
 
 
 def test_syncmers(docs, empty):
@@ -497,7 +497,7 @@ def test_syncmers(docs, empty):
         syncmers.closed_syncmers(docs, 4, 4)
 
 
-# --- queries and pipeline ---------------------------------------------------------
+# -- queries and pipeline
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

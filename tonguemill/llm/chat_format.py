@@ -40,6 +40,9 @@ _ROLE = re.compile(r"[a-z][a-z0-9_]*")
 _QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"\n', re.S)
 
 
+Turns = list[tuple[str, str]]
+
+
 class GrammarError(ValueError):
     pass
 
@@ -66,7 +69,7 @@ def render(turns: list[tuple[str, str]], level: list[int]) -> str:
     return "".join(out)
 
 
-def parse(rendered: str) -> list[tuple[str, str]]:
+def parse(rendered: str) -> Turns:
     """The turns, left to right without backtracking; GrammarError where the text is none
     of the grammar's."""
     turns, at = [], 0

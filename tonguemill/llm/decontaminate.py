@@ -53,7 +53,7 @@ INDEX = "doc_id array<bigint>, row_key array<bigint>, doc_at binary, terms binar
 MATCH = "doc_id bigint, row_key bigint, item_id bigint, kind string, doc_pos int, item_pos int, n_words int"
 
 
-def segment(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segment(w: tk.Words) -> tuple[np.ndarray, ...]:
     """(first position of each document, terms ascending, list offsets, positions)."""
     n = np.diff(w.off)
     doc_at = np.concatenate([[0], np.cumsum(n + GAP)]).astype(np.int32)

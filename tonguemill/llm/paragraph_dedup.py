@@ -50,7 +50,7 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
     return bands, rows
 
 
-def paragraphs(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs(w: tk.Words) -> tuple[np.ndarray, ...]:
     """(word offsets, document index, number within the document, id) of each
     paragraph; offsets have one entry more."""
     n = len(w.hash)

@@ -135,7 +135,7 @@ class Weights(dict):
     pass
 
 
-# --- generated training documents -------------------------------------------------
+# -- generated training documents
 
 
 def _filler(rng: random.Random) -> str:
@@ -215,7 +215,7 @@ def generate(n: int, seed: int) -> list[tuple[list[str], list[int]]]:
     return out
 
 
-# --- the graph --------------------------------------------------------------------
+# -- the graph
 
 
 class Graph:
@@ -349,7 +349,7 @@ def evaluate(n: int = HELD_OUT, seed: int = SEED + 1) -> float:
     return float((propagate(*g.arrays(), train()).argmax(1) == y).mean())
 
 
-# --- whole texts ------------------------------------------------------------------
+# -- whole texts
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True

@@ -34,7 +34,7 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(h) - w + 1], m[w - have : len(h) - have + 1]) if have < w else m
 
 
-def anchors(w: tk.Words, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(w: tk.Words, k: int = K, s: int = S) -> tuple[np.ndarray, ...]:
     """(document index, word position, k-mer hash) of each closed syncmer."""
     kh, first, koff = tk.windows(w.hash, w.off, k)
     if not len(kh):

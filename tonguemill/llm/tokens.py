@@ -155,7 +155,7 @@ def hash_word(word: str) -> int:
     return h ^ (h >> 33)
 
 
-def windows(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Order-dependent hash of each run of ``k`` words inside one document:
     (hash, index of the first word, offsets by document)."""
     n = np.maximum(np.diff(off) - (k - 1), 0)

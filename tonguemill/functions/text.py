@@ -69,7 +69,8 @@ def classify_word(word: Column | str) -> Column:
     """word | url | email | mention | num, the first rule that fits."""
     w = _c(word)
     return (
-        F.when(w.rlike(r"^[^\x{00}-\x{7F}]"), "word")
+        # most words hold none of these, and one test settles them
+        F.when(w.rlike(r"^[^\x{00}-\x{7F}]|^[^0-9@.:]*$"), "word")
         .when(w.rlike(r"(?s)^@.+"), "mention")
         .when(w.rlike(r"^(?i:https?://|www\.)"), "url")
         .when(w.rlike(rf"^[A-Za-z0-9._%+-]+@{_DOMAIN}$") & ~w.rlike(r"[\n\r]$"), "email")

@@ -56,6 +56,8 @@ _RULES = [
 
 def classify_word(word: str) -> str:
     """word | url | email | mention | num, the first rule that fits."""
+    if word.isalpha():  # all other classes need a mark or a digit
+        return "word"
     return next((kind for kind, rule in _RULES if rule.fullmatch(word)), "word")
 
 

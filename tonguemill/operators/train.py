@@ -36,12 +36,19 @@ def signed_counts(rows: DataFrame, log2_d: int) -> DataFrame:
             for piece in _slices(b.column(1)):
                 part = langs[at : at + len(piece)]
                 at += len(piece)
-                bucket, neg, off = features.bucket_tokens(piece, log2_d)
-                owner = np.repeat(np.arange(len(piece)), np.diff(off))
+                e = features.encode(piece)
+                bucket, neg = features.hashing.buckets(e.table.keys, log2_d)
+                sign, size = np.where(neg, -1.0, 1.0), np.diff(e.table.off)
+                owner = np.repeat(np.arange(len(piece)), np.diff(e.off))
+                second = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+                pair, pair_neg = features.hashing.buckets(features.pair_keys(e.table.hash[e.index[second - 1]], e.table.hash[e.index[second]]), log2_d)
                 for lang in set(part) - {None}:
                     mine = (part == lang)[owner]
                     t = total.setdefault(lang, np.zeros(d, np.int64))
-                    t += np.bincount(bucket[mine & ~neg], minlength=d) - np.bincount(bucket[mine & neg], minlength=d)
+                    often = np.bincount(e.index[mine], minlength=len(size))  # a distinct word's keys count once
+                    sums = np.bincount(bucket, weights=sign * np.repeat(often, size), minlength=d)
+                    sums += np.bincount(pair, weights=np.where(pair_neg, -1.0, 1.0) * mine[second], minlength=d)
+                    t += np.rint(sums).astype(np.int64)
         for lang, t in total.items():
             k = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int32)), pa.array(t[k])], ["lang", "bucket", "n"])

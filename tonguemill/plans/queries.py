@@ -31,7 +31,11 @@ def _query(name: str, sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over the cores where it is one file that can't be split; a
+    table of many files is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2 else df
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,6 +378,34 @@ def test_paragraph_join_path(spark, docs, monkeypatch):
     assert sorted((str(r.doc_id), r.paragraph) for r in paragraph_dedup.repeated_paragraphs(docs).collect()) == base
 
 
+def test_passages_without_whole_paragraph(spark):
+    """Each run of 50 words that stands in two documents holds a reported paragraph or stretch in both."""
+    rng = random.Random(61)
+    mid, lines, over = prose(rng, 50), "\n".join(prose(rng, 5) for _ in range(10)), "x " * 50
+    edge = f"{prose(rng, 24)}. {prose(rng, 26)}"
+    texts = []
+    for passage in (mid, lines, over, edge):
+        texts += [f"{prose(rng, 20 + 9 * k)} {passage} {prose(rng, 35 - 9 * k)}" for k in range(3)]
+    texts += [prose(rng, 300), "x " * 20, None, ""]
+    texts += ["。".join(["".join(f" {x}" for x in prose(rng, 14).split()), t, prose(rng, 12)]) for t in [prose(rng, 20)] * 2]
+    words = [WORD.findall((t or "").lower()) for t in texts]
+    seen = {}
+    for i, ws in enumerate(words):
+        for p in range(len(ws) - 49):
+            seen.setdefault(tuple(ws[p : p + 50]), set()).add((i, p))
+    runs = {x for at in seen.values() if len({i for i, _ in at}) > 1 for x in at}
+    assert {i for i, _ in runs} == set(range(12))
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    begin = {(r.doc_id, -1 - r.paragraph) for r in got if r.paragraph < 0}
+    for i, p in runs:
+        assert any((i, q) in begin for q in range(p, p + 51 - paragraph_dedup.STRETCH)), (i, p)
+    assert {r.doc_id for r in got} == {*range(12), 16, 17} and all(r.paragraph >= 0 for r in got if r.doc_id > 15)
+    for r in got:
+        if r.paragraph < 0:
+            cut = lambda x: words[x.doc_id][-1 - x.paragraph :][: x.n_words]
+            assert all(cut(r) == cut(x) for x in got if x.cluster == r.cluster)
+
+
 # -- 8
 
 

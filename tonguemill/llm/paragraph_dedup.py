@@ -3,9 +3,16 @@
 A paragraph is a stretch of a line that ends with a sentence of at least :data:`LONG`
 words, or with the line; shorter sentences belong to the long one after them.
 These edges depend on the words around them only, so a passage that was pasted into the middle of
-another line falls into the same paragraphs as elsewhere, but for its first. Paragraphs
+another line falls into the same paragraphs as elsewhere, but for its first and last. Paragraphs
 of fewer than :data:`MIN_WORDS` words are left alone.
 
+Passages that hold no whole paragraph are found by their content, wherever lines and
+sentences end: of each run of :data:`PASSAGE` words the stretch of :data:`STRETCH` words with the least hash
+is taken, so two equal runs, wherever they stand, have an equal stretch. Stretches are compared as
+a whole: equal or not. They overlap paragraphs and each other, and have the number
+``-1 - first word`` where paragraphs count from 0; whoever deletes what doesn't stay
+must leave the words of rows that do.
+
 Paragraphs are sets of word triples. MinHash signatures are cut into bands, tuned by
 :func:`tune_bands` so that a pair at the Jaccard threshold collides in some band with
 probability :data:`RECALL`. Paragraphs that collide are compared by their exact Jaccard
@@ -23,7 +30,7 @@ similarity, and removals are clustered by connected components.
 4. Components of the verified edges, joined with the catalogue.
 
 Nulls and odd input: null and empty texts have no paragraphs; a null ``doc_id`` counts as
-the largest; paragraphs repeated within a document count as copies; repeated rows are
+the largest; paragraphs and stretches repeated within a document count as copies; repeated rows are
 copies, and their equal paragraphs (same doc_id and number) stay or go together; other columns
 are not read.
 """
@@ -40,10 +47,16 @@ from .components import connected_components
 from .tables import session_of, table, written
 
 LONG, MIN_WORDS, SHINGLE = 10, 13, 3
+PASSAGE, STRETCH = 50, 25
 THRESHOLD, RECALL, SEED = 0.8, 0.97, 99
 SENT_IDS = 4_000_000
 
 
+#: UTF-8 of the sentence marks of three bytes (… ‼ ⁇ ⁈ ⁉ 。 ． ！ ？ ｡ । ॥ ። ។) and of two (؟ ۔ ։).
+_STOPS3 = np.array([int.from_bytes(c.encode()) for c in "…‼⁇⁈⁉。．！？｡।॥።។"])
+_STOPS2 = np.array([int.from_bytes(c.encode()) for c in "؟۔։"])
+
+
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
     """(bands, rows): the fewest bands of ``rows`` that reach ``recall`` at ``threshold``."""
     bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
@@ -59,14 +72,19 @@ def paragraphs(w: tk.Words) -> tuple[np.ndarray, ...]:
         return np.zeros(1, np.int64), z, z, np.zeros(0, np.uint64)
     line = np.zeros(len(w.data) + 1, np.int32)
     np.cumsum((w.data == 10) | (w.data == 13), out=line[1:])
+    mark = (w.data == 46) | (w.data == 33) | (w.data == 63)
+    for width, marks in ((2, _STOPS2), (3, _STOPS3)):
+        lead = np.flatnonzero((w.data >= 0xE0) if width == 3 else (w.data >= 0xD6) & (w.data <= 0xDB))
+        code = sum(w.data[lead + i].astype(np.int64) << 8 * (width - 1 - i) for i in range(width))
+        mark[lead[np.isin(code, marks)]] = True
     stop = np.zeros(len(w.data) + 1, np.int32)
-    np.cumsum((w.data == 46) | (w.data == 33) | (w.data == 63), out=stop[1:])
+    np.cumsum(mark, out=stop[1:])
     doc = w.doc
     last = np.ones(n, bool)
     last[:-1] = doc[1:] != doc[:-1]
     newline, sentence = last.copy(), last.copy()
     newline[:-1] |= line[w.start[1:]] > line[w.end[:-1]]
-    sentence[:-1] |= stop[w.start[1:]] > stop[w.end[:-1]]
+    sentence[:-1] |= stop[w.start[1:]] > stop[w.start[:-1]]  # some marks count as parts of words
     sentence |= newline
     ends = np.flatnonzero(sentence)
     length = np.diff(np.concatenate([[-1], ends]))
@@ -81,6 +99,32 @@ def paragraphs(w: tk.Words) -> tuple[np.ndarray, ...]:
     return off, d, np.arange(len(d)) - first[d], uid
 
 
+def stretches(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the stretches taken: the least of each run of PASSAGE words."""
+    run = np.maximum(np.diff(w.off) - PASSAGE + 1, 0)
+    if not run.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = tk._power_tables(len(w.hash))
+    total = np.empty(len(w.hash) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(w.hash * down[: len(w.hash)], out=total[1:])
+    h = tk.mix64((total[STRETCH:] - total[:-STRETCH]) * up[STRETCH - 1 : len(w.hash)] + np.uint64(STRETCH))
+    n = PASSAGE - STRETCH + 1
+    # of equal stretches in a run one is taken, by its place, so that one word over and over yields few
+    place = np.arange(len(h)) - w.off[np.searchsorted(w.off, np.arange(len(h)), "right") - 1]
+    low = (h & ~np.uint64(63)) | (place % n).astype(np.uint64)
+    at = np.arange(len(h))
+    width = 1
+    while width < n:  # at[i]: the least of the ``width`` stretches from i on
+        step = min(width, n - width)
+        a, b = at[:-step], at[step:]
+        at = np.where(low[b] < low[a], b, a)
+        width += step
+    first = np.repeat(w.off[:-1] - np.cumsum(run) + run, run) + np.arange(int(run.sum()))
+    at = np.unique(at[first])
+    return at, h[at]
+
+
 def signatures(w: tk.Words, off: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(paragraphs, bands) band keys; all paragraphs have at least SHINGLE words."""
     sh, _, soff = tk.windows(w.hash, off, SHINGLE)
@@ -95,24 +139,29 @@ def signatures(w: tk.Words, off: np.ndarray, bands: int, rows: int) -> np.ndarra
 
 
 def _long_enough(w: tk.Words):
-    """Paragraphs of MIN_WORDS or more, as a Words view of their own words."""
+    """Paragraphs of MIN_WORDS or more, as a Words view of their own words, and after
+    them the stretches, each as SHINGLE words that no other has: they are alike if equal."""
     off, d, no, uid = paragraphs(w)
     n = np.diff(off)
     keep = np.flatnonzero(n >= MIN_WORDS)
     at = np.repeat(off[:-1][keep], n[keep]) + (np.arange(int(n[keep].sum())) - np.repeat(np.cumsum(n[keep]) - n[keep], n[keep]))
     own = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int64)
-    view = tk.Words(w.hash[at], at, at, own, w.data, w.text_off)
-    return view, own, d[keep], no[keep], uid[keep]
+    first, h = stretches(w)
+    owner = np.searchsorted(w.off, first, "right") - 1
+    alone = tk.mix64(h[:, None] + np.arange(1, SHINGLE + 1, dtype=np.uint64)).reshape(-1)
+    at, own = np.concatenate([at, np.repeat(first, SHINGLE)]), np.concatenate([own, own[-1] + SHINGLE * np.arange(1, len(h) + 1)])
+    view = tk.Words(np.concatenate([w.hash[at[: len(at) - len(alone)]], alone]), at, at, own, w.data, w.text_off)
+    return view, own, np.concatenate([d[keep], owner]), np.concatenate([no[keep], w.off[owner] - first - 1]), np.concatenate([uid[keep], tk.mix64(h)])
 
 
 def catalogue(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, n_words, uid) of each paragraph."""
+    """(doc_id, paragraph, n_words, uid) of each paragraph and stretch."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for b in tk.chunks(batches):
                 _, own, d, no, uid = _long_enough(tk.words(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(no.astype(np.int32)), pa.array(np.diff(own).astype(np.int32)), pa.array(tk.signed(uid))], ["doc_id", "paragraph", "n_words", "uid"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(no.astype(np.int32)), pa.array(np.where(no < 0, STRETCH, np.diff(own)).astype(np.int32)), pa.array(tk.signed(uid))], ["doc_id", "paragraph", "n_words", "uid"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, paragraph int, n_words int, uid bigint")
 
@@ -124,11 +173,16 @@ def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def keys(batches):
         with np.errstate(over="ignore"):
             for b in tk.chunks(batches):
-                view, own, _, _, uid = _long_enough(tk.words(b.column(0)))
+                view, own, _, no, uid = _long_enough(tk.words(b.column(0)))
                 if len(uid):
-                    s = signatures(view, own, bands, rows)
+                    m = int((no >= 0).sum())
+                    s = np.zeros((0, bands), np.uint64)
+                    if m:
+                        s = signatures(tk.Words(view.hash[: own[m]], view.start, view.end, own[: m + 1], view.data, view.text_off), own[: m + 1], bands, rows)
                     s = (s << np.uint64(1)) | (np.arange(bands) > 0).astype(np.uint64)  # the low bit marks band 0
-                    yield pa.RecordBatch.from_arrays([pa.array(tk.signed(s.reshape(-1))), pa.array(tk.signed(np.repeat(uid, bands)))], ["key", "uid"])
+                    # a stretch has its id for its only key, as it can meet its equals only
+                    key = np.concatenate([s.reshape(-1), uid[m:] << np.uint64(1)])
+                    yield pa.RecordBatch.from_arrays([pa.array(tk.signed(key)), pa.array(tk.signed(np.concatenate([np.repeat(uid[:m], bands), uid[m:]])))], ["key", "uid"])
 
     def meet(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -162,8 +216,8 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             for b in tk.chunks(batches):
-                view, own, _, _, uid = _long_enough(tk.words(b.column(0)))
-                ids = tk.signed(uid)
+                view, own, _, no, uid = _long_enough(tk.words(b.column(0)))
+                ids = tk.signed(uid[no >= 0])
                 _, pick = np.unique(ids, return_index=True)
                 if few:
                     want = sent.value
@@ -235,7 +289,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 
 def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row (doc_id, paragraph, n_words, cluster, copies, stays) for each
-    paragraph that has copies; of a cluster the first by (doc_id, paragraph) stays."""
+    paragraph or stretch (``paragraph`` below 0) that has copies; of a cluster the first by (doc_id, place) stays."""
     session_of(docs)
     bands, rows = tune_bands(threshold, recall)
     cat = written(catalogue(docs), "paragraphs")
@@ -246,7 +300,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: f
     alone = met.where("bucket = 0").select("uid").join(comp.select(F.col("node").alias("uid")), "uid", "left_anti")
     cluster = comp.select(F.col("node").alias("uid"), F.col("component").alias("cluster")).unionByName(alone.select("uid", F.col("uid").alias("cluster")))
     rows_ = written(cat.join(cluster, "uid").drop("uid"), "repeats")
-    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("y"), F.col("paragraph").alias("z"))
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("y"), F.abs("paragraph").alias("z"))
     whole = rows_.groupBy("cluster").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("best"))
     return rows_.join(whole, "cluster").select("doc_id", "paragraph", "n_words", "cluster", "copies", (rank == F.col("best")).alias("stays"))
 

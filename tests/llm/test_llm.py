@@ -92,6 +92,18 @@ def test_license_automaton():
     assert not any(n == "MIT" for n, _, _ in scan(plain.replace("merge", "mangle")))
 
 
+def test_licenses_need_their_last_clause():
+    scan = lambda t: {n for _, n, _, _ in license_scan.scan(tk.words(pa.array([t])), tuple(license_scan.TEMPLATES.items()))}
+    ends = {"MIT": "dealings in the software", "ISC": "performance of this software", "BSD-2-Clause": "possibility of such damage", "BSD-3-Clause": "possibility of such damage", "Apache-2.0-header": "limitations under the license", "GPL-header": "along with this program", "MPL-2.0-header": "mozilla org mpl 2 0", "Unlicense": "dealings in the software", "Zlib": "from any source distribution"}
+    for k, end in ends.items():
+        plain = re.sub(r'<<var;name="(\w+)[^>]*>>', lambda m: {"work": "program", "scheme": "https", "ack": "acknowledgment"}.get(m[1], "2024"), license_scan.TEMPLATES[k])
+        plain = " ".join(WORD.findall(re.sub(r"<<beginOptional>>|<<endOptional>>", " ", plain).lower()))
+        assert k in scan(plain) and plain.count(end) == 1, k
+        assert k not in scan(plain.replace(end, end.rsplit(" ", 1)[0] + " altered")), k
+        assert k not in scan(plain[: plain.index(end)]), k
+    assert scan("This is free and unencumbered software released into the public domain.") == {"Unlicense-notice"}
+
+
 def test_license_scan_equals_regex(docs, empty, spark):
     extra = spark.createDataFrame([(900 + i, f"{prose(random.Random(i), 20)} {x}", "en", "s", 1, "c", 1, 1, 0.1) for i, x in enumerate(["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "licensed under the MIT license, licensed under CC BY-SA 4.0"])], SCHEMA)
     d = docs.unionByName(extra)

@@ -33,26 +33,40 @@ _HOLDER = '<<var;name="holder";match="[^ ]+";words=1-12>>'
 _YEAR = '<<var;name="year";match="[0-9]+";words=1-4>>'
 _COPY = f"<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> {_YEAR} {_HOLDER} <<beginOptional>>All rights reserved.<<endOptional>><<endOptional>>"
 _VERSION = '<<var;name="version";match="[0-9]+";words=1-2>>'
+_SCHEME = '<<beginOptional>><<var;name="scheme";match="https?";words=1-1>><<endOptional>>'
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+_CLAIM = "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
-_BSD_END = f'THIS SOFTWARE IS PROVIDED BY {_HOLDER} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+_BSD_END = f'THIS SOFTWARE IS PROVIDED BY {_HOLDER} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {_HOLDER} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
-#: Licence id -> template.
+
+def _gnu(name: str) -> str:
+    """The header of a GNU licence; the postal address of old ones may follow."""
+    work = '<<var;name="work";match="program|library|software";words=1-1>>'
+    return f"This {work} is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version {_VERSION} of the License, or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {work}<<beginOptional>>. If not, see {_SCHEME} www.gnu.org/licenses/<<endOptional>><<beginOptional>>; if not, write to the Free Software Foundation<<beginOptional>>, Inc.<<endOptional>><<endOptional>>"
+
+
+#: Licence id -> template: the whole mandatory wording of a licence or file header; ids that
+#: end in -notice are one-line mentions.
 TEMPLATES: dict[str, str] = {
     "MIT-notice": "<<beginOptional>>This work is<<endOptional>> <<beginOptional>>This software is<<endOptional>> <<var;name=\"verb\";match=\"released|licensed|distributed\";words=1-1>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "Apache-notice": f"Licensed under the Apache License, Version {_VERSION}",
     "GPL-notice": f"<<beginOptional>>This work is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License<<beginOptional>>, version {_VERSION}<<endOptional>>",
     "CC-notice": f"<<beginOptional>>This work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY<<beginOptional>>-NC<<endOptional>><<beginOptional>>-SA<<endOptional>><<beginOptional>>-ND<<endOptional>> {_VERSION}",
     "CC0-notice": "<<beginOptional>>To the extent possible under law, <<endOptional>>dedicated to the public domain",
-    "MIT": f"<<beginOptional>>MIT License<<endOptional>> {_COPY} Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. {_AS_IS}",
-    "ISC": f"<<beginOptional>>ISC License<<endOptional>> {_COPY} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT": f"<<beginOptional>>MIT License<<endOptional>> {_COPY} Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. {_AS_IS} IN NO EVENT SHALL {_HOLDER} {_CLAIM}",
+    "ISC": f"<<beginOptional>>ISC License<<endOptional>> {_COPY} Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND {_HOLDER} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {_HOLDER} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": f"{_COPY} {_BSD_START} {_BSD_END}",
     "BSD-3-Clause": f"{_COPY} {_BSD_START} <<beginOptional>>3.<<endOptional>> Neither the name of {_HOLDER} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<beginOptional>>http://www.apache.org/licenses/LICENSE-2.0<<endOptional>>",
-    "GPL-header": f"This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version {_VERSION} of the License, or (at your option) any later version.",
-    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Apache-2.0-header": f"Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<beginOptional>>{_SCHEME} www.apache.org/licenses/LICENSE-2.0<<endOptional>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-header": _gnu("General Public License"),
+    "LGPL-header": _gnu("Lesser General Public License"),
+    "AGPL-header": _gnu("Affero General Public License"),
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-header": f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {_SCHEME} mozilla.org/MPL/2.0/.",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain.",
+    "Unlicense": f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_AS_IS} IN NO EVENT SHALL THE AUTHORS {_CLAIM} <<beginOptional>>For more information, please refer to {_SCHEME} unlicense.org<<endOptional>>",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an <<var;name=\"ack\";match=\"acknowledge?ment\";words=1-1>> in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.",
 }
 
 SCHEMA = "doc_id bigint, license_id string, first_pos int, found int"

@@ -236,6 +236,28 @@ def test_shards(docs, empty, spark, tmp_path):
     assert sharding.uniform_shards(empty).count() == 0
 
 
+def test_shards_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    """Splits of another size for each job, as after the loss of an executor."""
+    monkeypatch.setattr(sharding, "BLOCK", 64, raising=False)
+    spark.range(3000).selectExpr("id", "repeat(cast(id as string), 50) text").repartition(2).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "n"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = []
+    try:
+        for counting, dealing in (("64m", "4k"), ("4k", "64m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", counting)
+            src = spark.read.parquet(str(tmp_path / "n"))
+            df = sharding.uniform_shards(src, 100)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", dealing)
+            out.append(sorted((r.shard, r.pos, r.id) for r in df.select("*").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert out[0] == out[1] and sorted(i for _, _, i in out[0]) == list(range(3000))
+    assert Counter(s for s, _, _ in out[0]) == {s: 100 for s in range(30)}
+    assert sharding._plain_scan(src.drop("x")) and not sharding._plain_scan(src.where("id > 5"))
+    some = sharding.uniform_shards(spark.read.parquet(str(tmp_path / "n")).where("id % 3 = 0"), 100).collect()
+    assert Counter(r.shard for r in some) == {s: 100 for s in range(10)} and {r.id for r in some} == set(range(0, 3000, 3))
+
+
 def test_shuffle_is_uniform(spark, tmp_path):
     spark.range(40).selectExpr("id").repartition(3).write.parquet(str(tmp_path / "n"))
     d = spark.read.parquet(str(tmp_path / "n"))

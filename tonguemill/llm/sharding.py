@@ -1,19 +1,20 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication
 matrix.
 
-Entry (p, j) of the matrix says how many rows of input partition p go to shard j.
+Entry (p, j) of the matrix says how many rows of input block p go to shard j.
 Its rows are drawn jointly multivariate-hypergeometric, which is how a uniformly
 random permutation of all rows would split them; column sums are the shard sizes.
-No task needs the whole matrix: the partitions are the leaves of a binary tree
+No task needs the whole matrix: the blocks are the leaves of a binary tree
 whose nodes split the remaining shard capacities by a draw seeded with the node,
-so a task finds its own row by walking from the root, in O(shards * log
-partitions), and every task finds the same splits. Within a partition the row's
+so a task finds its own rows by walking from the root, in O(shards * log
+blocks), and every task finds the same splits. Within a block the row's
 counts are dealt in random order (local permutation), rows move once (exchange),
 and each shard is ordered by a random key (second permutation).
 
-The only thing sent to the tasks is the row count of each partition. Counts and
-dealing must see the same partitions, which holds for a file scan; any other
-input is first written to the shared folder.
+A block is :data:`BLOCK` neighbouring rows of a Parquet file, told by the file's path and
+the rows' numbers in it. That doesn't depend on how a job cuts files into partitions, so executors may be
+lost or regained between counting and dealing. The only thing sent to the tasks is the row
+count of each file. Input that isn't a plain scan of Parquet files is first written to the shared folder.
 
 Nulls and odd input: rows are dealt whatever they hold, equal rows one by one; an
 empty table gives no rows; input columns named ``shard`` or ``pos`` are replaced.
@@ -33,6 +34,7 @@ from .tables import session_of, table, written
 
 ROWS_PER_SHARD = 4096
 SEED = 20260105
+BLOCK = 1 << 16
 _BIG = 900_000_000  # numpy's generator takes populations up to 10**9
 
 
@@ -103,37 +105,54 @@ def matrix_row(counts: np.ndarray, shards: int, p: int, seed: int) -> np.ndarray
     return have
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a scan of Parquet files that leaves no row out."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() == "Project":
+        node = node.child()
+    plain = node.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
+    return plain and "FileScan parquet" in docs._jdf.queryExecution().executedPlan().toString()
+
+
 def uniform_shards(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """``docs`` with ``shard`` and ``pos`` (place in the shard, from 0). All
     shards hold the same number of rows, up to one."""
     spark = session_of(docs)
     docs = docs.drop("shard", "pos")
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Scan Existing", "InMemoryTableScan", "Union")) or "FileScan" not in plan:
+    if not _plain_scan(docs):
         docs = written(docs, "shard-input")
-    found = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = np.zeros(max((r.p for r in found), default=-1) + 1, np.int64)
-    for r in found:
-        counts[r.p] = r.n
+    found = sorted((r.f, r.n) for r in docs.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = np.array([min(BLOCK, n - i) for _, n in found for i in range(0, n, BLOCK)], np.int64)
+    first = dict(zip((f for f, _ in found), np.cumsum([0, *(-(-n // BLOCK) for _, n in found)]).tolist()))
     rows = int(counts.sum())
     shards = max(1, -(-rows // rows_per_shard))
-    sent = spark.sparkContext.broadcast(counts)
+    sent = spark.sparkContext.broadcast((counts, first))
 
     @F.pandas_udf("struct<shard int, key bigint>")
-    def deal(ids: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        labels = rng = None
-        for mid in ids:
-            v = mid.to_numpy()
-            if labels is None and len(v):
-                p = int(v[0] >> 33)
-                row = matrix_row(sent.value, shards, p, seed)
+    def deal(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        counts, first = sent.value
+        have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def dealt(p: int) -> tuple[np.ndarray, np.ndarray]:
+            if p not in have:
+                if len(have) > 3:
+                    have.clear()
                 rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 1 << 40, p])))
-                labels = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), row))
-            at = v & ((1 << 33) - 1)
-            yield pd.DataFrame({"shard": labels[at] if len(v) else [], "key": rng.integers(0, 1 << 62, len(v)) if len(v) else []})
+                have[p] = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), matrix_row(counts, shards, p, seed))), rng.integers(0, 1 << 62, counts[p])
+            return have[p]
+
+        for path, number in parts:
+            at = number.to_numpy()
+            which = path.map(first).to_numpy(np.int64) + at // BLOCK
+            shard, key = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
+            for p in np.unique(which):
+                mine = which == p
+                labels, keys = dealt(int(p))
+                shard[mine], key[mine] = labels[at[mine] % BLOCK], keys[at[mine] % BLOCK]
+            yield pd.DataFrame({"shard": shard, "key": key})
 
     columns = docs.columns
-    dealt = docs.withColumn("__tm_deal", deal(F.monotonically_increasing_id()))
+    dealt = docs.withColumn("__tm_deal", deal(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
     order = Window.partitionBy("__tm_shard").orderBy("__tm_key")
     return (
         dealt.select(*[F.col(f"`{c}`") for c in columns], F.col("__tm_deal.shard").alias("__tm_shard"), F.col("__tm_deal.key").alias("__tm_key"))

@@ -210,6 +210,27 @@ def test_skip_edges_carry_evidence():
     assert np.abs(joined[0] - joined[1]).sum() <= np.abs(alone[0] - alone[1]).sum() + 1e-9
 
 
+def test_evidence_reaches_fifty_repeats():
+    """Beliefs along a chain of 50 repeats equal marginals by matrix products."""
+    rng = np.random.default_rng(5)
+    w = {k: rng.normal(0, 1, s) for k, s in pii_crf._sizes().items()}
+    w["skip"] = 5 * np.eye(len(pii_crf.LABELS))
+    feat = np.tile([0, pii_crf.PLAIN, pii_crf.PLAIN, 0], (50, 1))
+    feat[0, 3] = 2
+    w["cue"][2] = [0, 0, 40, 0, 0, 0]
+    skip = np.stack([np.arange(49), np.arange(1, 50)], 1)
+    got = pii_crf.propagate(feat, np.zeros((0, 2), np.int64), skip, w)
+    u = np.exp(pii_crf._unary(feat, w) + w["chain"][0] + w["chain"][:, 0])
+    left, right = [np.ones(6)], [np.ones(6)]
+    for i in range(49):
+        left.append((left[-1] * u[i]) @ np.exp(w["skip"]))
+        left[-1] /= left[-1].sum()
+        right.append(np.exp(w["skip"]) @ (right[-1] * u[49 - i]))
+        right[-1] /= right[-1].sum()
+    want = u * np.array(left) * np.array(right[::-1])
+    assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-6)
+
+
 # -- 4
 
 

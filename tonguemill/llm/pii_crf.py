@@ -6,7 +6,9 @@ after it with its label, a cue word shortly before it, neighbouring labels, and
 edges that join each token to the next one in the document with the same or a similar
 written form (the same digits, or the same letters, whatever marks surround
 them): they share their evidence however far apart they stand. Inference is loopy
-belief propagation with damping, over all edges of many documents at once; the label
+belief propagation over all edges of many documents at once: neighbours form
+paths, and so do repeats, and messages go along whole paths, forward and backward, first of
+one kind, then of the other, until they no longer change. The label
 is the most probable one of each token's belief.
 
 A token that holds no digit and no ``@`` and is shorter than :data:`LONG` bytes has the
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import random
 import re
+import warnings
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +41,8 @@ from .tables import session_of, table
 
 LABELS = ["O", "EMAIL", "PHONE", "CARD", "IP", "SECRET"]
 LONG = 32
-SWEEPS, DAMPING = 12, 0.3
+#: Messages are damped from sweep EASY on, where loops keep them changing; SWEEPS is a guard only.
+SWEEPS, EASY, DAMPING = 200, 6, 0.3
 TRAIN_DOCS, HELD_OUT, SEED = 1500, 400, 11
 SCHEMA = "doc_id bigint, label string, start int, end int, value string"
 
@@ -259,6 +263,35 @@ def _edges_to_o(n: int, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+def _levels(n: int, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Paths of ``edges`` by place: (nodes, their predecessors) at distance 1, 2, ... from the path's first node."""
+    if not len(edges):
+        return []
+    before = np.full(n, -1)
+    before[edges[:, 1]] = edges[:, 0]
+    place, far = (before >= 0).astype(np.int64), before.copy()
+    while len(i := np.flatnonzero(far >= 0)):
+        place[i], far[i] = place[i] + place[far[i]], far[far[i]]
+    nodes = np.argsort(place, kind="stable")
+    at = np.searchsorted(place[nodes], np.arange(1, int(place.max()) + 2))
+    return [(x, before[x]) for x in (nodes[a:b] for a, b in zip(at, at[1:]))]
+
+
+def _along(base: np.ndarray, levels: list, pot: np.ndarray) -> np.ndarray:
+    """The sum of the messages from both sides into each node of the paths."""
+    ahead, back = np.zeros_like(base), np.zeros_like(base)
+    for x, p in levels:
+        ahead[x] = _pass(base[p] + ahead[p], pot)
+    for x, p in reversed(levels):
+        back[p] = _pass(base[x] + back[x], pot.T)
+    return ahead + back
+
+
+def _pass(out: np.ndarray, pot: np.ndarray) -> np.ndarray:
+    new = np.log(np.exp(out - out.max(1, keepdims=True)) @ pot)
+    return new - new.max(1, keepdims=True)
+
+
 def propagate(feat: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict) -> np.ndarray:
     """Beliefs [tokens, labels] by loopy belief propagation."""
     n, m = len(feat), len(LABELS)
@@ -267,27 +300,22 @@ def propagate(feat: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict) ->
     theta = _unary(feat, w)
     left, right = _edges_to_o(n, chain)
     theta = theta + left[:, None] * w["chain"][0] + right[:, None] * w["chain"][:, 0]
-    a = np.concatenate([chain[:, 0], skip[:, 0]])
-    b = np.concatenate([chain[:, 1], skip[:, 1]])
-    pot = np.concatenate([np.broadcast_to(w["chain"], (len(chain), m, m)), np.broadcast_to(w["skip"], (len(skip), m, m))])
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    pot = np.exp(np.concatenate([pot, pot.transpose(0, 2, 1)]))
-    e = len(a)
-    back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-    msg = np.zeros((2 * e, m))
-    for _ in range(SWEEPS if e else 0):
-        belief = theta.copy()
-        np.add.at(belief, dst, msg)
-        out = belief[src] - msg[back]
-        out -= out.max(1, keepdims=True)
-        new = np.log(np.einsum("ei,eij->ej", np.exp(out), pot))
-        new -= new.max(1, keepdims=True)
-        change = float(np.abs(new - msg).max())
-        msg = DAMPING * msg + (1 - DAMPING) * new
-        if change < 1e-4:
+    paths = [(_levels(n, e), np.exp(w[k])) for e, k in ((chain, "chain"), (skip, "skip"))]
+    msg = [np.zeros((n, m)), np.zeros((n, m))]
+    for sweep in range(SWEEPS):
+        change = 0.0
+        for k in (0, 1):
+            if paths[k][0]:
+                new = _along(theta + msg[1 - k], *paths[k])
+                if sweep >= EASY:
+                    new = DAMPING * msg[k] + (1 - DAMPING) * new
+                change = max(change, float(np.abs(new - msg[k]).max()))
+                msg[k] = new
+        if change < 1e-4 or not (len(chain) and len(skip)):  # paths of one kind are exact at once
             break
-    belief = theta.copy()
-    np.add.at(belief, dst, msg)
+    else:
+        warnings.warn(f"beliefs still change by {change:.2g} after {SWEEPS} sweeps", stacklevel=2)
+    belief = theta + msg[0] + msg[1]
     belief -= belief.max(1, keepdims=True)
     p = np.exp(belief)
     return p / p.sum(1, keepdims=True)

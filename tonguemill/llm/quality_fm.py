@@ -8,16 +8,18 @@ of a few structure statistics; its ``lang``, ``source`` and length class. The sc
 where the bracket gives all pairwise interactions <v_i, v_j> in time linear in
 the features. Trained on ``labels``: a document is to be kept if its quality is 1
 and it is not toxic. Training uses at most :data:`TRAIN_ROWS` labelled documents,
-those whose hash is smallest, in mini-batches of Adam. Labels are noisy and most
-words are rare, so only features that pass a score test get weights (MIN_DF and
-SCREEN_Z). The scan that scores is one pass without shuffle; the weights (about
-5 MB, fixed by LOG_DIM and RANK) are broadcast.
+those whose hash is smallest. Labels are noisy and most words are rare: a group lasso over
+each feature's weight and factors, all features of the sample taking part from the start,
+takes those that don't matter to zero. The scan that scores is one pass without shuffle; the
+weights (about 5 MB, fixed by LOG_DIM and RANK) are broadcast.
 
 Nulls and odd input: a null text counts as empty (no words; its statistics are
-those of an empty text); a null lang or source is a value of its own; equal rows
-get equal scores; label rows with nulls or without a document aren't used, and
-repeated labels of a document count once each; with no usable labels, or labels of
-one kind only, everything is kept (score = the prior, or 0.5); extra columns pass.
+those of an empty text); a null lang or source, or a table without that column, is a value of its
+own; very long texts are scored whole; equal rows get equal scores; a score of just the
+threshold is kept; label rows with nulls or without a document aren't used, and
+repeated labels of a document count once each (of equal documents the majority, ties for
+keeping); with no usable labels, or labels of one kind only, everything is kept (score = the
+prior, or 0.5); an empty table gives an empty one; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from .tables import session_of, table
 
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_ROWS = 20_000
-LOG_DIM, RANK, EPOCHS, BATCH, L2 = 18, 4, 6, 256, 3e-4
-#: Features get weights if at least so many training documents have them and their
-#: share of kept documents is so many standard errors off the average.
-MIN_DF, SCREEN_Z = 5, 4.0
+LOG_DIM, RANK, L2, RATE = 18, 4, 1e-4, 0.05
+#: Strength of the group lasso, against a mean loss, so that it is the same at every size of the
+#: sample; steps with it, and steps after it on the features that it leaves.
+LASSO, STEPS, REFIT = 5e-3, 60, 80
 THRESHOLD = 0.5
 _SEED = 7
 
@@ -113,69 +115,70 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(doc, bucket, n), -40, 40)))
 
 
+class _Sparse:
+    """Binary rows of features as places (row, feature), by row and by feature."""
+
+    def __init__(self, x: np.ndarray, size: np.ndarray, dim: int):
+        self.x, self.row, self.n, self.dim = x, np.repeat(np.arange(len(size)), size), len(size), dim
+        order = np.argsort(x, kind="stable")
+        self.by_x, self.row_by_x = x[order], self.row[order]
+
+    def rows(self, of_feature: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=of_feature[self.x], minlength=self.n).astype(float)
+
+    def features(self, of_row: np.ndarray) -> np.ndarray:
+        return np.bincount(self.by_x, weights=of_row[self.row_by_x], minlength=self.dim).astype(float)
+
+
+def _descend(at: _Sparse, y: np.ndarray, weight: np.ndarray, p: np.ndarray, w0: float, steps: int, lasso: float) -> tuple[np.ndarray, float]:
+    """Adam on the whole batch, p[0] the weights and p[1:] the factors; with ``lasso``, each
+    feature's vector shrinks as a group after each step."""
+    mom, var, b0 = np.zeros_like(p), np.zeros_like(p), 0.0
+    for t in range(1, steps + 1):
+        s = np.stack([at.rows(c) for c in p])
+        z = w0 + s[0] + 0.5 * ((s[1:] ** 2).sum(0) - at.rows((p[1:] ** 2).sum(0)))
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
+        grad = np.stack([at.features(g), *(at.features(g * c) for c in s[1:])])
+        grad[1:] -= p[1:] * grad[0]
+        grad += L2 * p
+        mom, var, b0 = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad**2, 0.9 * b0 + 0.1 * g.sum()
+        rate = RATE * min(1.0, 2 * (steps - t + 1) / steps)
+        step = rate / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
+        p = p - step * mom / (1 - 0.9**t)
+        if lasso:
+            p *= np.maximum(0, 1 - lasso * step[0] / np.maximum(np.sqrt((p**2).sum(0)), 1e-12))
+        w0 -= rate * b0
+    return p, w0
+
+
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = _SEED) -> Model:
     """Fit to (buckets, 0/1) rows. The loss weighs both labels alike."""
     dim = 1 << LOG_DIM
-    y = np.array([r[1] for r in rows], float)
-    empty = Model(0.0, np.zeros(dim), np.zeros((dim, RANK)), np.zeros(dim, bool))
-    if len(y) == 0:
-        return empty
-    if y.min() == y.max():
-        empty.w0 = 40.0
-        return empty
     alike: dict[bytes, list[int]] = {}
     for i, r in enumerate(rows):  # copies of a document count as one, by majority
         alike.setdefault(r[0].tobytes(), []).append(i)
-    rows = [(rows[i[0]][0], int(2 * y[i].sum() >= len(i))) for i in alike.values()]
-    y = np.array([r[1] for r in rows], float)
+    votes = [(rows[i[0]][0], int(2 * sum(rows[k][1] for k in i) >= len(i))) for i in alike.values()]
+    y = np.array([v[1] for v in votes], float)
+    model = Model(0.0, np.zeros(dim), np.zeros((dim, RANK)), np.zeros(dim, bool))
+    if len(y) == 0:
+        return model
     if y.min() == y.max():
-        empty.w0 = 40.0
-        return empty
-    df = np.bincount(np.concatenate([r[0] for r in rows]), minlength=dim)
-    good = np.bincount(np.concatenate([r[0] for r in rows]), weights=np.repeat(y, [len(r[0]) for r in rows]), minlength=dim)
-    rate = y.mean()
-    z = (good - df * rate) / np.sqrt(np.maximum(df * (1 - df / len(y)), 1e-9) * rate * (1 - rate))
-    active = (df >= min(MIN_DF, max(1, len(y) // 20))) & (np.abs(z) >= SCREEN_Z)
-    ids = np.full(dim, -1)
-    ids[active] = np.arange(active.sum())
-    xs = [ids[r[0][active[r[0]]]] for r in rows]
-    m = int(active.sum())
+        model.w0 = 40.0
+        return model
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    size = np.array([len(v[0]) for v in votes])
+    ids, x = np.unique(np.concatenate([v[0] for v in votes]), return_inverse=True)
     rng = np.random.default_rng(seed)
-    p = np.zeros((m, RANK + 1))
-    p[:, 1:] = rng.normal(0, 0.01, (m, RANK))
-    w0 = 0.0
-    mom, var = np.zeros_like(p), np.zeros_like(p)
-    b0 = 0.0
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    step, epochs = 0, max(EPOCHS, min(60, 60_000 // len(y)))
-    total = epochs * -(-len(y) // BATCH)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            pick = order[at : at + BATCH]
-            step += 1
-            n = len(pick)
-            doc = np.repeat(np.arange(n), [len(xs[i]) for i in pick])
-            x = np.concatenate([xs[i] for i in pick])
-            q = p[x]
-            sums = np.stack([np.bincount(doc, weights=q[:, f], minlength=n) for f in range(RANK + 1)], 1)
-            squares = np.stack([np.bincount(doc, weights=q[:, f] ** 2, minlength=n) for f in range(1, RANK + 1)], 1)
-            z = w0 + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2 - squares).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick]) * weight[pick] / n
-            grad = np.empty_like(q)
-            grad[:, 0] = g[doc]
-            grad[:, 1:] = g[doc, None] * (sums[doc, 1:] - q[:, 1:])
-            used, back = np.unique(x, return_inverse=True)
-            total_g = np.stack([np.bincount(back, weights=grad[:, f]) for f in range(RANK + 1)], 1)
-            total_g += L2 * p[used]
-            lr = 0.05 * (1 - (step - 1) / total)
-            mom[used] = 0.9 * mom[used] + 0.1 * total_g
-            var[used] = 0.99 * var[used] + 0.01 * total_g**2
-            p[used] -= lr * (mom[used] / (1 - 0.9 ** min(step, 500))) / (np.sqrt(var[used] / (1 - 0.99 ** min(step, 5000))) + 1e-6)
-            b0 = 0.9 * b0 + 0.1 * g.sum()
-            w0 -= lr * b0
-    w, v = np.zeros(dim), np.zeros((dim, RANK))
-    w[active], v[active] = p[:, 0], p[:, 1:]
+    p = np.concatenate([np.zeros((1, len(ids))), rng.normal(0, 0.2, (RANK, len(ids)))])
+    p, w0 = _descend(_Sparse(x, size, len(ids)), y, weight, p, 0.0, STEPS, LASSO)
+    on = np.flatnonzero((p**2).sum(0) > 0)  # what the lasso leaves is fitted again without it
+    number = np.full(len(ids), -1)
+    number[on] = np.arange(len(on))
+    left = number[x] >= 0
+    size = np.bincount(np.repeat(np.arange(len(size)), size)[left], minlength=len(size))
+    p, w0 = _descend(_Sparse(number[x[left]], size, len(on)), y, weight, p[:, on], w0, REFIT, 0.0)
+    w, v, active = np.zeros(dim), np.zeros((dim, RANK)), np.zeros(dim, bool)
+    w[ids[on]], v[ids[on]], active[ids[on]] = p[0], p[1:].T, True
     return Model(w0, w, v, active)
 
 

@@ -70,3 +70,18 @@ def session_of(df: DataFrame) -> SparkSession:
     return ready(df.sparkSession)
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` as names that aren't among ``columns``, whatever the case of letters: each
+    with as many ``_`` at its end as that takes."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]

@@ -18,11 +18,16 @@ sorting a source in one place, documents fall into buckets by leading bits of
 the hash; bucket sums are added up in order, and only the bucket in which the
 budget ends is looked at document by document. A hot source is thus spread like any other.
 
-Nulls and odd input: a null source is a source of its own; a document without tokens
+The text is read twice: one pass writes source, id, hash and tokens of each row, of which the
+plan is made; another deals the rows, all blocks at once.
+
+Nulls and odd input: a null source is a source of its own, and a null ``doc_id`` a value like
+others; a document without tokens
 (null or empty text) belongs to whole blocks only, and to a partial block while there is
-budget before its place; equal rows have equal places in the order and are counted one by one;
+budget before its place; a very long document is whole or not at all in a block, so the last
+one may exceed the budget; equal rows have equal places in the order and are counted one by one;
 a source without tokens has no weight and gives no rows, nor does an
-empty table. Columns pass through; clashing names aren't touched.
+empty table. Columns pass through; those named like the added ones keep their names and values.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import session_of, table
+from .tables import fresh, quoted, session_of, table, written
 
 ENTROPY_SHARE, MAX_REPEATS, SEED = 0.97, 4.0, 2026
 STEPS = 60
@@ -92,11 +97,20 @@ def temperature_weights(tokens: list[int], entropy_share: float = ENTROPY_SHARE,
     return a, weights(a)
 
 
+def _light(docs: DataFrame) -> DataFrame:
+    """(s, i, h, n): source, id, hash of the text and tokens of each row; no text."""
+    return docs.select(F.col("source").cast("string").alias("s"), F.col("doc_id").cast("bigint").alias("i"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("h"), n_tokens(F.col("text")).cast("bigint").alias("n"))
+
+
 def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget: int | None = None) -> list[tuple]:
     """(source, tokens, weight, budget, whole blocks, rest) of each source, in order.
 
     What reaches the driver is one row for each source."""
-    found = docs.groupBy(F.col("source").alias("s")).agg(F.sum(n_tokens(F.col("text"))).alias("t")).collect()
+    return _plan(_light(docs), entropy_share, max_repeats, budget)
+
+
+def _plan(light: DataFrame, entropy_share: float, max_repeats: float, budget: int | None) -> list[tuple]:
+    found = light.groupBy("s").agg(F.sum("n").alias("t")).collect()
     rows = sorted(((r.s, int(r.t)) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
     total = sum(t for _, t in rows)
     _, w = temperature_weights([t for _, t in rows], entropy_share, max_repeats)
@@ -108,46 +122,58 @@ def plan(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: flo
     return out
 
 
-def _key(block: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(F.col("__tm_id").cast("string"), F.lit("null")), F.col("__tm_text")))
+def _key(block: Column, i: Column, h: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(i.cast("string"), F.lit("null")), h))
 
 
-def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """``docs`` as often as the plan takes each, with ``__tm_block`` (from 0),
-    ``__tm_key`` (place in the block) and ``__tm_tokens``."""
-    spark = session_of(docs)
-    p = plan(docs, entropy_share, max_repeats, budget)
-    per_source = spark.createDataFrame([(r[0], int(r[4]), int(r[5])) for r in p], "__tm_source string, __tm_whole int, __tm_rest bigint")
-    base = docs.withColumns({"__tm_id": F.col("doc_id").cast("bigint"), "__tm_text": F.md5(F.coalesce(F.col("text"), F.lit("")))})
-    # a row for each source, no text: its size is that of the source catalogue
-    small = F.broadcast(per_source) if len(p) <= 100_000 else per_source
-    base = base.join(small, F.col("source").eqNullSafe(F.col("__tm_source")))
-    cut = _cuts(docs, per_source, small, seed)
-    cut = F.broadcast(cut) if len(p) <= 100_000 else cut
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = (
-        base.where("__tm_whole > 0")
-        .withColumn("__tm_block", F.explode(F.sequence(F.lit(0), F.col("__tm_whole") - 1)))
-        .select(*names, "__tm_block", _key(F.col("__tm_block"), seed).alias("__tm_key"), n_tokens(F.col("text")).alias("__tm_tokens"))
-    )
-    last = base.where("__tm_rest > 0").withColumn("__tm_block", F.col("__tm_whole")).withColumn("__tm_key", _key(F.col("__tm_block"), seed)).withColumn("__tm_bucket", F.substring("__tm_key", 1, BUCKET_DIGITS))
-    last = last.join(cut, F.col("source").eqNullSafe(F.col("__tm_cut_source")))
-    inside = last.where("__tm_bucket < __tm_cut").select(*names, "__tm_block", "__tm_key", n_tokens(F.col("text")).alias("__tm_tokens"))
-    edge = last.where("__tm_bucket = __tm_cut").withColumn("__tm_tokens", n_tokens(F.col("text")))
-    so_far = Window.partitionBy("__tm_cut_source").orderBy("__tm_key").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("__tm_before", F.coalesce(F.sum("__tm_tokens").over(so_far), F.lit(0))).where("__tm_before < __tm_left").select(*names, "__tm_block", "__tm_key", "__tm_tokens")
-    return whole.unionByName(inside).unionByName(edge)
-
-
-def _cuts(docs: DataFrame, per_source: DataFrame, small: DataFrame, seed: int) -> DataFrame:
-    """The bucket in which each source's last block ends, and the budget left there."""
-    light = docs.select("source", F.col("doc_id").cast("bigint").alias("__tm_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("__tm_text"), n_tokens(F.col("text")).alias("__tm_n")).join(small, F.col("source").eqNullSafe(F.col("__tm_source"))).where("__tm_rest > 0")
-    sums = light.groupBy(F.col("__tm_source").alias("s"), "__tm_rest", F.substring(_key(F.col("__tm_whole"), seed), 1, BUCKET_DIGITS).alias("b")).agg(F.sum("__tm_n").alias("n"))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A row for each source, no text: broadcast while the catalogue of sources has at most 100,000."""
+    return F.broadcast(df) if rows <= 100_000 else df
+
+
+def _cuts(light: DataFrame, p: list[tuple], seed: int) -> dict:
+    """Source -> (place of the last row of its partial block, how many rows of that place
+    are in the block, how many there are)."""
+    spark = light.sparkSession
+    rest = spark.createDataFrame([(r[0], int(r[4]), int(r[5])) for r in p if r[5]], "ps string, whole int, rest bigint")
+    keyed = light.join(_small(rest, len(p)), F.col("s").eqNullSafe(F.col("ps"))).select("s", "rest", "n", _key(F.col("whole"), F.col("i"), F.col("h"), seed).alias("k"))
+    keyed = keyed.withColumn("b", F.substring("k", 1, BUCKET_DIGITS))
+    sums = keyed.groupBy("s", "rest", "b").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # the last bucket that begins within the budget: the budget ends in it
-    last = sums.where("before < __tm_rest").groupBy("s", "__tm_rest").agg(F.max_by(F.struct("b", "before"), "b").alias("x"))
-    return last.select(F.col("s").alias("__tm_cut_source"), F.col("x.b").alias("__tm_cut"), (F.col("__tm_rest") - F.col("x.before")).alias("__tm_left"))
+    last = sums.where("before < rest").groupBy(F.col("s").alias("cs")).agg(F.max_by(F.struct("b", (F.col("rest") - F.col("before")).alias("left")), "b").alias("x")).select("cs", F.col("x.b").alias("cb"), "x.left")
+    edge = keyed.join(_small(last, len(p)), F.col("s").eqNullSafe(F.col("cs")) & (F.col("b") == F.col("cb"))).groupBy("s", "left", "k").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    upto = Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("gap", F.col("left") - F.coalesce(F.sum(F.col("c") * F.col("n")).over(upto), F.lit(0))).where("gap > 0")
+    took = F.when(F.col("n") > 0, F.least(F.col("c"), F.ceil(F.col("gap") / F.col("n")))).otherwise(F.col("c"))
+    found = edge.groupBy("s").agg(F.max(F.struct("k", took.alias("took"), "c")).alias("x")).collect()
+    return {r.s: (r.x.k, int(r.x.took), int(r.x.c)) for r in found}
+
+
+def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` as often as the plan takes each, and three columns at the end: ``__tm_block``
+    (from 0), ``__tm_key`` (place in the block) and ``__tm_tokens``. Where docs has a column of
+    such a name it keeps it, and the new one's name ends in ``_``."""
+    spark = session_of(docs)
+    light = written(_light(docs), "mix-rows")
+    p = _plan(light, entropy_share, max_repeats, budget)
+    ends = _cuts(light, p, seed)
+    added = fresh(docs.columns, "__tm_block", "__tm_key", "__tm_tokens")
+    block, key, count = added
+    src, whole, end, all_in, took, i, h = fresh([*docs.columns, *added], "__tm_src", "__tm_whole", "__tm_end", "__tm_all", "__tm_took", "__tm_i", "__tm_h")
+    per_source = spark.createDataFrame([(r[0], int(r[4]), e[0] if e else None, e[1] == e[2] if e else None, e[1] if e else 0) for r in p for e in [ends.get(r[0])]], f"{src} string, {whole} int, {end} string, {all_in} boolean, {took} bigint")
+    base = docs.withColumns({i: F.col("doc_id").cast("bigint"), h: F.md5(F.coalesce(F.col("text"), F.lit(""))), count: n_tokens(F.col("text"))}).join(_small(per_source, len(p)), F.col("source").cast("string").eqNullSafe(F.col(src)))
+    blocks = base.withColumn(block, F.explode(F.sequence(F.lit(0), F.col(whole)))).withColumn(key, _key(F.col(block), F.col(i), F.col(h), seed))
+    columns = quoted([*docs.columns, *added])
+    at_end = F.col(key) == F.col(end)
+    out = blocks.where((F.col(block) < F.col(whole)) | (F.col(key) < F.col(end)) | (at_end & F.col(all_in))).select(*columns)
+    if all(c == n for _, n, c in ends.values()):
+        return out
+    # equal rows share a place, and not all of them are in the block
+    no = Window.partitionBy(src).orderBy(F.lit(0))
+    tied = blocks.where((F.col(block) == F.col(whole)) & at_end & ~F.col(all_in)).withColumn(i, F.row_number().over(no)).where(F.col(i) <= F.col(took))
+    return out.unionByName(tied.select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

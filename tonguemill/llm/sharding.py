@@ -6,8 +6,8 @@ Its rows are drawn jointly multivariate-hypergeometric, which is how a uniformly
 random permutation of all rows would split them; column sums are the shard sizes.
 No task needs the whole matrix: the blocks are the leaves of a binary tree
 whose nodes split the remaining shard capacities by a draw seeded with the node,
-so a task finds its own rows by walking from the root, in O(shards * log
-blocks), and every task finds the same splits. Within a block the row's
+so every task finds the same splits and walks only to its own rows. It keeps the nodes on its way,
+so the way from the root, O(shards * log(blocks)), is walked once a task and not once a block. Within a block the row's
 counts are dealt in random order (local permutation), rows move once (exchange),
 and each shard is ordered by a random key (second permutation).
 
@@ -16,8 +16,9 @@ the rows' numbers in it. That doesn't depend on how a job cuts files into partit
 lost or regained between counting and dealing. The only thing sent to the tasks is the row
 count of each file. Input that isn't a plain scan of Parquet files is first written to the shared folder.
 
-Nulls and odd input: rows are dealt whatever they hold, equal rows one by one; an
-empty table gives no rows; input columns named ``shard`` or ``pos`` are replaced.
+Nulls and odd input: rows are dealt whatever they hold: nulls, empty and very long texts, and equal
+rows one by one; ties of the random key within a shard go by no fixed rule; an
+empty table gives no rows; input columns pass, those named ``shard`` or ``pos`` too.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import session_of, table, written
+from .tables import fresh, quoted, session_of, table, written
 
 ROWS_PER_SHARD = 4096
 SEED = 20260105
-BLOCK = 1 << 16
+BLOCK, DEAL = 1 << 16, 1 << 20
 _BIG = 900_000_000  # numpy's generator takes populations up to 10**9
 
 
@@ -72,37 +73,61 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
 
 
 def split(rng: np.random.Generator, capacity: np.ndarray, n: int) -> np.ndarray:
-    """Multivariate hypergeometric: how ``n`` draws fall on the capacities."""
+    """Multivariate hypergeometric: how ``n`` draws fall on the capacities. Beyond numpy's
+    range, halves of the capacities are drawn until they are within it."""
     total = int(capacity.sum())
     if total <= _BIG:
         return rng.multivariate_hypergeometric(capacity, n, method="marginals")
-    out = np.zeros_like(capacity)
-    for j, c in enumerate(capacity):
-        if n == 0:
-            break
-        total -= int(c)
-        out[j] = _draw(rng, int(c), total, n)
-        n -= int(out[j])
-    return out
+    if len(capacity) == 1:
+        return np.array([n], capacity.dtype)
+    middle = len(capacity) // 2
+    good = int(capacity[:middle].sum())
+    left = _draw(rng, good, total - good, n)
+    return np.concatenate([split(rng, capacity[:middle], left), split(rng, capacity[middle:], n - left)])
 
 
 def capacities(rows: int, shards: int) -> np.ndarray:
     return rows // shards + (np.arange(shards) < rows % shards).astype(np.int64)
 
 
+class Matrix:
+    """Rows of the communication matrix. A node of at most :data:`DEAL` rows deals its blocks
+    at once, by a permutation of its columns, which is the same draw. The nodes of the last walk are
+    kept, without their empty columns, so neighbouring blocks share their way."""
+
+    def __init__(self, counts: np.ndarray, shards: int, seed: int):
+        self.before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.shards, self.seed = shards, seed
+        self.way: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        self.dealt: tuple[int, int, np.ndarray] = (0, 0, np.zeros(0, np.int32))
+
+    def _random(self, *node: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(np.random.SeedSequence([self.seed, *node])))
+
+    def labels(self, p: int) -> np.ndarray:
+        """The shard of each row of block ``p``: its row of the matrix, in random order."""
+        if not self.dealt[0] <= p < self.dealt[1]:
+            while self.way and not self.way[-1][0] <= p < self.way[-1][1]:
+                self.way.pop()
+            if not self.way:
+                self.way.append((0, len(self.before) - 1, np.arange(self.shards, dtype=np.int32), capacities(int(self.before[-1]), self.shards)))
+            while True:
+                left, right, at, have = self.way[-1]
+                if right - left == 1 or self.before[right] - self.before[left] <= DEAL:
+                    break
+                mid = (left + right) // 2
+                part = split(self._random(left, right), have, int(self.before[mid] - self.before[left]))
+                left, right, part = (left, mid, part) if p < mid else (mid, right, have - part)
+                on = part > 0
+                self.way.append((left, right, at[on], part[on]))
+            self.dealt = (left, right, self._random(left, right, 1).permutation(np.repeat(at, have)))
+        begin = self.before[self.dealt[0]]
+        return self.dealt[2][self.before[p] - begin : self.before[p + 1] - begin]
+
+
 def matrix_row(counts: np.ndarray, shards: int, p: int, seed: int) -> np.ndarray:
     """Row ``p`` of the communication matrix."""
-    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    left, right, have = 0, len(counts), capacities(int(before[-1]), shards)
-    while right - left > 1:
-        mid = (left + right) // 2
-        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, left, right])))
-        part = split(rng, have, int(before[mid] - before[left]))
-        if p < mid:
-            right, have = mid, part
-        else:
-            left, have = mid, have - part
-    return have
+    return np.bincount(Matrix(counts, shards, seed).labels(p), minlength=shards)
 
 
 def _plain_scan(docs: DataFrame) -> bool:
@@ -115,10 +140,10 @@ def _plain_scan(docs: DataFrame) -> bool:
 
 
 def uniform_shards(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``shard`` and ``pos`` (place in the shard, from 0). All
-    shards hold the same number of rows, up to one."""
+    """``docs`` with ``shard`` and ``pos`` (place in the shard, from 0) as its last columns. All
+    shards hold the same number of rows, up to one. Where docs has a column of such a name
+    it keeps it, and the new one's name ends in ``_``."""
     spark = session_of(docs)
-    docs = docs.drop("shard", "pos")
     if not _plain_scan(docs):
         docs = written(docs, "shard-input")
     found = sorted((r.f, r.n) for r in docs.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -132,13 +157,14 @@ def uniform_shards(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed:
     def deal(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         counts, first = sent.value
         have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        matrix = Matrix(counts, shards, seed)
 
         def dealt(p: int) -> tuple[np.ndarray, np.ndarray]:
             if p not in have:
                 if len(have) > 3:
                     have.clear()
                 rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 1 << 40, p])))
-                have[p] = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), matrix_row(counts, shards, p, seed))), rng.integers(0, 1 << 62, counts[p])
+                have[p] = matrix.labels(p), rng.integers(0, 1 << 62, counts[p])
             return have[p]
 
         for path, number in parts:
@@ -152,12 +178,12 @@ def uniform_shards(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed:
             yield pd.DataFrame({"shard": shard, "key": key})
 
     columns = docs.columns
-    dealt = docs.withColumn("__tm_deal", deal(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
-    order = Window.partitionBy("__tm_shard").orderBy("__tm_key")
-    return (
-        dealt.select(*[F.col(f"`{c}`") for c in columns], F.col("__tm_deal.shard").alias("__tm_shard"), F.col("__tm_deal.key").alias("__tm_key"))
-        .select(*[F.col(f"`{c}`") for c in columns], F.col("__tm_shard").alias("shard"), (F.row_number().over(order) - 1).alias("pos"))
-    )
+    label, place = fresh(columns, "shard", "pos")
+    drawn, key = fresh([*columns, label, place], "__tm_deal", "__tm_key")
+    dealt = docs.withColumn(drawn, deal(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    dealt = dealt.select(*quoted(columns), F.col(drawn)["shard"].alias(label), F.col(drawn)["key"].alias(key))
+    order = Window.partitionBy(label).orderBy(key)
+    return dealt.select(*quoted([*columns, label]), (F.row_number().over(order) - 1).alias(place))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,21 +14,25 @@ after taking each term's offset in the phrase off its positions, from the rarest
 on, until nothing is left or all terms agree. Neighbouring phrases on a diagonal merge
 into one match, so exact matches are maximal runs of equal words.
 
-Proximity: for windows of :data:`WINDOW` words of an item, the :data:`RARE` rarest terms
-must fall within :data:`SLOP` words of their places. Enough of them must, and their
-rarity must make that improbable by chance in a corpus of this size (the expected number of
-accidental matches, from the corpus counts, is below exp(-MARGIN)). A proximity match
-is reported where the document has no exact match of the item.
-
-The test set's phrases are sent to all tasks while they take at most
-:data:`MAX_SENT` bytes; a larger test set is searched in several rounds over the stored
-index, each with a part within that size.
-
-Nulls and odd input: null and empty texts hold nothing; an item with fewer than
-:data:`LEAST` words (or a null text) can't be searched for and matches nothing; null ids
+Proximity: of each window of :data:`WINDOW` words of an item (the whole item where it is shorter),
+the :data:`RARE` rarest terms have places, and enough of them must stand within :data:`SLOP` words
+of theirs: at least the share :data:`NEED`, and so many that chance would put them there with a
+probability of exp(-:data:`BAR`) at most; where all of them together are more probable than that,
+all are needed. Probabilities are relative frequencies in the corpus (at least :data:`FLOOR`), so a
+decision depends on the document, the item and the language, neither on the size of the corpus nor on
+what else is searched for. Windows found that overlap in the document merge into one
+match; a window that overlaps an exact match of its item isn't reported.
+
+A segment looks only at windows with enough terms in its dictionary. The test set's phrases
+are sent to all tasks while they take at most :data:`MAX_SENT` bytes; a larger test set is searched in
+several rounds over the stored index, each with a part within that size, with the same result.
+
+Nulls and odd input: null and empty texts hold nothing, and an item without words matches
+nothing; items of one word or more are searched for; very long texts and items are searched
+whole; terms of equal frequency go by their place in the item; null ids
 are carried along; repeated documents and repeated items are each reported; columns
 other than the ids and the text are not read; with an empty table on either side the
-result is empty.
+result is empty, and nothing is taken out of the documents.
 """
 
 from __future__ import annotations
@@ -41,11 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .tables import sent_if_small, session_of, table, written
+from .tables import fresh, quoted, sent_if_small, session_of, table, written
 
-PHRASE, LEAST = 8, 4
-WINDOW, STRIDE, RARE, SLOP, NEED, MARGIN = 24, 8, 12, 3, 0.5, 9.0
+PHRASE = 8
+WINDOW, STRIDE, RARE, SLOP, NEED, BAR, FLOOR = 24, 8, 12, 3, 0.5, 40.0, 1e-6
 MAX_SENT = 64 << 20
+#: Bytes sent for each word of a test text, at most.
+SENT_PER_WORD = 72
+#: Postings that are looked at together; bounds a worker's memory.
+SPREAD = 1 << 21
 SEGMENT_BYTES = 4 << 20
 GAP = 64
 
@@ -89,47 +97,48 @@ def row_key():
 
 
 class Phrases:
-    """The test items: word hashes of all, one after the other."""
+    """The test items: word hashes of all, one after the other, their phrases and windows."""
 
     def __init__(self, ids: list, texts: list):
-        w = tk.words(pa.array(texts, pa.string())) if texts else None
-        keep = [i for i in range(len(ids)) if w.off[i + 1] - w.off[i] >= LEAST] if w is not None else []
-        self.ids = [ids[i] for i in keep]
-        self.hash = np.concatenate([w.hash[w.off[i] : w.off[i + 1]] for i in keep]) if keep else np.zeros(0, np.uint64)
-        n = np.array([w.off[i + 1] - w.off[i] for i in keep], np.int64)
-        self.off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        self.vocabulary = np.unique(self.hash)
-        size, at, item = [], [], []
-        for k in range(len(keep)):
-            m = min(PHRASE, int(n[k]))
-            starts = np.arange(self.off[k], self.off[k + 1] - m + 1)
-            at.append(starts)
-            size.append(np.full(len(starts), m))
-            item.append(np.full(len(starts), k))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        self.at, self.size, self.item = cat(at), cat(size), cat(item)
-
-    def rank(self, counts: dict[int, int], total: int) -> None:
-        """Fix the order of intersection, rarest first, and the proximity windows."""
-        self.count = np.array([counts.get(int(t), 0) for t in self.vocabulary], np.int64)
-        freq = self.count[np.searchsorted(self.vocabulary, self.hash)] if len(self.hash) else np.zeros(0, np.int64)
+        w = tk.words(pa.array(texts, pa.string()))
+        n = np.diff(w.off)
+        self.ids, self.off, self.hash = ids, w.off.astype(np.int64), w.hash
+        self.vocabulary, self.word = np.unique(w.hash, return_inverse=True)
+        self.word = self.word.astype(np.int32)
+        size = np.minimum(n, PHRASE)
+        each = np.where(n > 0, n - size + 1, 0)
+        self.item = np.repeat(np.arange(len(n), dtype=np.int32), each)
+        self.at = (np.repeat(self.off[:-1] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))).astype(np.int32)
+        self.size = size[self.item].astype(np.int8)
+
+    def rank(self, counts: np.ndarray, total: int) -> None:
+        """Fix the order of intersection, rarest first, and the places of the windows, from
+        the corpus counts of the vocabulary."""
+        freq = counts[self.word]
         span = np.arange(PHRASE)
         inside = span[None, :] < self.size[:, None]
-        f = np.where(inside, freq[np.minimum(self.at[:, None] + span, max(len(freq) - 1, 0))] if len(freq) else 0, np.iinfo(np.int64).max)
-        self.order = np.argsort(f, axis=1, kind="stable")
-        wins = []
-        for k in range(len(self.ids)):
-            a, b = int(self.off[k]), int(self.off[k + 1])
-            for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE):
-                e = min(s + WINDOW, b)
-                if e - s >= 2 * LEAST:
-                    pick = s + np.argsort(freq[s:e], kind="stable")[:RARE]
-                    wins.append((k, s, np.sort(pick)))
-        self.windows = wins
-        n_win = max(1, len(wins))
-        self.bar = np.log(max(total, 1) * n_win) + MARGIN
-        p = (freq + 1) * (2 * SLOP + 1) / max(total, 1)
-        self.weight = np.maximum(0.0, -np.log(np.minimum(p, 1.0)))
+        f = np.where(inside, freq[np.minimum(self.at[:, None] + span, len(freq) - 1)] if len(freq) else 0, np.iinfo(np.int64).max)
+        self.order = np.argsort(f, axis=1, kind="stable").astype(np.int8)
+        p = np.maximum(counts / max(total, 1), FLOOR) * (2 * SLOP + 1)
+        self.weight = np.maximum(0.0, -np.log(np.minimum(p, 1.0)))[self.word].astype(np.float32)
+        # windows: every STRIDE words, the last one at the item's end
+        n = np.diff(self.off)
+        each = np.where(n > 1, np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1, 0)
+        self.w_item = np.repeat(np.arange(len(n), dtype=np.int32), each)
+        k = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        size = np.minimum(n, WINDOW)[self.w_item]
+        first = self.off[self.w_item] + np.minimum(k * STRIDE, n[self.w_item] - size)
+        self.w_first, self.w_size = first.astype(np.int32), size.astype(np.int32)
+        span = np.arange(WINDOW)
+        f = np.where(span[None, :] < size[:, None], freq[np.minimum(first[:, None] + span, max(len(freq) - 1, 0))] if len(freq) else 0, np.iinfo(np.int64).max)
+        rare = np.argsort(f, axis=1, kind="stable")[:, :RARE]
+        kept = np.arange(RARE)[None, :] < np.minimum(size, RARE)[:, None]
+        self.pick = (first[:, None] + rare)[kept].astype(np.int32)
+        self.pick_window = np.repeat(np.arange(len(first), dtype=np.int32), kept.sum(1))
+        m = np.bincount(self.pick_window, minlength=len(first))
+        self.need = np.maximum(np.ceil(NEED * m), np.minimum(m, 2)).astype(np.int32)
+        whole = np.bincount(self.pick_window, weights=self.weight[self.pick], minlength=len(first))
+        self.bar = np.minimum(BAR, whole * (1 - 1e-6))
 
 
 def _member(combined: np.ndarray, term: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -150,9 +159,10 @@ def search_segment(p: Phrases, doc_at: np.ndarray, terms: np.ndarray, lists: np.
     """(document index, item index, kind, doc_pos, item_pos, n_words) in one segment."""
     if not len(p.hash) or not len(terms):
         return []
-    i = np.minimum(np.searchsorted(terms, p.hash), len(terms) - 1)
-    here = np.where(terms[i] == p.hash, i, -1)  # each test word's place in the dictionary
-    used = np.unique(here[here >= 0])
+    i = np.minimum(np.searchsorted(terms, p.vocabulary), len(terms) - 1)
+    known = np.where(terms[i] == p.vocabulary, i, -1)
+    here = known[p.word]  # each test word's place in the dictionary
+    used = known[known >= 0]
     u, upos = _expand(lists, pos, used)
     combined = (used[u].astype(np.int64) << 32) | upos  # ascending: by term, then position
     out = []
@@ -163,11 +173,15 @@ def search_segment(p: Phrases, doc_at: np.ndarray, terms: np.ndarray, lists: np.
     # exact phrases: all words must be in the dictionary; then rarest first
     absent = np.concatenate([[0], np.cumsum(here < 0)])
     live = np.flatnonzero(absent[p.at + p.size] == absent[p.at])
-    exact: set[tuple[int, int]] = set()
-    if len(live):
-        rare = p.at[live] + p.order[live, 0]
-        who, where = _expand(lists, pos, here[rare])
-        ph, start = live[who], where - p.order[live[who], 0]
+    runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    got = []
+    cost = np.cumsum(np.diff(lists)[here[p.at[live] + p.order[live, 0]]]) if len(live) else np.zeros(0)
+    start_at = 0
+    while start_at < len(live):  # so many postings at once
+        stop_at = max(start_at + 1, int(np.searchsorted(cost, (cost[start_at - 1] if start_at else 0) + SPREAD, "right")))
+        some, start_at = live[start_at:stop_at], stop_at
+        who, where = _expand(lists, pos, here[p.at[some] + p.order[some, 0]])
+        ph, start = some[who], where - p.order[some[who], 0]
         for r in range(1, PHRASE):
             if not len(ph):
                 break
@@ -178,56 +192,82 @@ def search_segment(p: Phrases, doc_at: np.ndarray, terms: np.ndarray, lists: np.
             good[on] = _member(combined, t, start[on] + offset[on])
             ph, start = ph[good], start[good]
         if len(ph):
-            item, item_pos = p.item[ph], p.at[ph] - p.off[p.item[ph]]
-            order = np.lexsort((start, start - item_pos, item))
-            item, item_pos, start, size = item[order], item_pos[order], start[order], p.size[ph][order]
-            diag = start - item_pos
-            new = np.concatenate([[True], (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (start[1:] > start[:-1] + size[:-1])])
-            begin = np.flatnonzero(new)
-            stop = np.concatenate([begin[1:], [len(item)]]) - 1
-            d = doc_of(start[begin])
-            for a, b, x in zip(begin, stop, d):
-                exact.add((int(x), int(item[a])))
-                out.append((int(x), int(item[a]), "exact", int(start[a] - doc_at[x]), int(item_pos[a]), int(start[b] + size[b] - start[a])))
-
-    # proximity
-    near: dict[tuple[int, int], tuple] = {}
-    for k, s, pick in p.windows:
-        have = pick[here[pick] >= 0]
-        need = max(LEAST, int(np.ceil(NEED * len(pick))))
-        if len(have) < need or p.weight[have].sum() < p.bar:
-            continue
-        who, where = _expand(lists, pos, here[have])
-        start = where - (have[who] - s)
-        order = np.argsort(start, kind="stable")
-        start, who = start[order], who[order]
-        upto = np.searchsorted(start, start + SLOP, "right")
-        cand = np.flatnonzero(upto - np.arange(len(start)) >= need)
-        for c in cand:
-            seen = np.unique(who[c : upto[c]])
-            if len(seen) < need or p.weight[have[seen]].sum() < p.bar:
-                continue
-            # the place of the word that is there, which is inside its document
-            at = int(start[c] + (have[who[c]] - s))
-            d = int(doc_of(np.int64(at)))
-            key = (d, int(k))
-            if key in exact:
-                continue
-            got = (len(seen), -max(0, int(start[c] - doc_at[d])), -(s - int(p.off[k])))
-            if key not in near or got > near[key]:
-                near[key] = got
-    for (d, k), (n, dp, ip) in sorted(near.items()):
-        out.append((d, k, "near", -dp, -ip, n))
+            got.append((ph, start))
+    if got:
+        ph, start = (np.concatenate(x) for x in zip(*got))
+        item, item_pos = p.item[ph], p.at[ph] - p.off[p.item[ph]]
+        order = np.lexsort((start, start - item_pos, item))
+        item, item_pos, start, size = item[order], item_pos[order], start[order], p.size[ph][order].astype(np.int64)
+        diag = start - item_pos
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (diag[1:] != diag[:-1]) | (start[1:] > start[:-1] + size[:-1])])
+        begin = np.flatnonzero(new)
+        stop = np.concatenate([begin[1:], [len(item)]]) - 1
+        d = doc_of(start[begin])
+        for a, b, x in zip(begin, stop, d):
+            runs.setdefault((int(x), int(item[a])), []).append((int(start[a]), int(start[b] + size[b])))
+            out.append((int(x), int(item[a]), "exact", int(start[a] - doc_at[x]), int(item_pos[a]), int(start[b] + size[b] - start[a])))
+
+    # proximity: windows with enough of their words in the dictionary, a block at a time
+    present = here[p.pick] >= 0
+    enough = np.bincount(p.pick_window[present], minlength=len(p.need)) >= p.need
+    enough &= np.bincount(p.pick_window[present], weights=p.weight[p.pick[present]], minlength=len(p.need)) >= p.bar
+    at = np.flatnonzero(present & enough[p.pick_window])
+    of = p.pick_window[at]
+    cost = np.cumsum(np.diff(lists)[here[p.pick[at]]]) if len(at) else np.zeros(0)
+    near: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + SPREAD, "right")))
+        if b < len(at):  # not within a window, unless it is the block's only one
+            edge = int(np.searchsorted(of, of[b]))
+            b = edge if edge > a else int(np.searchsorted(of, of[b], "right"))
+        for d, k, start, end, ip, n in _near(p, at[a:b], here, lists, pos, doc_of):
+            if not any(s < end and start < e for s, e in runs.get((d, k), ())):
+                near.setdefault((d, k), []).append((start, end, ip, n))
+        a = b
+    for (d, k), hits in sorted(near.items()):
+        hits.sort()
+        merged: list[list[int]] = []
+        for start, end, ip, n in hits:
+            if merged and start < merged[-1][1]:
+                merged[-1][1] = max(end, merged[-1][1])
+                merged[-1][3] = max(n, merged[-1][3])
+            else:
+                merged.append([start, end, ip, n])
+        out += [(d, k, "near", max(0, start - int(doc_at[d])), ip, n) for start, _, ip, n in merged]
     return out
 
 
+def _near(p: Phrases, at: np.ndarray, here: np.ndarray, lists: np.ndarray, pos: np.ndarray, doc_of):
+    """(document, item, start, end, place in the item, terms) of each window whose terms stand near their places."""
+    who, where = _expand(lists, pos, here[p.pick[at]])
+    window = p.pick_window[at[who]].astype(np.int64)
+    start = where - (p.pick[at[who]] - p.w_first[window])  # where the window would begin
+    key = (window << 33) + start + WINDOW  # never negative
+    order = np.argsort(key, kind="stable")
+    key, who, window, start, where = key[order], who[order], window[order], start[order], where[order]
+    upto = np.searchsorted(key, key + 2 * SLOP, "right")
+    free: tuple[int, int] = (-1, -1)
+    for c in np.flatnonzero(upto - np.arange(len(key)) >= p.need[window]):
+        w = int(window[c])
+        if free[0] == w and start[c] < free[1]:
+            continue
+        seen = np.unique(who[c : upto[c]])
+        if len(seen) < p.need[w] or p.weight[p.pick[at[seen]]].sum() < p.bar[w]:
+            continue
+        begin = int(start[c])
+        free = (w, begin + 2 * SLOP + 1)
+        # the document is that of the words that are there
+        yield int(doc_of(where[c])), int(p.w_item[w]), begin, begin + int(p.w_size[w]), int(p.w_first[w] - p.off[p.w_item[w]]), len(seen)
+
+
 def _unpack(index_row: dict):
     g = lambda k, t: np.frombuffer(index_row[k].as_py(), t)
     pos = g("low", np.uint16).astype(np.int32) | (g("high", np.uint16).astype(np.int32) << 16)
     return g("doc_at", np.int32), g("terms", np.uint64), g("lists", np.int32), pos
 
 
-def term_counts(index: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """Occurrences in the whole corpus of each term of ``vocabulary``, and of all words."""
     sent = index.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -245,16 +285,17 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "n"])
 
-    found = index.select("terms", "lists").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    counts = {r.k: r.n for r in found}
-    return {int(vocabulary[k]): n for k, n in counts.items() if k < len(vocabulary)}, counts.get(len(vocabulary), 0)
+    found = index.select("terms", "lists").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(vocabulary) + 1, np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return counts[:-1], int(counts[-1])
 
 
 def _rounds(benchmark: DataFrame):
     """The test items, in parts of bounded size."""
     ids, texts, size = [], [], 0
-    for r in benchmark.selectExpr("cast(item_id as bigint) item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = 40 * len(r.text or "")  # what a word's phrases take, at most
+    for r in benchmark.selectExpr("cast(item_id as bigint) item_id", "text").withColumn("n", F.regexp_count(F.col("text"), F.lit(tk.WORD_RE.replace("0-9a-z", "0-9A-Za-z")))).orderBy("item_id", "text").toLocalIterator():
+        n = SENT_PER_WORD * ((r.n or 0) + 1)
         if ids and size + n > MAX_SENT:
             yield ids, texts
             ids, texts, size = [], [], 0
@@ -299,9 +340,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` with no match of any kind, columns as they are."""
-    bad = matches(docs, benchmark).select(F.col("row_key").alias("__tm_key")).distinct()
+    (key,) = fresh(docs.columns, "__tm_key")
+    bad = matches(docs, benchmark).select(F.col("row_key").alias(key)).distinct()
     bad = sent_if_small(written(bad, "contaminated"))
-    return docs.withColumn("__tm_key", row_key()).join(bad, "__tm_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*quoted(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 A document's fingerprint has 128 bits: each distinct word votes with a weight that grows
 with the logarithm of its count. Two documents are near copies when their fingerprints
-differ in at most :data:`BUDGET` bits and their numbers of distinct words
-are within the ratio :data:`RATIO`. Groups are the connected components.
+differ in at most :data:`BUDGET` bits (and, only where a ``ratio`` is given, their numbers of
+distinct words are within it). Groups are the connected components.
 
 The join traverses a binary trie of fingerprints against itself. A step takes pairs of
 nodes at one level, extends each to the pairs of their children, adds up differing bits, and
-drops a pair as soon as its budget is exceeded; a subtree with one fingerprint is a
+drops a pair as soon as its budget is exceeded; a subtree with few fingerprints is a
 leaf, and pairs of leaves are settled by counting the bits that are left. All node pairs of a
 level are handled at once as arrays.
 
@@ -15,23 +15,27 @@ To spread the trie over tasks, its levels are permuted. Among the four 32-bit wo
 the fingerprint, one differs in at most BUDGET // 4 bits; among the five blocks of
 that word, one then doesn't differ at all. So each fingerprint goes to 20 cells
 (word, block, value of the block), and in its cell the trie is walked with the word's bits on top,
-where only BUDGET // 4 differences are allowed. A pair is found in each cell that
-it shares; no pair within the budget is missed. A cell is walked class by class of the
-number of distinct words. Cells that would hold more than :data:`CELL` fingerprints are
-split into parts, and each pair of parts is a task.
+where only BUDGET // 4 differences are allowed. Cells are counted first. One of more than
+:data:`CELL` fingerprints is split the same way by its other three words (one of them differs in
+at most BUDGET // 3 bits, and one of its seven blocks not at all); what is still too large
+is cut into parts by its own count, and each pair of parts is a cell. No pair within the budget
+is missed, and each is counted in the first cell that it shares only.
 
 Equal fingerprints are one node, so thousands of exact copies cost one row. Of the
-pairs that a task finds only a spanning forest is returned, which has the same components.
+pairs that a task finds it returns a spanning forest, which has the same components, and the
+number of links of each fingerprint.
 
 Nulls and odd input: a text without words (null, empty, marks only) has no
-fingerprint and is in no group; a null ``doc_id`` counts as the largest; rows that are
-repeated are copies; of each group the row with the smallest (doc_id, text hash) stays, one of
-them where rows are wholly equal; other columns pass through.
+fingerprint and is in no group; very long texts are read whole; a null ``doc_id`` counts as the
+largest; rows that are repeated are copies; of each group the row with the smallest (doc_id, text
+hash) stays, one of them where rows are wholly equal; an empty table gives no groups; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,10 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .components import connected_components
-from .tables import sent_if_small, session_of, table, written
+from .tables import fresh, quoted, sent_if_small, session_of, table, written
 
-BUDGET, RATIO = 19, 0.8
-WORDS, BLOCKS = 4, ((0, 7), (7, 13), (13, 19), (19, 26), (26, 32))
+BUDGET, RATIO = 19, 0.0
+WORDS = 4
 CELL = 200_000
 LEAF = 16  # fingerprints of a node that are compared one by one
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -91,17 +95,21 @@ def _bits32(x: np.ndarray, n: int) -> np.ndarray:
     return ((x[:, None] >> np.arange(n - 1, -1, -1, dtype=x.dtype)) & 1).astype(np.uint8)
 
 
-def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget: int, budget: int, ratio: float, cell: np.ndarray | None = None, part: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Arrays of pairs (i, j) whose ``top`` words (uint32) differ in at most ``top_budget`` bits,
+def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget: int | np.ndarray, budget: int, ratio: float, cell: np.ndarray | None = None, part: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Arrays of pairs (i, j) whose ``top`` words (uint32) differ in at most ``top_budget`` bits (one number, or one by row and alike in a cell),
     their ``halves`` (n, 2 uint64) in at most ``budget``, and whose sizes are
     within ``ratio``. With ``cell``, only pairs within one cell; with ``part``,
     only pairs of different parts where they are not negative. The tries of all
     cells and size classes are walked together."""
-    klass = np.floor(np.log(np.maximum(size, 1)) / -np.log(ratio)).astype(np.int64) if ratio < 1 else size.astype(np.int64)
+    if ratio <= 0:
+        klass = np.zeros(len(top), np.int64)
+    else:
+        klass = np.floor(np.log(np.maximum(size, 1)) / -np.log(ratio)).astype(np.int64) if ratio < 1 else size.astype(np.int64)
     cell = np.zeros(len(top), np.int64) if cell is None else cell
     part = np.full(len(top), -1, np.int64) if part is None else part
     order = np.lexsort((top, klass, cell))
     top, halves, size, klass, cell, part = top[order], halves[order], size[order], klass[order], cell[order], part[order]
+    top_budget = np.broadcast_to(top_budget, len(top))[order]
     if not len(top):
         return
     begin = np.flatnonzero(np.concatenate([[True], (klass[1:] != klass[:-1]) | (cell[1:] != cell[:-1])]))
@@ -131,12 +139,12 @@ def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget
             prefix = top[lo] & ~np.uint32((1 << (32 - level)) - 1) if level else np.zeros(len(lo), np.uint32)
             target = prefix | mask
             cut.append(_lower(top, lo, hi, target))
-        same = (pair[:, 0] == pair[:, 2])
+        same, most = pair[:, 0] == pair[:, 2], top_budget[pair[:, 0]]
         a0, a1 = (pair[:, 0], cut[0]), (cut[0], pair[:, 1])
         b0, b1 = (pair[:, 2], cut[1]), (cut[1], pair[:, 3])
         nxt, nd = [], []
         for x, y, add, mine in ((a0, b0, 0, None), (a1, b1, 0, None), (a0, b1, 1, None), (a1, b0, 1, ~same)):
-            ok = (x[1] > x[0]) & (y[1] > y[0]) & (diff + add <= top_budget)
+            ok = (x[1] > x[0]) & (y[1] > y[0]) & (diff + add <= most)
             if mine is not None:
                 ok &= mine
             nxt.append(np.stack([x[0][ok], x[1][ok], y[0][ok], y[1][ok]], 1))
@@ -178,7 +186,7 @@ def _leaves(pair, top, halves, size, top_budget, budget, ratio, part) -> Iterato
         i, j = p[who, 0] + k // m[who], p[who, 2] + k % m[who]
         good = (i < j) & ((part[i] != part[j]) | (part[i] < 0))
         i, j = i[good], j[good]
-        good = np.bitwise_count(top[i] ^ top[j]) <= top_budget
+        good = np.bitwise_count(top[i] ^ top[j]) <= top_budget[i]
         i, j = i[good], j[good]
         good = (np.bitwise_count(halves[i, 0] ^ halves[j, 0]).astype(np.int64) + np.bitwise_count(halves[i, 1] ^ halves[j, 1]) <= budget) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
         if good.any():
@@ -205,70 +213,217 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([at, least[at]], 1)
 
 
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """32 bits as ``n`` neighbouring blocks: (shift, mask) of each."""
+    at = [32 * i // n for i in range(n + 1)]
+    return [(32 - e, (1 << (e - a)) - 1) for a, e in zip(at, at[1:])]
+
+
+@dataclass
+class Cells:
+    """The cells of fingerprints. A code holds a word, a block and its value; a word, a block
+    and its value in a second word where the first cell is ``hot``; and two parts where
+    that is hot, too. Codes in ``hot`` are sorted; ``parts`` go with ``hot2``."""
+
+    budget: int
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    @property
+    def most(self) -> tuple[int, int]:
+        return self.budget // WORDS, self.budget // (WORDS - 1)
+
+    def first(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """Codes of a word, a block, and its value: one array for each word and block."""
+        blocks = _blocks(self.most[0] + 1)
+        for w in range(WORDS):
+            for k, (shift, mask) in enumerate(blocks):
+                yield (w << 5 | k) << 32 | (words[:, w] >> np.uint32(shift) & np.uint32(mask)).astype(np.int64)
+
+    def second(self, words: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
+        """The same for each other word, within first cells ``code``."""
+        blocks = _blocks(self.most[1] + 1)
+        own = (code >> 37) & 3
+        for step in range(1, WORDS):
+            w = (own + step) % WORDS
+            for k, (shift, mask) in enumerate(blocks):
+                value = (words[np.arange(len(words)), w] >> np.uint32(shift) & np.uint32(mask)).astype(np.int64)
+                yield _named(code, w << 5 | k, value)
+
+    def all(self, words: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, cell, word on top, block, first word or -1, first block, part or -1) of every cell of the fingerprints."""
+        every = np.arange(len(words))
+        n1, n2 = self.most[0] + 1, self.most[1] + 1
+        for c, code in enumerate(self.first(words)):
+            hot = _among(code, self.hot)
+            cold = np.flatnonzero(~hot)
+            yield cold, code[cold], np.full(len(cold), c // n1), np.full(len(cold), c % n1), np.full(len(cold), -1), np.full(len(cold), -1), np.full(len(cold), -1)
+            at = np.flatnonzero(hot)
+            if not len(at):
+                continue
+            for c2, code2 in enumerate(self.second(words[at], code[at])):
+                word = np.full(len(at), (c // n1 + 1 + c2 // n2) % WORDS)
+                rest = (word, np.full(len(at), c2 % n2), np.full(len(at), c // n1), np.full(len(at), c % n1))
+                hot2 = _among(code2, self.hot2)
+                f = np.flatnonzero(~hot2)
+                yield (every[at[f]], code2[f], *(x[f] for x in rest), np.full(len(f), -1))
+                f = np.flatnonzero(hot2)
+                if len(f):
+                    parts = self.parts[np.searchsorted(self.hot2, code2[f])]
+                    own = (ids[at[f]].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
+                    for other in range(int(parts.max())):
+                        g = np.flatnonzero(other < parts)
+                        lo, hi = np.minimum(own[g], other), np.maximum(own[g], other)
+                        yield (every[at[f[g]]], _named(code2[f[g]], lo, hi), *(x[f[g]] for x in rest), np.where(lo == hi, -1, own[g]))
+
+    def mine(self, x: np.ndarray, word: np.ndarray, block: np.ndarray, word1: np.ndarray, block1: np.ndarray) -> np.ndarray:
+        """Whether pairs that differ by ``x`` (n, 4 uint32) share this cell first."""
+        d = np.bitwise_count(x)
+        own1, own1b = np.where(word1 < 0, word, word1), np.where(word1 < 0, block, block1)
+        low = d <= self.most[0]
+        good = (low.argmax(1) == own1) & low[np.arange(len(x)), own1]
+        good &= _first_equal(x[np.arange(len(x)), own1], self.most[0] + 1) == own1b
+        inner = np.flatnonzero(good & (word1 >= 0))
+        if len(inner):
+            y, step = x[inner], (word[inner] - word1[inner]) % WORDS
+            turn = np.stack([np.bitwise_count(y[np.arange(len(y)), (word1[inner] + s) % WORDS]) <= self.most[1] for s in range(1, WORDS)], 1)
+            good[inner] = (turn.argmax(1) + 1 == step) & turn[np.arange(len(y)), step - 1] & (_first_equal(y[np.arange(len(y)), word[inner]], self.most[1] + 1) == block[inner])
+        return good
+
+
+def _named(code: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for (code, a, b); two cells of one number would be walked together, which
+    costs time only, as a pair counts in its own cell alone."""
+    with np.errstate(over="ignore"):
+        h = tk.mix64(code.view(np.uint64) * np.uint64(tk.BASE) + np.asarray(a, np.int64).astype(np.uint64))
+        return (tk.mix64(h * np.uint64(tk.BASE) + np.asarray(b, np.int64).astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+
+
+def _among(code: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(code), bool)
+    return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+
+
+def _first_equal(x: np.ndarray, n: int) -> np.ndarray:
+    """The first of ``n`` blocks in which ``x`` has no bit, or n."""
+    out = np.full(len(x), n)
+    for k, (shift, mask) in reversed(list(enumerate(_blocks(n)))):
+        out[(x >> np.uint32(shift) & np.uint32(mask)) == 0] = k
+    return out
+
+
+def _fingerprint_columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    ids, hi, lo, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    return ids, np.stack([lo, hi], 1).copy().view(np.uint32).reshape(-1, 4), size
+
+
+def _hot(nodes: DataFrame, codes, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with more than ``limit`` fingerprints, sorted, and their counts. Each task
+    adds up its own first."""
+
+    def run(batches):
+        total: dict[int, int] = {}
+        for b in batches:
+            ids, words, _ = _fingerprint_columns(b)
+            for code in codes(words):
+                for c, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True))):
+                    total[c] = total.get(c, 0) + n
+            if len(total) > 1 << 20:
+                yield pa.RecordBatch.from_pydict({"c": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
+                total = {}
+        yield pa.RecordBatch.from_pydict({"c": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
+
+    found = nodes.select("id", "hi", "lo", "n").mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") > limit).orderBy("c").toArrow()
+    return found.column(0).to_numpy(), found.column(1).to_numpy()
+
+
+def cells_of(nodes: DataFrame, budget: int, limit: int) -> Cells:
+    cells = Cells(budget)
+    cells.hot, _ = _hot(nodes, cells.first, limit)
+    if len(cells.hot):
+
+        def second(words):
+            for code in cells.first(words):
+                at = np.flatnonzero(_among(code, cells.hot))
+                if len(at):
+                    yield from cells.second(words[at], code[at])
+
+        cells.hot2, n = _hot(nodes, second, limit)
+        cells.parts = -(-n // max(limit // 2, 1))
+    return cells
+
+
+_CELL = "cell bigint, id bigint, hi bigint, lo bigint, n int, word tinyint, block tinyint, word1 tinyint, block1 tinyint, part int"
+
+
 def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) that span the near-copy components of ``nodes`` (id, hi, lo, n)."""
-    n = nodes.count()
-    parts = max(1, -(-n // (84 * cell)))
+    """Of the near-copy graph of ``nodes`` (id, hi, lo, n): edges (a, b, 0) that span its
+    components, and rows (a, a, links) that add up to the links of each node."""
+    cells = cells_of(nodes, budget, cell)
+    sent = nodes.sparkSession.sparkContext.broadcast(cells)  # at most 8,192 and 2**20 codes or so
 
     def scatter(batches):
         for b in batches:
-            ids, hi, lo, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            words = np.stack([lo, hi], 1).copy().view(np.uint32).reshape(-1, 4)
-            cells, rows, left, right = [], [], [], []
-            own = (ids.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            for w in range(WORDS):
-                for k, (a, e) in enumerate(BLOCKS):
-                    value = ((words[:, w] >> np.uint32(32 - e)) & np.uint32((1 << (e - a)) - 1)).astype(np.int64)
-                    for other in range(parts):
-                        l, r = np.minimum(own, other), np.maximum(own, other)
-                        cells.append((((w * 8 + k) << 8 | value) * parts + l) * parts + r)
-                        rows.append(np.arange(len(ids)))
-            at = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(ids[at]), pa.array(hi[at]), pa.array(lo[at]), pa.array(size[at])], ["cell", "id", "hi", "lo", "n"])
+            ids, words, size = _fingerprint_columns(b)
+            for at, *rest in sent.value.all(words, ids):
+                if len(at):
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(rest[0]), *(b.column(i).take(take) for i in range(4)), *(pa.array(x.astype(np.int8)) for x in rest[1:5]), pa.array(rest[5].astype(np.int32))], [c.split()[0] for c in _CELL.split(", ")])
 
     def join(batches):
-        cols = [[], [], [], [], []]
-        for b in batches:
-            for i in range(5):
-                cols[i].append(b.column(i).to_numpy(zero_copy_only=False))
-        if not cols[0]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
-        cell, ids, hi, lo, size = (np.concatenate(c) for c in cols)
+        t = pa.Table.from_batches(parts)
+        cell, ids, hi, lo, size, word, block, word1, block1, part = (t.column(i).to_numpy() for i in range(10))
+        del t, parts
+        cells = sent.value
         halves = np.stack([lo, hi], 1).view(np.uint64)
         words = halves.view(np.uint32).reshape(-1, 4)
-        left, right, word = cell // parts % parts, cell % parts, cell // parts // parts >> 11
-        part = np.where(left != right, (ids.view(np.uint64) % np.uint64(parts)).astype(np.int64), -1)
         top = words[np.arange(len(words)), word]
+        most = np.where(word1 < 0, *cells.most)
         same, node = np.unique(ids, return_inverse=True)
-        edges, waiting = np.zeros((0, 2), np.int64), []
-        for pairs in trie_pairs(top, halves, size.astype(np.int64), budget // WORDS, budget, ratio, cell, part):
-            waiting.append(node[pairs])
-            if sum(map(len, waiting)) > 1 << 20:
-                edges, waiting = spanning(np.concatenate([edges, *waiting]), len(same)), []
+        links = np.zeros(len(same), np.int64)
+        edges, waiting, held = np.zeros((0, 2), np.int64), [], 0
+        for pairs in trie_pairs(top, halves, size.astype(np.int64), most, budget, ratio, cell, part.astype(np.int64)):
+            i, j = pairs[:, 0], pairs[:, 1]
+            good = cells.mine(words[i] ^ words[j], word[i].astype(np.int64), block[i], word1[i].astype(np.int64), block1[i]) & (word[i] == word[j]) & (block[i] == block[j]) & (word1[i] == word1[j]) & (block1[i] == block1[j])
+            found = node[pairs[good]]
+            links += np.bincount(found.reshape(-1), minlength=len(same))
+            waiting.append(found)
+            held += len(found)
+            if held > 1 << 20:
+                edges, waiting, held = spanning(np.concatenate([edges, *waiting]), len(same)), [], 0
         edges = spanning(np.concatenate([edges, *waiting]), len(same))
-        yield pa.RecordBatch.from_arrays([pa.array(same[edges[:, 0]]), pa.array(same[edges[:, 1]])], ["a", "b"])
+        own = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(same[np.concatenate([edges[:, 0], own])]), pa.array(same[np.concatenate([edges[:, 1], own])]), pa.array(np.concatenate([np.zeros(len(edges), np.int64), links[own]]))], ["a", "b", "links"])
 
-    sent = nodes.select("id", "hi", "lo", "n").mapInArrow(scatter, "cell bigint, id bigint, hi bigint, lo bigint, n int")
-    return sent.repartition("cell").mapInArrow(join, "a bigint, b bigint")
+    return nodes.select("id", "hi", "lo", "n").mapInArrow(scatter, _CELL).repartition("cell").mapInArrow(join, "a bigint, b bigint, links bigint")
 
 
-def grouped(docs: DataFrame, budget: int = BUDGET, ratio: float = RATIO) -> DataFrame:
-    """(doc_id, text_key, group) of each row with at least one near copy; written."""
+def grouped(docs: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:
+    """(doc_id, text_key, group, links) of each row with at least one near copy; written."""
     marks = written(with_fingerprints(docs).withColumn("id", F.xxhash64("hi", "lo", "n")), "fingerprints")
     nodes = marks.groupBy("id").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     nodes = written(nodes, "nodes")
-    comp = connected_components(near_pairs(nodes, budget, ratio))
+    pairs = written(near_pairs(nodes, budget, ratio, cell), "near-pairs")
+    comp = connected_components(pairs.where("a <> b").select("a", "b"))
+    comp = comp.join(pairs.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node")
     # equal fingerprints are a group even without an edge
-    group = nodes.where("rows > 1").select(F.col("id").alias("node")).join(comp, "node", "left_anti").select("node", F.col("node").alias("component")).unionByName(comp.select("node", "component"))
-    return written(marks.join(group, marks["id"] == group["node"]).select("doc_id", "text_key", F.col("component").alias("group")), "groups")
+    alone = nodes.where("rows > 1").select(F.col("id").alias("node")).join(comp, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(0).cast("bigint").alias("links"))
+    group = alone.unionByName(comp.select("node", "component", "links"))
+    return written(marks.join(group, marks["id"] == group["node"]).select("doc_id", "text_key", F.col("component").alias("group"), "links"), "groups")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, group, size, stays) for each row that has near copies; the
-    group is named by its smallest doc_id."""
+    """One row (doc_id, group, size, links, stays) for each row that has near copies; the
+    group is named by its smallest doc_id, and ``links`` counts the other fingerprints within
+    the budget of the row's own."""
     g = grouped(docs)
     named = g.groupBy("group").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.min(_rank()).alias("best"))
-    return g.join(named, "group").select("doc_id", F.col("first").alias("group"), "size", (_rank() == F.col("best")).alias("stays"))
+    return g.join(named, "group").select("doc_id", F.col("first").alias("group"), "size", "links", (_rank() == F.col("best")).alias("stays"))
 
 
 def _rank():
@@ -278,20 +433,21 @@ def _rank():
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies, columns as they are."""
     g = grouped(docs)
+    name, no = fresh(docs.columns, "__tm_key", "__tm_no")
     best = g.groupBy("group").agg(F.min(_rank()).alias("best"))
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
-    g = g.withColumn("__tm_key", F.xxhash64("doc_id", "text_key")).join(best, "group")
+    g = g.withColumn(name, F.xxhash64("doc_id", "text_key")).join(best, "group")
     # rows of one key are equal in id and text: they stay or go together, but for one
-    marked = written(g.groupBy("__tm_key").agg(F.max((_rank() == F.col("best")).cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows")), "marked")
-    gone = sent_if_small(marked.where("stay = 0").select("__tm_key"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.withColumn("__tm_key", key).join(gone, "__tm_key", "left_anti")
-    equal = marked.where("stay = 1 and rows > 1").select("__tm_key")
+    marked = written(g.groupBy(name).agg(F.max((_rank() == F.col("best")).cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows")), "marked")
+    gone = sent_if_small(marked.where("stay = 0").select(name))
+    cols = quoted(docs.columns)
+    kept = docs.withColumn(name, key).join(gone, name, "left_anti")
+    equal = marked.where("stay = 1 and rows > 1").select(name)
     if equal.isEmpty():
         return kept.select(*cols)
     equal = sent_if_small(equal)
-    once = kept.join(equal, "__tm_key", "left_semi").withColumn("__tm_no", F.row_number().over(Window.partitionBy("__tm_key").orderBy(F.lit(0)))).where("__tm_no = 1")
-    return kept.join(equal, "__tm_key", "left_anti").select(*cols).unionByName(once.select(*cols))
+    once = kept.join(equal, name, "left_semi").withColumn(no, F.row_number().over(Window.partitionBy(name).orderBy(F.lit(0)))).where(F.col(no) == 1)
+    return kept.join(equal, name, "left_anti").select(*cols).unionByName(once.select(*cols))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -133,7 +133,9 @@ def test_decontamination(spark, docs, empty):
     items = [prose(rng, n) for n in (60, 40, 25, 9, 5)]
     bench = [(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "a b"), (0, items[0]), (None, items[2])]
     edit = lambda t, every: " ".join("zzzq" if k % every == every - 1 else w for k, w in enumerate(t.split()))
-    planted = [(100, f"{prose(rng, 50)} {items[0]} {prose(rng, 9)}"), (101, items[1].upper().replace(" ", " *** ")), (102, f"x {items[2]}"), (103, f"{prose(rng, 30)} {' '.join(items[0].split()[10:30])}"), (104, items[4]), (105, f"{prose(rng, 20)} {edit(items[0], 6)} {prose(rng, 20)}"), (106, items[3])]
+    lone = "zyzzyva"
+    bench += [(93, lone), (94, "zyzzyva quokka")]
+    planted = [(107, f"{prose(rng, 9)} {lone} {prose(rng, 5)}"), (100, f"{prose(rng, 50)} {items[0]} {prose(rng, 9)}"), (101, items[1].upper().replace(" ", " *** ")), (102, f"x {items[2]}"), (103, f"{prose(rng, 30)} {' '.join(items[0].split()[10:30])}"), (104, items[4]), (105, f"{prose(rng, 20)} {edit(items[0], 6)} {prose(rng, 20)}"), (106, items[3])]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id bigint, text string")).withColumn("extra", F.lit(1))
     m = decontaminate.matches(rows, spark.createDataFrame(bench, "item_id bigint, text string")).collect()
     exact = {(r.doc_id, r.item_id) for r in m if r.kind == "exact"}
@@ -141,7 +143,7 @@ def test_decontamination(spark, docs, empty):
     for i, t in bench:
         w = WORD.findall((t or "").lower())
         n = min(decontaminate.PHRASE, len(w))
-        for a in range(len(w) - n + 1) if len(w) >= decontaminate.LEAST else ():
+        for a in range(len(w) - n + 1) if w else ():
             grams.setdefault(tuple(w[a : a + n]), set()).add(i)
     want = set()
     for r in rows.collect():
@@ -149,22 +151,78 @@ def test_decontamination(spark, docs, empty):
         for g, ids in grams.items():
             if any(tuple(w[a : a + len(g)]) == g for a in range(len(w) - len(g) + 1)):
                 want |= {(r.doc_id, i) for i in ids}
-    assert exact == want and {d for d, _ in exact} >= {100, 101, 102, 103, 104, 106}
+    assert exact == want and {d for d, _ in exact} >= {100, 101, 102, 103, 104, 106, 107}
     assert {(r.doc_id, r.item_id) for r in m if r.kind == "near"} == {(105, 0)}
     whole = next(r for r in m if r.doc_id == 100 and r.item_id == 0 and r.kind == "exact")
     assert (whole.doc_pos, whole.item_pos, whole.n_words) == (50, 0, 60)
     b = spark.createDataFrame(bench, "item_id bigint, text string")
     kept = decontaminate.without_contaminated(rows, b)
-    assert kept.columns == rows.columns and kept.count() == docs.count() and not {r.doc_id for r in kept.collect()} & set(range(100, 107))
+    assert kept.columns == rows.columns and kept.count() == docs.count() and not {r.doc_id for r in kept.collect()} & set(range(100, 108))
     assert decontaminate.matches(empty, b).count() == 0 and decontaminate.without_contaminated(docs, b.limit(0)).count() == docs.count()
 
 
+def edited(text, every):
+    return " ".join("zzzq" if k % every == every - 1 else w for k, w in enumerate(text.split()))
+
+
 def test_rounds(spark, monkeypatch, docs):
-    b = spark.createDataFrame([(i, r.text) for i, r in enumerate(docs.where("length(text) > 100").limit(6).collect())], "item_id bigint, text string")
-    whole = sorted(map(tuple, decontaminate.matches(docs, b).collect()), key=str)
-    monkeypatch.setattr(decontaminate, "MAX_SENT", 1000)
-    part = sorted(map(tuple, decontaminate.matches(docs, b).collect()), key=str)
-    assert [r for r in part if r[3] == "exact"] == [r for r in whole if r[3] == "exact"]
+    """The result doesn't depend on how the test set falls into rounds or segments, nor on the other items."""
+    texts = [r.text for r in docs.where("length(text) > 100").limit(12).collect()]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, edited(t, 3 + i % 4)) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    search = lambda items: sorted(map(tuple, decontaminate.matches(rows, items).collect()), key=str)
+    whole = search(b)
+    assert {r[3] for r in whole} == {"exact", "near"}
+    assert search(b.where("item_id < 4")) == [r for r in whole if r[2] < 4]
+    for name, small in (("MAX_SENT", 1000), ("SPREAD", 1), ("SEGMENT_BYTES", 500)):
+        monkeypatch.setattr(decontaminate, name, small)
+        assert search(b) == whole, name
+
+
+def brute_near(texts, items):
+    """(document, item) with a window whose words stand near their places, by trying all starts."""
+    d = decontaminate
+    docs = [WORD.findall((t or "").lower()) for t in texts]
+    n = Counter(w for ws in docs for w in ws)
+    total = sum(n.values())
+    weight = lambda w: max(0.0, -math.log(min(1.0, max(n[w] / total, d.FLOOR) * (2 * d.SLOP + 1))))
+    out = set()
+    for i, t in enumerate(items):
+        item = WORD.findall((t or "").lower())
+        last = max(len(item) - d.WINDOW, 0)
+        for s in {min(k, last) for k in range(0, last + d.STRIDE, d.STRIDE)} if len(item) > 1 else ():
+            places = sorted(range(s, min(s + d.WINDOW, len(item))), key=lambda k: (n[item[k]], k))[: d.RARE]
+            need = max(math.ceil(d.NEED * len(places)), min(len(places), 2))
+            bar = min(d.BAR, sum(weight(item[k]) for k in places) * (1 - 1e-6))
+            for x, ws in enumerate(docs):
+                at = {}
+                for pos, w in enumerate(ws):
+                    for k in places:
+                        if item[k] == w:
+                            at.setdefault(pos - (k - s), set()).add(k)
+                for begin in at:
+                    there = set().union(*(at.get(begin + o, set()) for o in range(2 * d.SLOP + 1)))
+                    if len(there) >= need and sum(weight(item[k]) for k in there) >= bar - 1e-4:
+                        out.add((x, i))
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(80)
+    items = [prose(rng, n) for n in (70, 33, 24, 25, 12, 6, 3, 2, 1)] + ["the of and a the of and", "the the the of of a", ""]
+
+    def near(t):
+        w = t.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 3))):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["other"], [w[k], "more"], [w[k], w[k]]])
+        return " ".join(w)
+
+    texts = [f"{prose(rng, rng.randint(0, 30))} {near(rng.choice(items[:9]))} {prose(rng, rng.randint(0, 30))}" for _ in range(150)] + ["the " * 40, None, ""]
+    got = decontaminate.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    exact, found = ({(r.doc_id, r.item_id) for r in got if r.kind == k} for k in ("exact", "near"))
+    want = brute_near(texts, items)
+    assert found <= want and want - exact == found - exact and len(found - exact) > 20
 
 
 # -- 3
@@ -243,17 +301,46 @@ def test_matrix():
     sd = math.sqrt(10**6 * 0.4 * 0.6)
     assert abs(np.mean(big) - 400_000) < 5 * sd / math.sqrt(300) and 0.8 < np.std(big) / sd < 1.2
     assert int(sharding.split(rng, np.array([10**9, 2 * 10**9, 5]), 1000).sum()) == 1000
+    many = np.mean([sharding.split(rng, np.array([10**9, 5, 2 * 10**9, 10**9]), 1000) for _ in range(400)], axis=0)
+    assert np.abs(many - [250, 0, 500, 250]).max() < 5 * math.sqrt(1000 / 4 / 400)
+
+
+def test_matrix_from_tree(monkeypatch):
+    """Rows found in any order, by walks that share their way, are those of one matrix."""
+    monkeypatch.setattr(sharding, "DEAL", 60)
+    counts = np.array([40, 3, 0, 77, 12, 50, 1, 30, 9])
+    m = np.array([sharding.matrix_row(counts, 11, p, 4) for p in range(9)])
+    assert m.sum(1).tolist() == counts.tolist() and m.sum(0).tolist() == sharding.capacities(222, 11).tolist()
+    walk = sharding.Matrix(counts, 11, 4)
+    for p in (8, 0, 3, 4, 5, 1, 2, 7, 6, 3):
+        assert np.bincount(walk.labels(p), minlength=11).tolist() == m[p].tolist()
+
+
+def test_matrix_distribution(monkeypatch):
+    """Entries are distributed like those of a random permutation, in the mean and the spread."""
+    counts, runs = np.array([6, 9, 5]), 4000
+    for deal in (1, 1 << 20):
+        monkeypatch.setattr(sharding, "DEAL", deal)
+        got = np.array([[sharding.matrix_row(counts, 4, p, s) for p in range(3)] for s in range(runs)])
+        rng = np.random.default_rng(0)
+        cards, owner = np.repeat(np.arange(4), 5), np.repeat(np.arange(3), counts)
+        want = np.array([np.histogram2d(owner, rng.permutation(cards), (3, 4), ((0, 3), (0, 4)))[0] for _ in range(runs)])
+        assert np.abs(got.mean(0) - want.mean(0)).max() < 0.15 and np.abs(got.var(0) - want.var(0)).max() < 0.2
+        both = [np.mean(x[:, 0, 0] * x[:, 1, 0]) for x in (got, want)]
+        assert abs(both[0] - both[1]) < 0.2
 
 
 def test_shards(docs, empty, spark, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     for src in (docs, spark.read.parquet(str(tmp_path / "d"))):
-        got = sharding.uniform_shards(src, 10).collect()
-        sizes = Counter(r.shard for r in got)
+        out = sharding.uniform_shards(src, 10)
+        assert out.columns == [*docs.columns, "shard_", "pos"]  # docs has a column of that name, which stays
+        got = out.collect()
+        sizes = Counter(r.shard_ for r in got)
         assert len(got) == docs.count() and max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == -(-len(got) // 10)
         for s, n in sizes.items():
-            assert sorted(r.pos for r in got if r.shard == s) == list(range(n))
-        assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in docs.collect())
+            assert sorted(r.pos for r in got if r.shard_ == s) == list(range(n))
+        assert Counter((r.doc_id, r.text, r.shard) for r in got) == Counter((r.doc_id, r.text, r.shard) for r in docs.collect())
     assert sharding.uniform_shards(empty).count() == 0
 
 
@@ -341,6 +428,28 @@ def test_quality(spark, docs, empty):
     assert len(quality_fm.training_rows(d, l.union(spark.createDataFrame([(None, 1, 0), (1, None, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")), 50)) <= 50
 
 
+def test_fit_without_signal():
+    """Labels of noise, rows without features and tiny samples end in a finite model."""
+    rng = np.random.default_rng(0)
+    row = lambda n: rng.choice(1 << quality_fm.LOG_DIM, n, replace=False).astype(np.int32)
+    for rows in ([(row(20), int(rng.random() < 0.5)) for _ in range(60)], [(row(0), 0), (row(3), 1)], [(row(0), i % 2) for i in range(9)], [(row(5), 0)] * 4 + [(row(1), 1)], []):
+        m = quality_fm.fit(rows)
+        assert math.isfinite(m.w0) and np.isfinite(m.w).all() and np.isfinite(m.v).all()
+
+
+def test_scores_equal_brute_force(spark):
+    """The query's scores are the sums over all pairs, written out."""
+    d, l = labeled(spark, 150)
+    model = quality_fm.train(d, l)
+    for r in d.withColumn("p", quality_fm.scorer(d, model)).limit(40).collect():
+        _, x, _ = quality_fm.features(pa.array([r.text]), pa.array([r.lang]), pa.array([r.source]))
+        x = [i for i in x.tolist() if model.active[i]]
+        z = model.w0 + sum(float(model.w[i]) for i in x) + sum(float(model.v[a].astype(float) @ model.v[b].astype(float)) for i, a in enumerate(x) for b in x[:i])
+        assert abs(r.p - 1 / (1 + math.exp(-z))) < 1e-6
+    kept = {r.doc_id for r in quality_fm.keep(d, model).collect()}
+    assert kept == {r.doc_id for r in d.withColumn("p", quality_fm.scorer(d, model)).collect() if r.p >= quality_fm.THRESHOLD}
+
+
 # -- 6
 
 
@@ -500,9 +609,9 @@ def brute_groups(rows):
     return [find(i) for i in range(len(rows))], n
 
 
-@pytest.mark.parametrize("cell", [simhash_trie.CELL, 1])
+@pytest.mark.parametrize("cell", [simhash_trie.CELL, 12, 2])
 def test_near_copies(spark, docs, empty, cell, monkeypatch):
-    monkeypatch.setattr(simhash_trie.near_pairs, "__defaults__", (simhash_trie.BUDGET, simhash_trie.RATIO, cell))
+    monkeypatch.setattr(simhash_trie.grouped, "__defaults__", (simhash_trie.BUDGET, simhash_trie.RATIO, cell))
     rng = random.Random(9)
     base = prose(rng, 300)
     copies = []
@@ -518,6 +627,10 @@ def test_near_copies(spark, docs, empty, cell, monkeypatch):
     got = simhash_trie.near_copies(d).collect()
     assert Counter(str(r.doc_id) for r in got) == Counter(str(r.doc_id) for r, g, k in zip(rows, group, n) if k and size[g] > 1)
     assert {r.doc_id for r in got} >= {i for i, _ in copies}
+    f, _ = simhash_trie.fingerprints(tk.words(pa.array([r.text for r in rows], pa.string())))
+    points = np.unique(f[n > 0], axis=0)
+    links = Counter((str(r.doc_id), int((np.bitwise_count(points ^ x).sum(1) <= simhash_trie.BUDGET).sum()) - 1) for r, x, g, k in zip(rows, f, group, n) if k and size[g] > 1)
+    assert Counter((str(r.doc_id), r.links) for r in got) == links
     kept = simhash_trie.without_near_copies(d)
     assert kept.columns == d.columns and kept.count() == len(size) + sum(k == 0 for k in n)
     assert sum(r.doc_id in range(300, 312) for r in kept.collect()) == 1

@@ -536,10 +536,42 @@ def test_paragraphs(spark, docs, empty):
     assert 1 - (1 - 0.8**r) ** b >= 0.97
 
 
-def test_paragraph_join_path(spark, docs, monkeypatch):
-    base = sorted((str(r.doc_id), r.paragraph) for r in paragraph_dedup.repeated_paragraphs(docs).collect())
+def test_paragraph_other_paths(spark, docs, monkeypatch):
+    """Ids joined rather than sent, and buckets in parts, give the same rows."""
+    rng = random.Random(16)
+    base = [prose(rng, 40).split() for _ in range(3)]
+    rows = [(1000 + i, " ".join(w if rng.random() > 0.03 else "edited" for w in base[i % 3])) for i in range(60)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")).cache()
+    find = lambda **k: sorted((str(r.doc_id), r.paragraph, r.copies, r.stays) for r in paragraph_dedup.repeated_paragraphs(d, **k).collect())
+    want = find()
+    assert sum(r[2] > 5 for r in want) > 20 and find(bucket=4) == want
     monkeypatch.setattr(paragraph_dedup, "SENT_IDS", -1)
-    assert sorted((str(r.doc_id), r.paragraph) for r in paragraph_dedup.repeated_paragraphs(docs).collect()) == base
+    assert find() == want
+
+
+def test_jaccard_components_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for n in (2, 30, 120):
+        base = [rng.choice(400, 30, replace=False) for _ in range(4)]
+        sets = [np.unique(np.where(rng.random(30) < 0.06, rng.integers(0, 400, 30), base[rng.integers(4)])).astype(np.uint64) for _ in range(n)]
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        got = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                c = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c) - 1e-9:
+                    root[find(i)] = find(j)
+        edges = paragraph_dedup.jaccard_components(sets, 0.8)
+        for i, j in edges:
+            assert find(i) == find(j)
+            got[find(i, got)] = find(j, got)
+        assert len({find(x) for x in range(n)}) == len({find(x, got) for x in range(n)}) == n - len(edges)
 
 
 def test_passages_without_whole_paragraph(spark):

@@ -18,20 +18,24 @@ Paragraphs are sets of word triples. MinHash signatures are cut into bands, tune
 probability :data:`RECALL`. Paragraphs that collide are compared by their exact Jaccard
 similarity, and removals are clustered by connected components.
 
-1. One pass over the text writes the catalogue of paragraphs (ids only, no text).
-2. Another emits band keys; after one shuffle by key, buckets with two or more different
-   paragraphs go on, once for each distinct set of members. Paragraphs with equal
-   words share an id, so copies by the thousand are one member.
+1. One pass over the text writes the catalogue of paragraphs and stretches: ids and band keys, no text.
+2. Rows of the catalogue with one id are counted, partial sums first. Paragraphs with equal
+   words share an id, so a boilerplate that stands in every tenth document is one row for each task
+   before anything is shuffled, and one row after it. Only these distinct paragraphs are
+   spread by their band keys; buckets with two or more of them go on, once for each set of members.
 3. The triples of those members are fetched from the text (their ids are broadcast
    while they are at most :data:`SENT_IDS`, and joined beyond that) and brought to their buckets.
+   A bucket of more than :data:`BUCKET` members is cut into parts, and each pair of parts is a task.
    A bucket's graph is searched breadth-first: each member reached is compared with all
-   that aren't reached yet, over an inverted index of triples. That finds the
-   bucket's components exactly, without a cap, and near-copies by the thousand cost one comparison each.
+   that aren't reached yet, over an inverted index of triples that shrinks with them. That finds the
+   bucket's components exactly, without a cap.
 4. Components of the verified edges, joined with the catalogue.
 
-Nulls and odd input: null and empty texts have no paragraphs; a null ``doc_id`` counts as
+Nulls and odd input: null and empty texts have no paragraphs; very long texts and paragraphs are read
+whole; a null ``doc_id`` counts as
 the largest; paragraphs and stretches repeated within a document count as copies; repeated rows are
-copies, and their equal paragraphs (same doc_id and number) stay or go together; other columns
+copies, and their equal paragraphs (same doc_id and number) stay or go together; of several that could
+stay (ties) the one with the smallest id and place does; an empty table gives no rows; other columns
 are not read.
 """
 
@@ -39,7 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as tk
@@ -50,6 +54,7 @@ LONG, MIN_WORDS, SHINGLE = 10, 13, 3
 PASSAGE, STRETCH = 50, 25
 THRESHOLD, RECALL, SEED = 0.8, 0.97, 99
 SENT_IDS = 4_000_000
+BUCKET = 20_000
 
 
 #: UTF-8 of the sentence marks of three bytes (… ‼ ⁇ ⁈ ⁉ 。 ． ！ ？ ｡ । ॥ ። ។) and of two (؟ ۔ ։).
@@ -154,57 +159,48 @@ def _long_enough(w: tk.Words):
     return view, own, np.concatenate([d[keep], owner]), np.concatenate([no[keep], w.off[owner] - first - 1]), np.concatenate([uid[keep], tk.mix64(h)])
 
 
-def catalogue(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, n_words, uid) of each paragraph and stretch."""
+def catalogue(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(doc_id, paragraph, n_words, uid, k0, k1, ...) of each paragraph and stretch; a
+    stretch can meet its equals only and has no band keys."""
+    keys = [f"k{i}" for i in range(bands)]
 
     def run(batches):
         with np.errstate(over="ignore"):
             for b in tk.chunks(batches):
-                _, own, d, no, uid = _long_enough(tk.words(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(no.astype(np.int32)), pa.array(np.where(no < 0, STRETCH, np.diff(own)).astype(np.int32)), pa.array(tk.signed(uid))], ["doc_id", "paragraph", "n_words", "uid"])
+                view, own, d, no, uid = _long_enough(tk.words(b.column(1)))
+                m = int((no >= 0).sum())
+                s = np.zeros((0, bands), np.uint64)
+                if m:
+                    s = signatures(tk.Words(view.hash[: own[m]], view.start, view.end, own[: m + 1], view.data, view.text_off), own[: m + 1], bands, rows)
+                none = pa.nulls(len(uid) - m, pa.int64())
+                k = [pa.concat_arrays([pa.array(tk.signed(s[:, i].copy())), none]) for i in range(bands)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(no.astype(np.int32)), pa.array(np.where(no < 0, STRETCH, np.diff(own)).astype(np.int32)), pa.array(tk.signed(uid)), *k], ["doc_id", "paragraph", "n_words", "uid", *keys])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, paragraph int, n_words int, uid bigint")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, paragraph int, n_words int, uid bigint, " + ", ".join(f"{k} bigint" for k in keys))
 
 
-def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, uid): the members of each set of two or more colliding paragraphs; a
-    row (0, uid) for each paragraph that occurs more than once."""
+def distinct_units(cat: DataFrame) -> DataFrame:
+    """(uid, n, k0, ...): each paragraph once, and each stretch that occurs more than once."""
+    keys = [c for c in cat.columns if c.startswith("k")]
+    return cat.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), *[F.max(k).alias(k) for k in keys]).where(F.col("n") > 1 if not keys else (F.col("n") > 1) | F.col(keys[0]).isNotNull())
 
-    def keys(batches):
-        with np.errstate(over="ignore"):
-            for b in tk.chunks(batches):
-                view, own, _, no, uid = _long_enough(tk.words(b.column(0)))
-                if len(uid):
-                    m = int((no >= 0).sum())
-                    s = np.zeros((0, bands), np.uint64)
-                    if m:
-                        s = signatures(tk.Words(view.hash[: own[m]], view.start, view.end, own[: m + 1], view.data, view.text_off), own[: m + 1], bands, rows)
-                    s = (s << np.uint64(1)) | (np.arange(bands) > 0).astype(np.uint64)  # the low bit marks band 0
-                    # a stretch has its id for its only key, as it can meet its equals only
-                    key = np.concatenate([s.reshape(-1), uid[m:] << np.uint64(1)])
-                    yield pa.RecordBatch.from_arrays([pa.array(tk.signed(key)), pa.array(tk.signed(np.concatenate([np.repeat(uid[:m], bands), uid[m:]])))], ["key", "uid"])
-
-    def meet(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        key, uid = (np.concatenate(x) for x in zip(*got))
-        del got
-        order = np.lexsort((uid, key))
-        key, uid = key[order], uid[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[True], uid[1:] != uid[:-1]])
-        again = np.unique(uid[~new & (key & 1 == 0)])
-        key, uid, new_key = key[new], uid[new], new_key[new]
-        begin = np.flatnonzero(new_key)
-        size = np.diff(np.concatenate([begin, [len(key)]]))
-        with np.errstate(over="ignore"):
-            name = np.add.reduceat(tk.mix64(uid.view(np.uint64)), begin) if len(begin) else np.zeros(0, np.uint64)
-            name = tk.mix64(name + size.astype(np.uint64)) | np.uint64(1)
-        many = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([tk.signed(np.repeat(name, size)[many]), np.zeros(len(again), np.int64)])), pa.array(np.concatenate([uid[many], again]))], ["bucket", "uid"])
 
-    return docs.select("text").mapInArrow(keys, "key bigint, uid bigint").repartition("key").mapInArrow(meet, "bucket bigint, uid bigint")
+def buckets(units: DataFrame) -> DataFrame:
+    """(bucket, n, uid): the members of each set of two or more colliding paragraphs."""
+    keys = [c for c in units.columns if c.startswith("k")]
+    met = Window.partitionBy("key")
+    spread = units.where(F.col(keys[0]).isNotNull()).select("uid", F.explode(F.array(*keys)).alias("key"))
+    # a window spills, so a key that very many have needs no memory
+    sets = spread.select("uid", F.count(F.lit(1)).over(met).alias("n"), F.bit_xor(F.xxhash64("uid")).over(met).alias("x")).where("n > 1")
+    return sets.select(F.xxhash64("n", "x").alias("bucket"), "n", "uid").distinct()
+
+
+def cells(met: DataFrame, limit: int) -> DataFrame:
+    """(cell, uid): buckets, and the pairs of parts of those with more than ``limit`` members."""
+    parts = F.ceil(F.col("n") / max(limit // 2, 1))
+    own = F.pmod(F.xxhash64("uid"), parts)
+    pair = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda o: F.xxhash64("bucket", F.least(o, own), F.greatest(o, own)))
+    return met.select(F.explode(F.when(F.col("n") > limit, pair).otherwise(F.array("bucket"))).alias("cell"), "uid")
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -235,71 +231,93 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("uid").agg(F.first("triples").alias("triples"))
 
 
+class _Index:
+    """Which of some sets hold a term, by the terms' numbers."""
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, terms: int):
+        self.owner, self.start = owner[np.argsort(term, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))])
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        n = self.start[terms + 1] - self.start[terms]
+        return self.owner[np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 def jaccard_components(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Edges (i, j) that span the components of the graph that joins two sets whose
     Jaccard similarity is at least ``threshold``."""
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
-    terms, inverse = np.unique(flat, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    start = np.searchsorted(inverse[order], np.arange(len(terms) + 1))
-    owner_by_term = owner[order]
+    terms, term = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
-    free = np.ones(len(sets), bool)
+    free, left, indexed = np.ones(len(sets), bool), len(sets), len(sets)
+    index = _Index(owner, term, len(terms))
     edges = []
     for root in range(len(sets)):
         if not free[root]:
             continue
         free[root] = False
+        left -= 1
         todo = [root]
-        while todo and free.any():
+        while todo and left:
+            if 2 * left < indexed:  # those that are reached needn't be met again
+                some = free[owner]
+                index, indexed = _Index(owner[some], term[some], len(terms)), left
             i = todo.pop()
-            t = inverse[at[i] : at[i + 1]]
-            common = np.bincount(np.concatenate([owner_by_term[start[x] : start[x + 1]] for x in t]), minlength=len(sets))
-            near = np.flatnonzero(free & (common >= threshold * (size + size[i] - common) - 1e-9) & (common > 0))
+            met, common = np.unique(index.of(term[at[i] : at[i + 1]]), return_counts=True)
+            near = met[free[met] & (common >= threshold * (size[met] + size[i] - common) - 1e-9)]
             free[near] = False
+            left -= len(near)
             edges += [(i, int(j)) for j in near]
             todo += near.tolist()
     return edges
 
 
+def _groups(batches):
+    """(key, rows) of each run of equal keys in the first column, one at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for s, e in zip(cut, cut[1:]):
+            if held and held[0].column(0)[0].as_py() != int(key[s]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between colliding paragraphs (bucket, uid, triples) that are alike."""
+    """Edges (a, b) between colliding paragraphs (cell, uid, triples) that are alike."""
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)) for b in batches]
-        if not got:
-            return
-        bucket, uid = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        triples = pa.chunked_array([g[2] for g in got]).combine_chunks()
-        order = np.lexsort((uid, bucket))
-        begin = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
-        a, b = [], []
-        for s, e in zip(begin, np.concatenate([begin[1:], [len(order)]])):
-            at = order[s:e]
-            if len(at) > 1:
-                edges = jaccard_components([np.frombuffer(triples[int(i)].as_py(), np.uint64) for i in at], threshold)
-                a += [int(uid[at[i]]) for i, _ in edges]
-                b += [int(uid[at[j]]) for _, j in edges]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return members.select("bucket", "uid", "triples").repartition("bucket").mapInArrow(run, "a bigint, b bigint")
-
-
-def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+        for t in _groups(batches):
+            uid, triples = t.column(1).to_numpy(), t.column(2)
+            order = np.argsort(uid, kind="stable")
+            if len(order) > 1:
+                edges = jaccard_components([np.frombuffer(triples[int(i)].as_py(), np.uint64) for i in order], threshold)
+                if edges:
+                    i, j = np.array(edges).T
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[order[i]]), pa.array(uid[order[j]])], ["a", "b"])
+
+    return members.select("cell", "uid", "triples").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
+
+
+def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """One row (doc_id, paragraph, n_words, cluster, copies, stays) for each
     paragraph or stretch (``paragraph`` below 0) that has copies; of a cluster the first by (doc_id, place) stays."""
     session_of(docs)
     bands, rows = tune_bands(threshold, recall)
-    cat = written(catalogue(docs), "paragraphs")
-    met = written(buckets(docs, bands, rows).distinct(), "buckets")
-    near = met.where("bucket <> 0")
+    cat = written(catalogue(docs, bands, rows), "paragraphs")
+    units = written(distinct_units(cat), "units")
+    near = written(buckets(units), "buckets")
     wanted = near.select("uid").distinct()
-    comp = connected_components(verified(near.join(contents(docs, wanted), "uid"), threshold))
-    alone = met.where("bucket = 0").select("uid").join(comp.select(F.col("node").alias("uid")), "uid", "left_anti")
+    comp = connected_components(verified(cells(near, bucket).join(contents(docs, wanted), "uid"), threshold))
+    alone = units.where("n > 1").select("uid").join(comp.select(F.col("node").alias("uid")), "uid", "left_anti")
     cluster = comp.select(F.col("node").alias("uid"), F.col("component").alias("cluster")).unionByName(alone.select("uid", F.col("uid").alias("cluster")))
-    rows_ = written(cat.join(cluster, "uid").drop("uid"), "repeats")
+    rows_ = written(cat.select("doc_id", "paragraph", "n_words", "uid").join(cluster, "uid").drop("uid"), "repeats")
     rank = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("y"), F.abs("paragraph").alias("z"))
     whole = rows_.groupBy("cluster").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("best"))
     return rows_.join(whole, "cluster").select("doc_id", "paragraph", "n_words", "cluster", "copies", (rank == F.col("best")).alias("stays"))

@@ -54,9 +54,12 @@ _RULES = [
 ]
 
 
+_SPECIAL = re.compile(r"[0-9@:]|\..|^www\.", re.S | re.I | re.A)
+
+
 def classify_word(word: str) -> str:
     """word | url | email | mention | num, the first rule that fits."""
-    if word.isalpha():  # all other classes need a mark or a digit
+    if word.isalpha() or not _SPECIAL.search(word):  # all other classes need one of these
         return "word"
     return next((kind for kind, rule in _RULES if rule.fullmatch(word)), "word")
 
@@ -95,7 +98,7 @@ def word_table(words: list[str], cfg: FeatureConfig = DEFAULT) -> WordTable:
     """Keys of all words at once, in order of place, then n."""
     if not words:
         return WordTable(np.zeros(0, _U), np.zeros(1, np.int64), np.zeros(0, _U))
-    letters = [_letters(w) for w in words]
+    letters = [w.lower() if w.isalpha() and "Σ" not in w else _letters(w) for w in words]
     joined = "".join(letters)
     flat = np.frombuffer(joined.encode("utf_32_le", errors="surrogatepass"), np.uint32)
     n = np.array([len(x) for x in letters])
@@ -158,8 +161,8 @@ class Encoded:
     table: WordTable
 
 
-def encode(texts: pa.Array, cfg: FeatureConfig = DEFAULT) -> Encoded:
-    """Split, dictionary-encode, and make the keys of the distinct words."""
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of a batch: (indexes into distinct words, offsets by text, distinct words)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.string())
@@ -180,6 +183,12 @@ def encode(texts: pa.Array, cfg: FeatureConfig = DEFAULT) -> Encoded:
         number = np.cumsum(kept) - 1
         index = number[index[good]]
         distinct = [w for w in distinct if w]
+    return index, off, distinct
+
+
+def encode(texts: pa.Array, cfg: FeatureConfig = DEFAULT) -> Encoded:
+    """Split, dictionary-encode, and make the keys of the distinct words."""
+    index, off, distinct = split(texts)
     return Encoded(index, off, word_table(distinct, cfg))
 
 

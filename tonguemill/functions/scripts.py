@@ -1,9 +1,13 @@
-"""The router on plain Python strings, for SQL functions and for comparison."""
+"""The router on plain Python strings, and on the bytes of Arrow columns."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .text import SCRIPTS
 
 _CLASS = {k: re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{m[1]}", v) + "]") for k, v in SCRIPTS.items()}
@@ -23,3 +27,53 @@ def route(text: str | None) -> str:
     if n:
         return "cmn" if name == "Han" else name.lower()
     return next((lang for s, lang in (("Devanagari", "hin"), ("Arabic", "ara")) if _CLASS[s].search(text)), "unknown")
+
+
+UNKNOWN, LATIN, CYRILLIC = 0, 1, 2
+#: The languages that a script tells, from code 3 on.
+DIRECT = ("jpn", "cmn", "hin", "ara")
+_KIND = np.zeros(1 << 16, np.uint8)  # of each code point: 1 + its place in _ORDER
+_ORDER = ("Latin", "Cyrillic", "Han", "Kana", "Devanagari", "Arabic")
+for _i, _name in enumerate(_ORDER):
+    for _a, _b in re.findall(r"(\\x\{[0-9A-F]+\}|[A-Za-z])-(\\x\{[0-9A-F]+\}|[A-Za-z])", SCRIPTS[_name]):
+        _lo, _hi = (int(x[3:-1], 16) if len(x) > 1 else ord(x) for x in (_a, _b))
+        _KIND[_lo : _hi + 1] = _i + 1
+
+
+def letter_counts(texts: pa.Array) -> np.ndarray:
+    """[texts, scripts in _ORDER]: letters of each, from the UTF-8 bytes."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    n = len(texts)
+    out = np.zeros((n, len(_ORDER)), np.int64)
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    if n == 0:
+        return out
+    _, offsets, body = texts.cast(pa.string()).buffers()
+    off = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    if off[-1] == off[0]:
+        return out
+    data, off = np.frombuffer(body, np.uint8)[off[0] : off[-1]], off - off[0]
+    full = np.flatnonzero(np.diff(off))
+    out[full, 0] = np.add.reduceat((_KIND[:256][data] == 1) & (data < 128), off[:-1][full], dtype=np.int64)
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xF0))
+    if len(lead):
+        two = data[lead] < 0xE0
+        cp = np.empty(len(lead), np.int64)
+        a = lead[two]
+        cp[two] = (data[a] & 0x1F).astype(np.int64) << 6 | data[a + 1] & 0x3F
+        a = lead[~two]
+        cp[~two] = (data[a] & 0x0F).astype(np.int64) << 12 | (data[a + 1] & 0x3F).astype(np.int64) << 6 | data[a + 2] & 0x3F
+        kind = _KIND[cp]
+        some = np.flatnonzero(kind)
+        row = np.searchsorted(off, lead[some], "right") - 1
+        out += np.bincount(row * len(_ORDER) + kind[some] - 1, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def routes(texts: pa.Array) -> np.ndarray:
+    """UNKNOWN, LATIN, CYRILLIC, or 3 + the place in DIRECT of each text."""
+    latin, cyr, han, kana, deva, arab = letter_counts(texts).T
+    rules = [(kana > 0, 3), ((han > 0) & (han >= latin) & (han >= cyr), 4), ((cyr > 0) & (cyr >= latin), CYRILLIC), (latin > 0, LATIN), (deva > 0, 5), (arab > 0, 6)]
+    return np.select([r for r, _ in rules], [k for _, k in rules], UNKNOWN)

@@ -50,18 +50,19 @@ def route(text: Column | str) -> Column:
     (ties: Han, then Cyrillic); else Devanagari, then Arabic; else unknown.
     """
     t = _c(text)
-    latin, cyr, han = (script_count(t, s) for s in ("Latin", "Cyrillic", "Han"))
-    has = lambda s: t.rlike(f"[{SCRIPTS[s]}]")
+    has = lambda *s: t.rlike(f"[{''.join(SCRIPTS[x] for x in s)}]")
     r = lambda kind, lang=None: F.struct(F.lit(kind).alias("route"), F.lit(lang).cast("string").alias("direct_lang"))
+    # the counts are bound once, and needed only where there are letters of two scripts
+    n = F.struct(*[script_count(t, s).alias(s) for s in ("Latin", "Cyrillic", "Han")])
+    most = F.transform(F.array(n), lambda c: F.when((c["Han"] > 0) & (c["Han"] >= c["Latin"]) & (c["Han"] >= c["Cyrillic"]), r("direct", "cmn")).when((c["Cyrillic"] > 0) & (c["Cyrillic"] >= c["Latin"]), r("cyrillic")).otherwise(r("latin")))[0]
     return (
         F.when(t.isNull(), r("unknown"))
+        .when(~has("Cyrillic", "Kana", "Han", "Devanagari", "Arabic"), F.when(has("Latin"), r("latin")).otherwise(r("unknown")))
         .when(has("Kana"), r("direct", "jpn"))
-        .when((han > 0) & (han >= latin) & (han >= cyr), r("direct", "cmn"))
-        .when((cyr > 0) & (cyr >= latin), r("cyrillic"))
-        .when(latin > 0, r("latin"))
+        .when(has("Cyrillic", "Han"), F.when(~has("Latin", "Cyrillic"), r("direct", "cmn")).when(~has("Latin", "Han"), r("cyrillic")).otherwise(most))
+        .when(has("Latin"), r("latin"))
         .when(has("Devanagari"), r("direct", "hin"))
-        .when(has("Arabic"), r("direct", "ara"))
-        .otherwise(r("unknown"))
+        .otherwise(r("direct", "ara"))
     )
 
 

@@ -1,13 +1,14 @@
 """Detection: route by script, score what needs scoring.
 
-The route is a native expression; only its ``latin`` and ``cyrillic`` rows are scored,
-within one Arrow function that gets the whole column and skips the rest itself (a
-conditional around it would not). The table is broadcast: its size is fixed by
+One Arrow function routes a batch by its bytes and scores only what the route finds to be
+Latin or Cyrillic. (As a native expression, for filters and SQL, the route is in
+:mod:`functions.text`.) The table is broadcast: its size is fixed by
 the model, not by the data. Nothing is shuffled, so the same columns work on a stream.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,39 +18,85 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import features, text
+from ..functions import features, scripts
 from ..functions.features import FeatureConfig
 from ..functions.langs import COLUMN_RANGE
 from .model import Model
 
 #: Texts whose words are looked at together; bounds a worker's memory.
 BATCH_BYTES = 2 << 20
+#: Words whose sums a worker holds (about 30 MB).
+KNOWN = 200_000
 DETECTION = "struct<lang string, confidence float, is_uncertain boolean>"
 
 
-def text_sums(texts: pa.Array, m: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums [texts, columns], tokens of each text). Rows of a distinct word are added up once."""
-    e = features.encode(texts, FeatureConfig(m.n_min, m.n_max))
-    t = e.table
-    n, c = len(e.off) - 1, table.shape[1]
-    if not len(e.index):
-        return np.zeros((n, c), table.dtype), np.zeros(n, np.int64)
-    ids = _rows(t.keys, m)
-    size = np.diff(t.off)
-    per_word = np.add.reduceat(table[ids], t.off[:-1], axis=0)
-    first = np.zeros(len(e.index), bool)
-    first[e.off[:-1][np.diff(e.off) > 0]] = True
-    rows = per_word[e.index]
-    pair = np.flatnonzero(~first)
-    if len(pair):
-        rows[pair] += table[_rows(features.pair_keys(t.hash[e.index[pair - 1]], t.hash[e.index[pair]]), m)]
-    words = np.diff(e.off)
+class Words:
+    """Sums of a table's rows over the keys of words, and the words' hashes and numbers of keys.
+    A word is looked at once, as long as no more than :data:`KNOWN` are held. Columns are
+    added up one by one: a column stays in the cache, and sums of neighbours are fast."""
+
+    def __init__(self, m: Model, table: np.ndarray):
+        self.model, self.columns = m, np.ascontiguousarray(table.T)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sums = np.zeros((len(self.columns), 0), self.columns.dtype)
+        self.hash, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def index(self, words: list[str]) -> np.ndarray:
+        """The number of each word."""
+        new = list(dict.fromkeys(w for w in words if w not in self.number))
+        if len(new) + len(self.number) > KNOWN and self.number:
+            self._clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            t = features.word_table(new, FeatureConfig(self.model.n_min, self.model.n_max))
+            ids = _rows(t.keys, self.model).astype(np.intp)
+            self.sums = np.concatenate([self.sums, np.stack([np.add.reduceat(c[ids], t.off[:-1]) for c in self.columns])], 1)
+            self.hash, self.size = np.concatenate([self.hash, t.hash]), np.concatenate([self.size, np.diff(t.off)])
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+def text_sums(texts: pa.Array, m: Model, table: np.ndarray, known: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sums [texts, columns], tokens of each text). Rows of a distinct word are added up
+    once, and with ``known`` once for all batches."""
+    known = known or Words(m, table)
+    index, off, distinct = features.split(texts)
+    n, c = len(off) - 1, len(known.columns)
+    kind = np.float64 if table.dtype.kind == "f" else table.dtype
+    if not len(index):
+        return np.zeros((n, c), kind), np.zeros(n, np.int64)
+    index = known.index(distinct)[index]
+    words = np.diff(off)
     full = np.flatnonzero(words)
-    sums = np.zeros((n, c), rows.dtype)
-    sums[full] = np.add.reduceat(rows, e.off[:-1][full], axis=0)
+    begin = off[:-1][full]
+    first = np.zeros(len(index), bool)
+    first[begin] = True
+    pair = np.flatnonzero(~first)
+    ids = _rows(features.pair_keys(known.hash[index[pair - 1]], known.hash[index[pair]]), m).astype(np.intp)
+    some = np.flatnonzero(words > 1)
+    pair_begin = (np.cumsum(words[some] - 1) - (words[some] - 1)) if len(some) else some
+    sums = np.zeros((c, n), kind)
+    for k, column in enumerate(known.columns):
+        sums[k, full] = np.add.reduceat(known.sums[k][index], begin, dtype=kind)
+        if len(some):
+            sums[k, some] += np.add.reduceat(column[ids], pair_begin, dtype=kind)
     count = np.zeros(n, np.int64)
-    count[full] = np.add.reduceat(size[e.index] + ~first, e.off[:-1][full])
-    return sums, count
+    count[full] = np.add.reduceat(known.size[index] + ~first, begin)
+    return np.ascontiguousarray(sums.T), count
+
+
+_KNOWN: dict[int, Words] = {}
+
+
+def known_words(key: int, m: Model, table: np.ndarray) -> Words:
+    """This worker's words for the model that was sent as ``key``; one model's at a time."""
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Words(m, table)
+    return _KNOWN[key]
 
 
 def _rows(keys: np.ndarray, m: Model) -> np.ndarray:
@@ -85,35 +132,34 @@ def detection(spark: SparkSession, m: Model, column: Column | str = "text", rest
     ``restrict_to_group``, only the columns of the routed script are compared.
     """
     t = F.col(column) if isinstance(column, str) else column
-    sent = spark.sparkContext.broadcast(m)
+    sent, key = spark.sparkContext.broadcast(m), random.getrandbits(62)
 
     @F.arrow_udf(DETECTION)
-    def detect(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def detect(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        table = m.doubled()
+        known = known_words(key, m, m.doubled())
         names = np.array(m.languages, object)
-        for texts, route, direct in parts:
-            lang = np.array(direct.to_pylist(), object)
-            conf = np.where(np.equal(lang, None), 0.0, 1.0)
-            unsure = np.equal(lang, None)
-            kind = np.array(route.to_pylist(), object)
-            todo = np.flatnonzero((kind == "latin") | (kind == "cyrillic"))
+        for texts in parts:
+            route = scripts.routes(texts)
+            lang = np.array([None, None, None, *scripts.DIRECT], object)[route]
+            conf = np.where(route < 3, 0.0, 1.0)
+            unsure = route < 3
+            todo = np.flatnonzero((route == scripts.LATIN) | (route == scripts.CYRILLIC))
             at = 0
             for piece in _slices(texts.take(pa.array(todo))) if len(todo) else ():
                 rows = todo[at : at + len(piece)]
                 at += len(piece)
-                sums, count = text_sums(piece, m, table)
+                sums, count = text_sums(piece, m, known.columns.T, known)
                 allowed = None
                 if restrict_to_group:
-                    col = np.arange(table.shape[1])
-                    span = np.array([COLUMN_RANGE[k.capitalize()] for k in kind[rows]])
+                    col = np.arange(len(known.columns))
+                    span = np.array([COLUMN_RANGE["Latin" if r == scripts.LATIN else "Cyrillic"] for r in route[rows]])
                     allowed = (col >= span[:, :1]) & (col < span[:, 1:])
                 best, p = read_out(sums, count, m.bias, allowed=allowed)
                 lang[rows], conf[rows], unsure[rows] = names[best], p, p.astype(np.float32) < np.float32(m.theta)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(conf.astype(np.float32)), pa.array(unsure.astype(bool))], ["lang", "confidence", "is_uncertain"])
 
-    r = text.route(t)
-    return detect(t, r["route"], r["direct_lang"]).alias("detection")
+    return detect(t).alias("detection")
 
 
 def detect(df: DataFrame, m: Model, column: str = "text", **options) -> DataFrame:
@@ -126,17 +172,18 @@ def judge(spark: SparkSession, m: Model, column: Column | str = "text", max_char
     """struct(pred, conf): the verdict of a judge, without routing; the first of equals
     wins, and a text of fewer than ``min_tokens`` tokens gets null."""
     t = F.col(column) if isinstance(column, str) else column
-    sent = spark.sparkContext.broadcast(m)
+    sent, key = spark.sparkContext.broadcast(m), random.getrandbits(62)
 
     @F.arrow_udf("struct<pred string, conf double>")
     def verdict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         table = m.doubled()
+        known = known_words(key, m, table)
         for texts in parts:
             pred: list = []
             conf = [np.zeros(0)]
             for piece in _slices(texts):
-                sums, count = text_sums(piece, m, table)
+                sums, count = text_sums(piece, m, table, known)
                 best, p = read_out(sums, count, m.bias, last_wins=False)
                 pred += [m.languages[b] if n >= max(min_tokens, 1) else None for b, n in zip(best, count)]
                 conf.append(p)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,7 @@ from ..functions import langs
 from ..functions import text as tx
 from ..operators import detect as dt
 from ..operators import hygiene, metrics, mix, select, train
-from ..operators.model import Model
+from ..operators.model import Model, damage, quantize
 from ..plans.sweep import sentence_rows, sweep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -510,28 +511,107 @@ def certified(spark, sf_dir):
 
 
 @_query("quantize_rows", """
-WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM e),
-q AS (SELECT id, v, CASE WHEN s = 0 THEN 1.0 ELSE s END AS s FROM s),
+WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::FLOAT) AS v FROM embeddings), s AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) / 127::FLOAT AS s FROM e),
+q AS (SELECT id, v, CASE WHEN s = 0 THEN 1::FLOAT ELSE s END AS s FROM s),
 r AS (SELECT id, v, s, list_transform(v, lambda x: CASE WHEN abs(x / s - floor(x / s) - 0.5) < 1e-12 THEN 2 * round(x / s / 2) ELSE round(x / s) END::INTEGER) AS q FROM q)
-SELECT id, array_to_string(q, ',') AS q, round(s, 9) AS scale, round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(q[i] * s - v[i]))), 9) AS max_error, len(list_filter(q, lambda x: x = 0)) AS zeros FROM r""")
+SELECT id, array_to_string(q, ',') AS q, round(s::DOUBLE, 9) AS scale, round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs((q[i] * s)::FLOAT - v[i])))::DOUBLE, 7) AS max_error, len(list_filter(q, lambda x: x = 0)) AS zeros FROM r""")
 def quantize_rows(spark, sf_dir):
-    """Vectors stored as 8-bit integers with a scale each, and what that costs."""
+    """Vectors stored as 8-bit integers with a scale each, and what that costs: the model's quantiser, by row."""
     e = _t(spark, sf_dir, "embeddings")
     vec = next(f.name for f in e.schema.fields if f.dataType.typeName() == "array")
-    key = e.columns[0]
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    s = F.array_max(F.transform("v", F.abs)) / 127
-    q = F.transform("v", lambda x: F.rint(x / F.col("s")).cast("int"))
-    d = e.select(F.col(key).alias("id"), v.alias("v")).withColumn("s", s).withColumn("s", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).withColumn("q", q)
-    err = F.array_max(F.zip_with("q", "v", lambda a, b: F.abs(a * F.col("s") - b)))
-    return d.select("id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"), F.round("s", 9).alias("scale"), F.round(err, 9).alias("max_error"), F.size(F.filter("q", lambda x: x == 0)).cast("bigint").alias("zeros"))
+
+    @F.arrow_udf("struct<q string, scale double, max_error double, zeros bigint>")
+    def store(v: pa.Array) -> pa.Array:
+        out = []
+        for x in v.to_pylist():  # rows may differ in length
+            p = np.array([x], np.float32)
+            stored, scales = quantize(p, "int8", "row")
+            cost = damage(p, stored, scales, "int8", "row")
+            out.append({"q": ",".join(map(str, stored[0].tolist())), "scale": round(float(scales[0]), 9), "max_error": round(cost["max_error"], 7), "zeros": int((stored == 0).sum())})
+        return pa.array(out, pa.struct([("q", pa.string()), ("scale", pa.float64()), ("max_error", pa.float64()), ("zeros", pa.int64())]))
+
+    return e.select(F.col(e.columns[0]).alias("id"), store(F.col(vec)).alias("x")).select("id", "x.*")
 
 
 # -- models
 
 
+_MODELS: dict[tuple[str, str], Model] = {}
+
+
 def _model(spark, sf_dir) -> Model:
-    return train.train_counts(_samples(spark, sf_dir), 12)
+    """A table trained on all documents, once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = train.train_counts(_samples(spark, sf_dir), 12)
+    return _MODELS[key]
+
+
+def _int_model() -> Model:
+    """A table of small whole numbers, so that sums are exact and SQL can repeat them."""
+    b, c = np.meshgrid(np.arange(4097), np.arange(30), indexing="ij")
+    return Model((b * 31 + c * 17) % 255 - 127.0, np.zeros(30), 12)
+
+
+_M32 = "4294967296"
+_TAGS = [n * 0x9E3779B97F4A7C15 % (1 << 64) for n in range(8)]
+
+
+def _mix64_sql(x: str, multiplier: int) -> str:
+    return f"((xor({x}, {x} >> 33)::UHUGEINT * {multiplier}::UHUGEINT) % {_2_64})::UBIGINT"
+
+
+def _keys_sql(rows: str) -> str:
+    """CTEs for ``rows`` (id, text): occ (id, i, w), word (w, h), wkey (w, key) and pair (id, key), the definition of all keys."""
+    sentinels = " ".join(f"WHEN '{k}' THEN [{v}]" for k, v in (("url", 0xE001), ("email", 0xE002), ("mention", 0xE003), ("num", 0xE004)))
+    grams = " UNION ALL ".join(f"SELECT w, xor({x}, {_TAGS[n]}::UBIGINT) AS key FROM place WHERE i >= {n}" for n, x in ((1, "c0"), (2, "(c0 | (c1 << 21))"), (3, "(c0 | (c1 << 21) | (c2 << 42))"), (4, "(c0 | (c1 << 21) | (c2 << 42) | ((c3 & 1) << 63))"), (5, "(c0 | (c1 << 21) | (c2 << 42) | ((c3 & 1) << 63))")))
+    return f"""
+src AS ({rows}),
+lists AS (SELECT id, {_RETAINED} AS ws FROM src),
+occ AS (SELECT id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM lists),
+letters AS (SELECT w, CASE {_class("w")} {sentinels} ELSE list_transform(string_split(lower(w), ''), lambda c: unicode(c)) END AS l FROM (SELECT DISTINCT w FROM occ)),
+word AS MATERIALIZED (SELECT w, l, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(l, lambda c: c::UHUGEINT)), lambda a, c: (xor(a::UBIGINT, c::UBIGINT)::UHUGEINT * 1099511628211) % {_2_64})::UBIGINT AS h FROM letters),
+marked AS (SELECT w, list_append(list_prepend(2, l), 3) AS m FROM word),
+place AS (SELECT w, i, m[i]::UBIGINT AS c0, coalesce(m[i - 1], 0)::UBIGINT AS c1, CASE WHEN i > 2 THEN m[i - 2] ELSE 0 END::UBIGINT AS c2, CASE WHEN i > 3 THEN m[i - 3] ELSE 0 END::UBIGINT AS c3 FROM (SELECT w, m, unnest(range(1, len(m) + 1)) AS i FROM marked)),
+wkey AS ({grams} UNION ALL SELECT w, xor(h, {_TAGS[6]}::UBIGINT) FROM word),
+two AS (SELECT id, xor(prev, ((h % {_M32}) * {_M32}::UBIGINT) | (h >> 32)) AS x FROM (SELECT id, h, lag(h) OVER (PARTITION BY id ORDER BY i) AS prev FROM occ JOIN word USING (w)) WHERE prev IS NOT NULL),
+two1 AS (SELECT id, {_mix64_sql("x", 0xFF51AFD7ED558CCD)} AS x FROM two),
+two2 AS (SELECT id, {_mix64_sql("x", 0xC4CEB9FE1A85EC53)} AS x FROM two1),
+pair AS (SELECT id, xor(xor(x, x >> 33), {_TAGS[7]}::UBIGINT) AS key FROM two2)"""
+
+
+def _fmix_sql(table: str, keep: str, name: str) -> str:
+    """CTEs that end in ``name`` (keep, h): the 32-bit hash of ``key``."""
+    return f"""
+{name}_a AS (SELECT {keep}, xor(xor(key % {_M32}, ({0x9E3779B9} * {0x85EBCA6B}::UBIGINT) % {_M32}), ((key >> 32) * {0xC2B2AE35}::UBIGINT) % {_M32}) AS h FROM {table}),
+{name}_b AS (SELECT {keep}, (xor(h, h >> 16) * {0x85EBCA6B}::UBIGINT) % {_M32} AS h FROM {name}_a),
+{name}_c AS (SELECT {keep}, (xor(h, h >> 13) * {0xC2B2AE35}::UBIGINT) % {_M32} AS h FROM {name}_b),
+{name} AS (SELECT {keep}, xor(h, h >> 16) AS h FROM {name}_c)"""
+
+
+def _sums_sql(rows: str) -> str:
+    """CTEs that end in scored (id, n, s): number of keys, and the sums of the whole-number table over them."""
+    value = lambda c: f"sum((CASE WHEN h % 2 = 1 THEN -1 ELSE 1 END) * ((((h >> 20) * 31 + {c * 17}) % 255)::BIGINT - 127))::BIGINT AS s{c}"
+    sums = ", ".join(value(c) for c in range(30))
+    total = "[" + ", ".join(f"sum(s{c})::BIGINT" for c in range(30)) + "]"
+    return f"""{_keys_sql(rows)},{_fmix_sql("wkey", "w", "wh")},{_fmix_sql("pair", "id", "ph")},
+per_word AS MATERIALIZED (SELECT w, count(*) AS n, {sums} FROM wh GROUP BY w),
+per_pair AS (SELECT id, count(*) AS n, {sums} FROM ph GROUP BY id),
+scored AS (SELECT id, sum(n)::BIGINT AS n, {total} AS s FROM (SELECT id, per_word.* EXCLUDE (w) FROM occ JOIN per_word USING (w) UNION ALL SELECT * FROM per_pair) GROUP BY id)"""
+
+
+_CODES = "[" + ", ".join(repr(c) for c in langs.CODES) + "]"
+_DETECTED = f"CASE WHEN r LIKE 'direct:%' THEN substr(r, 8) WHEN r IN ('latin', 'cyrillic') THEN coalesce({_CODES}[31 - list_position(list_reverse(s), list_max(s))], {_CODES}[30]) END"
+_CONF = "CASE WHEN r LIKE 'direct:%' THEN 1.0 WHEN r IN ('latin', 'cyrillic') THEN coalesce(1 / list_sum(list_transform(s, lambda x: exp((x - list_max(s)) / n))), 1 / 30) ELSE 0.0 END"
+
+
+def _detected_sql(rows: str) -> str:
+    """CTEs that end in found (id, lang, unsure)."""
+    return f"{_sums_sql(rows)}, routed AS (SELECT id, {_route()} AS r FROM src), found AS (SELECT id, {_DETECTED} AS lang, {_CONF}::FLOAT < 0.5 AS unsure FROM routed LEFT JOIN scored USING (id))"
+
+
+_TEXT_ID = "SELECT conv_id || ':' || turn || ':' || row_number() OVER () AS id, text FROM conversations"
 
 
 @_query("detect_documents")
@@ -541,9 +621,16 @@ def detect_documents(spark, sf_dir):
     return d.select("doc_id", "lang", "lang_detected", F.round(F.col("confidence").cast("double"), 3).alias("confidence"), "is_uncertain")
 
 
-@_query("detect_histogram")
+@_query("integer_detection", f"WITH {_detected_sql('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, lang AS lang_detected, unsure AS is_uncertain FROM found")
+def integer_detection(spark, sf_dir):
+    """Detection with a table of whole numbers: route, keys, hashes, sums, the best column, and the threshold."""
+    return dt.detect(_docs(spark, sf_dir), _int_model()).select("doc_id", "lang_detected", "is_uncertain")
+
+
+@_query("detect_histogram", f"WITH {_detected_sql(_TEXT_ID)} SELECT coalesce(lang, 'und') AS lang, count(*) AS n, sum(unsure::BIGINT)::BIGINT AS n_uncertain FROM found GROUP BY 1")
 def detect_histogram(spark, sf_dir):
-    return metrics.histogram(dt.detect(_t(spark, sf_dir, "conversations"), _model(spark, sf_dir)))
+    """Languages of all turns, by a table of whole numbers."""
+    return metrics.histogram(dt.detect(_t(spark, sf_dir, "conversations"), _int_model()))
 
 
 @_query("sentence_sweep")
@@ -556,8 +643,15 @@ def sentences_rule(spark, sf_dir):
     return sentence_rows(_docs(spark, sf_dir), "doc_id")
 
 
-@_query("judge_verdicts")
+@_query("judge_verdicts", f"WITH {_sums_sql('SELECT doc_id AS id, left(text, 1200) AS text FROM documents')} SELECT doc_id, CASE WHEN n >= 8 THEN {_CODES}[list_position(s, list_max(s))] END AS pred FROM documents LEFT JOIN scored ON id = doc_id")
 def judge_verdicts(spark, sf_dir):
+    """A judge reads the first 1,200 characters: that many are its feature."""
+    return _docs(spark, sf_dir).select("doc_id", dt.judge(spark, _int_model())["pred"].alias("pred"))
+
+
+@_query("judge_confidence")
+def judge_confidence(spark, sf_dir):
+    """The same judge with a trained table, and its confidence."""
     j = dt.judge(spark, _model(spark, sf_dir))
     return _docs(spark, sf_dir).select("doc_id", j.alias("j")).select("doc_id", "j.pred", F.round("j.conf", 3).alias("conf"))
 
@@ -568,30 +662,45 @@ def detection_lines(spark, sf_dir):
     return d.select("doc_id", dt.detection_line(F.col("lang_detected"), F.round("confidence", 2), F.col("is_uncertain"), True).alias("line"))
 
 
-def _int_model() -> Model:
-    """A table of small whole numbers, so that sums are exact."""
-    b, c = np.meshgrid(np.arange(4097), np.arange(30), indexing="ij")
-    return Model((b * 31 + c * 17) % 255 - 127.0, np.zeros(30), 12)
-
-
-@_query("integer_scores")
+@_query("integer_scores", f"WITH {_sums_sql('SELECT doc_id AS id, text FROM documents')} SELECT doc_id, coalesce(n, 0) AS n_tokens, array_to_string(coalesce(s, list_resize([0], 30, 0)), ',') AS sums FROM documents LEFT JOIN scored ON id = doc_id")
 def integer_scores(spark, sf_dir):
     """Sums of a whole-number table over all tokens, in the function's form."""
-    sent = spark.sparkContext.broadcast(_int_model())
+    sent, key = spark.sparkContext.broadcast(_int_model()), random.getrandbits(62)
 
     @F.arrow_udf("struct<n bigint, sums array<bigint>>")
     def score(texts: pa.Array) -> pa.Array:
         m = sent.value
         table = m.doubled().astype(np.int64)
-        out = [(x, y) for piece in dt._slices(texts) for x, y in zip(*dt.text_sums(piece, m, table))]
-        return pa.StructArray.from_arrays([pa.array([int(n) for _, n in out], pa.int64()), pa.array([s.tolist() for s, _ in out], pa.list_(pa.int64()))], ["n", "sums"])
+        known = dt.known_words(key, m, table)
+        got = [dt.text_sums(piece, m, table, known) for piece in dt._slices(texts)] or [(np.zeros((0, 30), np.int64), np.zeros(0, np.int64))]
+        sums, n = (np.concatenate(x) for x in zip(*got))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 30), pa.array(sums.reshape(-1)))
+        return pa.StructArray.from_arrays([pa.array(n), lists], ["n", "sums"])
+
+    return _docs(spark, sf_dir).select("doc_id", score(F.col("text")).alias("s")).select("doc_id", F.col("s.n").alias("n_tokens"), F.array_join(F.col("s.sums").cast("array<string>"), ",").alias("sums"))
+
+
+def _spread_sql() -> str:
+    m, k = "1540483477::UBIGINT", "(({0} * 1540483477::UBIGINT) % 4294967296)"
+    seed, turned = 0x9E3779B9, 0x79B99E37
+
+    def murmur(word: str, seed: int) -> str:
+        """CASE-free MurmurHash2 of one word, step by step in a chain of lambdas."""
+        a = f"list_transform([{k.format(word)}], lambda x: (xor(x, x >> 24) * {m}) % {_M32})[1]"
+        b = f"list_transform([xor({seed * 0x5BD1E995 % (1 << 32)}::UBIGINT, {a})], lambda x: (xor(x, x >> 13) * {m}) % {_M32})[1]"
+        return f"list_transform([{b}], lambda x: xor(x, x >> 15))[1]"
 
-    return _docs(spark, sf_dir).select("doc_id", score(F.col("text")).alias("s")).select("doc_id", F.col("s.n").alias("n_tokens"), "s.sums")
+    chi = "SELECT '{0}' AS hash, round((sum(o * o) / (sum(o) / 4096) - sum(o)) / 4095, 9) AS chi2_by_dof FROM (SELECT h >> 20 AS b, count(*)::DOUBLE AS o FROM {1} GROUP BY 1)"
+    return f"""WITH {_keys_sql('SELECT doc_id AS id, text FROM documents')},
+keys AS MATERIALIZED (SELECT key FROM wkey UNION SELECT key FROM pair),{_fmix_sql("keys", "key", "f")},
+g AS (SELECT xor({murmur(f"xor(key % {_M32}, {seed}::UBIGINT)", seed)}, {murmur(f"xor(key >> 32, {turned}::UBIGINT)", turned)}) AS h FROM keys),
+s AS (SELECT xor(((key::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {_2_64})::UBIGINT >> 32, {seed}::UBIGINT) AS h FROM keys)
+{chi.format("fmix32", "f")} UNION ALL {chi.format("murmur2", "g")} UNION ALL {chi.format("multiply_shift", "s")}"""
 
 
-@_query("hash_spread")
+@_query("hash_spread", _spread_sql())
 def hash_spread(spark, sf_dir):
-    return spark.createDataFrame([(w, float(train.hash_spread(_docs(spark, sf_dir), 12, w))) for w in ("fmix32", "murmur2", "multiply_shift")], "hash string, chi2_by_dof double")
+    return spark.createDataFrame([(w, round(float(train.hash_spread(_docs(spark, sf_dir), 12, w)), 9)) for w in ("fmix32", "murmur2", "multiply_shift")], "hash string, chi2_by_dof double")
 
 
 @_query("augmented_mix")

@@ -68,9 +68,13 @@ def cap_stratified(rows: DataFrame, n: int, short_floor: float, seed: int = 42,
     want = F.least(F.col("__s"), F.lit(int(n * short_floor)))
     size = size.withColumn("__ws", want + F.greatest(F.lit(0), F.lit(n) - want - F.col("__l"))).withColumn("__wl", F.least(F.lit(n) - want, F.col("__l")))
     r = rows.join(size, list(by)).withColumns({"__short": short, "__k": order_key(seed, "lang", "text")})
-    w = Window.partitionBy(*by, "__short").orderBy("__k", "lang", "text")
-    keep = (F.col("__s") + F.col("__l") <= n) | (F.col("__r") <= F.when(F.col("__short"), F.col("__ws")).otherwise(F.col("__wl")))
-    return r.withColumn("__r", F.row_number().over(w)).where(keep).select(*[F.col(f"`{c}`") for c in rows.columns])
+    r = r.withColumn("__want", F.when(F.col("__short"), F.col("__ws")).otherwise(F.col("__wl")))
+    small, columns = F.col("__s") + F.col("__l") <= n, [F.col(f"`{c}`") for c in rows.columns]
+    large = r.where(~small)
+    for slice_ in ([F.substring("__k", 1, 2)], []):  # within hash slices first, as a hot group is too much for one task
+        w = Window.partitionBy(*by, "__short", *slice_).orderBy("__k", "lang", "text")
+        large = large.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("__want"))
+    return r.where(small).select(*columns).unionByName(large.select(*columns))
 
 
 def balanced_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -12,11 +12,12 @@ leaf, and pairs of leaves are settled by counting the bits that are left. All no
 level are handled at once as arrays.
 
 To spread the trie over tasks, its levels are permuted. Among the four 32-bit words of
-the fingerprint, one differs in at most BUDGET // 4 bits; among the five blocks of
-that word, one then doesn't differ at all. So each fingerprint goes to 20 cells
-(word, block, value of the block), and in its cell the trie is walked with the word's bits on top,
-where only BUDGET // 4 differences are allowed. Cells are counted first. One of more than
-:data:`CELL` fingerprints is split the same way by its other three words (one of them differs in
+the fingerprint, one differs in at most BUDGET // 4 bits; among :data:`BLOCKS` blocks of
+that word, all but so many then don't differ at all. So each fingerprint goes to a cell for each
+word and each choice of that many blocks, with their values (60 cells of 10 or 11 bits), and
+in its cell the trie is walked with the word's bits on top,
+where only BUDGET // 4 differences are allowed. Cells are counted where one might be hot. One of more than
+:data:`CELL` fingerprints is split by a block of its other three words (one of them differs in
 at most BUDGET // 3 bits, and one of its seven blocks not at all); what is still too large
 is cut into parts by its own count, and each pair of parts is a cell. No pair within the budget
 is missed, and each is counted in the first cell that it shares only.
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ from .components import connected_components
 from .tables import fresh, quoted, sent_if_small, session_of, table, written
 
 BUDGET, RATIO = 19, 0.0
-WORDS = 4
+WORDS, BLOCKS = 4, 6
 CELL = 200_000
 LEAF = 16  # fingerprints of a node that are compared one by one
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -78,17 +80,23 @@ def fingerprints(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
+def name(halves: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The id of a fingerprint (low and high half) and size."""
+    with np.errstate(over="ignore"):
+        return tk.signed(tk.mix64(tk.mix64(halves[:, 0] * np.uint64(tk.BASE) + n.astype(np.uint64)) ^ tk.mix64(halves[:, 1])))
+
+
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, hi, lo, n) of each row with words."""
+    """(doc_id, text_key, id, hi, lo, n) of each row with words; equal fingerprints and sizes have one id."""
     session_of(docs)
 
     def run(batches):
         with np.errstate(over="ignore"):
             for b in tk.chunks(batches):
                 f, n = fingerprints(tk.words(b.column(2)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tk.signed(f[:, 1].copy())), pa.array(tk.signed(f[:, 0].copy())), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "hi", "lo", "n"]).filter(pa.array(n > 0))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name(f, n)), pa.array(tk.signed(f[:, 1].copy())), pa.array(tk.signed(f[:, 0].copy())), pa.array(n.astype(np.int32))], ["doc_id", "text_key", "id", "hi", "lo", "n"]).filter(pa.array(n > 0))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, hi bigint, lo bigint, n int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, id bigint, hi bigint, lo bigint, n int")
 
 
 def _bits32(x: np.ndarray, n: int) -> np.ndarray:
@@ -213,61 +221,82 @@ def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([at, least[at]], 1)
 
 
-def _blocks(n: int) -> list[tuple[int, int]]:
-    """32 bits as ``n`` neighbouring blocks: (shift, mask) of each."""
-    at = [32 * i // n for i in range(n + 1)]
-    return [(32 - e, (1 << (e - a)) - 1) for a, e in zip(at, at[1:])]
+class Pigeonhole:
+    """Choices of blocks of a 32-bit word: of ``n`` neighbouring blocks, ``n - most`` at least are equal
+    in words that differ in ``most`` bits."""
+
+    def __init__(self, n: int, most: int):
+        at = [32 * i // n for i in range(n + 1)]
+        self.most, self.blocks = most, [(32 - e, (1 << (e - a)) - 1) for a, e in zip(at, at[1:])]
+        self.choices = list(combinations(range(n), n - most))
+
+    def values(self, word: np.ndarray) -> Iterator[np.ndarray]:
+        """The value of each choice's blocks."""
+        for choice in self.choices:
+            out = np.zeros(len(word), np.int64)
+            for k in choice:
+                shift, mask = self.blocks[k]
+                out = out << mask.bit_length() | (word >> np.uint32(shift) & np.uint32(mask)).astype(np.int64)
+            yield out
+
+    def first(self, x: np.ndarray) -> np.ndarray:
+        """The first choice whose blocks have no bit in ``x``, or -1."""
+        out = np.full(len(x), -1)
+        same = [(x >> np.uint32(shift) & np.uint32(mask)) == 0 for shift, mask in self.blocks]
+        for c in range(len(self.choices) - 1, -1, -1):
+            out[np.logical_and.reduce([same[k] for k in self.choices[c]])] = c
+        return out
 
 
 @dataclass
 class Cells:
-    """The cells of fingerprints. A code holds a word, a block and its value; a word, a block
-    and its value in a second word where the first cell is ``hot``; and two parts where
-    that is hot, too. Codes in ``hot`` are sorted; ``parts`` go with ``hot2``."""
+    """The cells of fingerprints: a word, a choice of its blocks and their value; besides, a block
+    and its value in a second word where that is ``hot``; and two parts where that is hot, too.
+    Codes in ``hot`` are sorted; ``parts`` go with ``hot2``."""
 
     budget: int
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hot2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
+    def __post_init__(self):
+        most, most2 = self.budget // WORDS, self.budget // (WORDS - 1)
+        self.one, self.two = Pigeonhole(max(BLOCKS, most + 1), most), Pigeonhole(most2 + 1, most2)
+
     @property
     def most(self) -> tuple[int, int]:
-        return self.budget // WORDS, self.budget // (WORDS - 1)
+        return self.one.most, self.two.most
 
     def first(self, words: np.ndarray) -> Iterator[np.ndarray]:
-        """Codes of a word, a block, and its value: one array for each word and block."""
-        blocks = _blocks(self.most[0] + 1)
+        """Codes of a word, a choice, and its value: one array for each word and choice."""
         for w in range(WORDS):
-            for k, (shift, mask) in enumerate(blocks):
-                yield (w << 5 | k) << 32 | (words[:, w] >> np.uint32(shift) & np.uint32(mask)).astype(np.int64)
+            for k, value in enumerate(self.one.values(words[:, w])):
+                yield (w << 8 | k) << 32 | value
 
     def second(self, words: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
         """The same for each other word, within first cells ``code``."""
-        blocks = _blocks(self.most[1] + 1)
-        own = (code >> 37) & 3
+        own, every = code >> 40, np.arange(len(words))
         for step in range(1, WORDS):
             w = (own + step) % WORDS
-            for k, (shift, mask) in enumerate(blocks):
-                value = (words[np.arange(len(words)), w] >> np.uint32(shift) & np.uint32(mask)).astype(np.int64)
-                yield _named(code, w << 5 | k, value)
+            for k, value in enumerate(self.two.values(words[every, w])):
+                yield _named(code, w << 8 | k, value)
 
     def all(self, words: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row, cell, word on top, block, first word or -1, first block, part or -1) of every cell of the fingerprints."""
-        every = np.arange(len(words))
-        n1, n2 = self.most[0] + 1, self.most[1] + 1
+        """(row, cell, kind) of every cell of the fingerprints; see :func:`_kind`."""
+        n1, n2 = len(self.one.choices), len(self.two.choices)
+        none = np.int64(-1)
         for c, code in enumerate(self.first(words)):
             hot = _among(code, self.hot)
             cold = np.flatnonzero(~hot)
-            yield cold, code[cold], np.full(len(cold), c // n1), np.full(len(cold), c % n1), np.full(len(cold), -1), np.full(len(cold), -1), np.full(len(cold), -1)
+            yield cold, code[cold], np.full(len(cold), _kind(np.int64(c // n1), np.int64(c % n1), none, none, none))
             at = np.flatnonzero(hot)
             if not len(at):
                 continue
             for c2, code2 in enumerate(self.second(words[at], code[at])):
-                word = np.full(len(at), (c // n1 + 1 + c2 // n2) % WORDS)
-                rest = (word, np.full(len(at), c2 % n2), np.full(len(at), c // n1), np.full(len(at), c % n1))
+                rest = (np.int64((c // n1 + 1 + c2 // n2) % WORDS), np.int64(c2 % n2), np.int64(c // n1), np.int64(c % n1))
                 hot2 = _among(code2, self.hot2)
                 f = np.flatnonzero(~hot2)
-                yield (every[at[f]], code2[f], *(x[f] for x in rest), np.full(len(f), -1))
+                yield at[f], code2[f], np.full(len(f), _kind(*rest, none))
                 f = np.flatnonzero(hot2)
                 if len(f):
                     parts = self.parts[np.searchsorted(self.hot2, code2[f])]
@@ -275,23 +304,33 @@ class Cells:
                     for other in range(int(parts.max())):
                         g = np.flatnonzero(other < parts)
                         lo, hi = np.minimum(own[g], other), np.maximum(own[g], other)
-                        yield (every[at[f[g]]], _named(code2[f[g]], lo, hi), *(x[f[g]] for x in rest), np.where(lo == hi, -1, own[g]))
+                        yield at[f[g]], _named(code2[f[g]], lo, hi), _kind(*rest, np.where(lo == hi, -1, own[g]))
 
     def mine(self, x: np.ndarray, word: np.ndarray, block: np.ndarray, word1: np.ndarray, block1: np.ndarray) -> np.ndarray:
         """Whether pairs that differ by ``x`` (n, 4 uint32) share this cell first."""
-        d = np.bitwise_count(x)
-        own1, own1b = np.where(word1 < 0, word, word1), np.where(word1 < 0, block, block1)
-        low = d <= self.most[0]
-        good = (low.argmax(1) == own1) & low[np.arange(len(x)), own1]
-        good &= _first_equal(x[np.arange(len(x)), own1], self.most[0] + 1) == own1b
+        every = np.arange(len(x))
+        own, choice = np.where(word1 < 0, word, word1), np.where(word1 < 0, block, block1)
+        low = np.bitwise_count(x) <= self.one.most
+        good = (low.argmax(1) == own) & low[every, own] & (self.one.first(x[every, own]) == choice)
         inner = np.flatnonzero(good & (word1 >= 0))
         if len(inner):
             y, step = x[inner], (word[inner] - word1[inner]) % WORDS
-            turn = np.stack([np.bitwise_count(y[np.arange(len(y)), (word1[inner] + s) % WORDS]) <= self.most[1] for s in range(1, WORDS)], 1)
-            good[inner] = (turn.argmax(1) + 1 == step) & turn[np.arange(len(y)), step - 1] & (_first_equal(y[np.arange(len(y)), word[inner]], self.most[1] + 1) == block[inner])
+            few = np.arange(len(y))
+            turn = np.stack([np.bitwise_count(y[few, (word1[inner] + s) % WORDS]) <= self.two.most for s in range(1, WORDS)], 1)
+            good[inner] = (turn.argmax(1) + 1 == step) & turn[few, step - 1] & (self.two.first(y[few, word[inner]]) == block[inner])
         return good
 
 
+def _kind(word, block, word1, block1, part):
+    """A cell's word on top, its choice of blocks, its first word and choice (or -1), and the part of
+    the fingerprint (or -1), in one number."""
+    return (part + 1) << 40 | (block1 + 1) << 24 | (word1 + 1) << 16 | block << 8 | word
+
+
+def _parse_kind(kind: np.ndarray) -> tuple[np.ndarray, ...]:
+    return kind & 0xFF, kind >> 8 & 0xFF, (kind >> 16 & 0xFF) - 1, (kind >> 24 & 0xFFFF) - 1, (kind >> 40) - 1
+
+
 def _named(code: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A number for (code, a, b); two cells of one number would be walked together, which
     costs time only, as a pair counts in its own cell alone."""
@@ -306,14 +345,6 @@ def _among(code: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
 
 
-def _first_equal(x: np.ndarray, n: int) -> np.ndarray:
-    """The first of ``n`` blocks in which ``x`` has no bit, or n."""
-    out = np.full(len(x), n)
-    for k, (shift, mask) in reversed(list(enumerate(_blocks(n)))):
-        out[(x >> np.uint32(shift) & np.uint32(mask)) == 0] = k
-    return out
-
-
 def _fingerprint_columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     ids, hi, lo, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
     return ids, np.stack([lo, hi], 1).copy().view(np.uint32).reshape(-1, 4), size
@@ -341,7 +372,8 @@ def _hot(nodes: DataFrame, codes, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def cells_of(nodes: DataFrame, budget: int, limit: int) -> Cells:
     cells = Cells(budget)
-    cells.hot, _ = _hot(nodes, cells.first, limit)
+    if nodes.count() > limit:  # else no cell can hold so many
+        cells.hot, _ = _hot(nodes, cells.first, limit)
     if len(cells.hot):
 
         def second(words):
@@ -355,7 +387,7 @@ def cells_of(nodes: DataFrame, budget: int, limit: int) -> Cells:
     return cells
 
 
-_CELL = "cell bigint, id bigint, hi bigint, lo bigint, n int, word tinyint, block tinyint, word1 tinyint, block1 tinyint, part int"
+_CELL = "cell bigint, hi bigint, lo bigint, n int, kind bigint"
 
 
 def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:
@@ -366,30 +398,36 @@ def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cel
 
     def scatter(batches):
         for b in batches:
-            ids, words, size = _fingerprint_columns(b)
-            for at, *rest in sent.value.all(words, ids):
-                if len(at):
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(rest[0]), *(b.column(i).take(take) for i in range(4)), *(pa.array(x.astype(np.int8)) for x in rest[1:5]), pa.array(rest[5].astype(np.int32))], [c.split()[0] for c in _CELL.split(", ")])
+            ids, words, _ = _fingerprint_columns(b)
+            held = [[], [], []]
+            for x in sent.value.all(words, ids):
+                for column, v in zip(held, x):
+                    column.append(v)
+            at, code, kind = (np.concatenate(c) for c in held)
+            for i in range(0, len(at), 1 << 17):
+                take = pa.array(at[i : i + (1 << 17)])
+                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + (1 << 17)]), *(b.column(c).take(take) for c in (1, 2, 3)), pa.array(kind[i : i + (1 << 17)])], ["cell", "hi", "lo", "n", "kind"])
 
     def join(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        cell, ids, hi, lo, size, word, block, word1, block1, part = (t.column(i).to_numpy() for i in range(10))
+        cell, hi, lo, size, kind = (t.column(i).to_numpy() for i in range(5))
         del t, parts
         cells = sent.value
         halves = np.stack([lo, hi], 1).view(np.uint64)
         words = halves.view(np.uint32).reshape(-1, 4)
+        word, block, word1, block1, part = _parse_kind(kind)
+        ids = name(halves, size)
         top = words[np.arange(len(words)), word]
         most = np.where(word1 < 0, *cells.most)
         same, node = np.unique(ids, return_inverse=True)
         links = np.zeros(len(same), np.int64)
         edges, waiting, held = np.zeros((0, 2), np.int64), [], 0
-        for pairs in trie_pairs(top, halves, size.astype(np.int64), most, budget, ratio, cell, part.astype(np.int64)):
+        for pairs in trie_pairs(top, halves, size.astype(np.int64), most, budget, ratio, cell, part):
             i, j = pairs[:, 0], pairs[:, 1]
-            good = cells.mine(words[i] ^ words[j], word[i].astype(np.int64), block[i], word1[i].astype(np.int64), block1[i]) & (word[i] == word[j]) & (block[i] == block[j]) & (word1[i] == word1[j]) & (block1[i] == block1[j])
+            good = cells.mine(words[i] ^ words[j], word[i], block[i], word1[i], block1[i]) & (kind[i] << 24 == kind[j] << 24)
             found = node[pairs[good]]
             links += np.bincount(found.reshape(-1), minlength=len(same))
             waiting.append(found)
@@ -405,7 +443,7 @@ def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cel
 
 def grouped(docs: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:
     """(doc_id, text_key, group, links) of each row with at least one near copy; written."""
-    marks = written(with_fingerprints(docs).withColumn("id", F.xxhash64("hi", "lo", "n")), "fingerprints")
+    marks = written(with_fingerprints(docs), "fingerprints")
     nodes = marks.groupBy("id").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     nodes = written(nodes, "nodes")
     pairs = written(near_pairs(nodes, budget, ratio, cell), "near-pairs")

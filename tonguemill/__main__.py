@@ -5,12 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions import features, hashing, langs
+from .functions import text as tx
 from .operators import hygiene, metrics, mix, model, train
-from .operators.detect import detect, detection_line, judge
+from .operators.detect import Words, detect, detect_batch, detection_line, judge
 from .sources import readers, sinks
 from .sources.registry import SOURCES, cached, create, parse_spec
 
@@ -26,10 +30,19 @@ def _predictions(spark, args):
 
 
 def cmd_detect(spark, args):
-    docs = readers.plain_documents(spark, args.input, args.lines)
-    d = detect(docs, model.load(args.model))
-    for r in d.select(detection_line(F.col("lang_detected"), F.col("confidence"), F.col("is_uncertain"), args.json).alias("x")).toLocalIterator():
-        print(r.x)
+    m = model.load(args.model)
+    if args.input != "-":
+        d = detect(readers.plain_documents(spark, args.input, args.lines), m)
+        for r in d.select(detection_line(F.col("lang_detected"), F.col("confidence"), F.col("is_uncertain"), args.json).alias("x")).toLocalIterator():
+            print(r.x)
+        return
+    text = sys.stdin.read()
+    docs, known = text.splitlines() if args.lines else [text.strip()], Words(m, m.doubled())
+    for i in range(0, len(docs), args.batch):
+        for d in detect_batch(docs[i : i + args.batch], m, args.batch, known):
+            code = d["lang"] or "und"
+            name = langs.BY_CODE[code].name if d["lang"] else "Undetermined"
+            print(json.dumps({"lang": code, "name": name, "confidence": d["confidence"], "uncertain": d["is_uncertain"]}, ensure_ascii=False) if args.json else code)
 
 
 def cmd_eval(spark, args):
@@ -112,10 +125,96 @@ def cmd_card(spark, args):
         print(sinks.dataset_card(json.load(f)))
 
 
+def _labels(spark, path: str, aliases: str):
+    """(text, pred) of a table of another tool's answers (text, label): our codes, where the label
+    is one's or its alias; and the codes that occur."""
+    known = {l: c for c, ls in langs.LABEL_ALIASES[aliases].items() for l in ls} | {c: c for c in langs.CODES}
+    rows = spark.read.csv(path, sep="\t", schema="text string, label string", quote="").withColumn("label", F.regexp_replace("label", "^__label__", ""))
+    table = spark.createDataFrame(list(known.items()), "label string, pred string")
+    rows = rows.join(F.broadcast(table), "label", "left").groupBy("text").agg(F.max("pred").alias("pred")).cache()
+    return rows, {r.pred for r in rows.select("pred").distinct().collect() if r.pred}
+
+
+def cmd_eval_fasttext(spark, args):
+    """Another identifier's answers, stored as a table, scored like ours."""
+    told, codes = _labels(spark, args.predictions, args.labels)
+    print(f"covers {len(codes)}/{len(langs.CODES)} of our languages; left out: {sorted(set(langs.CODES) - codes)}")
+    rows = readers.strict_tsv(spark, *args.files).where(F.col("lang").isin(sorted(codes))).cache()
+    answer = lambda d: d.join(told, "text", "left")
+    if not args.skip_ladder:
+        rungs = metrics.ladder(rows, answer).groupBy("n").agg(F.sum("ok").alias("ok"), F.sum("n_rows").alias("t")).collect()
+        for n, name in ((1, "word"), (2, "pair"), (3, "triple")):
+            for r in rungs:
+                if r.n == n:
+                    print(f"{name}: {r.ok / r.t:.2%}  (n = {r.t})")
+    p = answer(rows).withColumnRenamed("lang", "gold")
+    for r in metrics.accuracy(p).collect():
+        print(f"text: {r.accuracy:.2%}  (n = {r.n})")
+    metrics.by_length(p).orderBy("bucket").show()
+    metrics.accuracy(p, "gold").orderBy("accuracy", "gold").show(30)
+
+
+def cmd_lid_bench(spark, args):
+    """Our model beside other tools' stored answers, on the same rows."""
+    rows, _ = readers.eval_tsv(spark, *args.files)
+    rows = (mix.balanced_sample(rows, args.rows_per_lang, args.seed) if args.rows_per_lang else rows).cache()
+    n, m = rows.count(), model.load(args.model)
+    print(f"{n} rows")
+    began = time.perf_counter()
+    ours = detect(rows, m).select(F.col("lang").alias("gold"), F.col("lang_detected").alias("pred"), "text").cache()
+    ours.count()
+    print(f"tonguemill: {(time.perf_counter() - began) / max(n, 1) * 1e6:.1f} µs/sample")
+    tools = {"tonguemill": (ours, set(langs.CODES))}
+    for spec in args.tool:
+        name, _, path = spec.partition("=")
+        told, codes = _labels(spark, path, args.labels)
+        tools[name] = rows.withColumnRenamed("lang", "gold").join(told, "text", "left").select("gold", "pred", "text"), codes
+    for name, (p, codes) in tools.items():
+        shown = [("all", p)] + ([(f"length {b}", p.where(tx.length_bucket("text") == b)) for b in range(3)] if args.by_length else [])
+        for what, part in shown:
+            r = metrics.coverage(part, sorted(codes)).first()
+            if r.n:
+                print(f"{name:<20} {what:<9} supported {(r.ok_supported or 0) / max(r.n_supported, 1):.2%}  all {r.ok / r.n:.2%}  (n = {r.n})")
+        if args.per_lang:
+            print(name, ", ".join(f"{r.gold} {r.accuracy:.1%} ({r.n})" if r.gold in codes else f"{r.gold} -" for r in metrics.accuracy(p, "gold").orderBy("gold").collect()))
+
+
+def cmd_bench(spark, args):
+    """Time of detection alone: the median of some runs over all rows, and text by text."""
+    m = model.load(args.model)
+    rows = readers.eval_tsv(spark, *args.files)[0].cache()
+    n, took = max(rows.count(), 1), []
+    for _ in range(args.repeats):
+        began = time.perf_counter()
+        detect(rows, m).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    print(f"bulk: {sorted(took)[len(took) // 2] / n * 1e6:.1f} µs/sample ({n} rows, median of {args.repeats})")
+    if args.single:
+        known, began = Words(m, m.doubled()), time.perf_counter()
+        for r in rows.toLocalIterator():
+            detect_batch([r.text], m, known=known)
+        print(f"single: {(time.perf_counter() - began) / n * 1e6:.1f} µs/sample")
+
+
+#: Texts whose keys are written down, so that another program can be held against them.
+PARITY_TEXTS = ("Ein Satz in gewöhnlicher Schrift.", "Короткое предложение для проверки", "Қазақ тілінде жазылған сөйлем", "Phrase accentuée, déjà vue", "mixed слова hier и там", "я", "...?!", "see www.example.org now", "mail a.b@example.net", "@someone said", "42 3.14 99px", "#tag #метка", "и т.д. U.N.", "HTTPS://EXAMPLE.ORG/A?b=1", "RT @x: https://e.org 2x #ok да")
+
+
+def cmd_gen_fixtures(spark, args):
+    cases = []
+    seeds = [(t, h, d, hashing.SEED) for t in PARITY_TEXTS for h in hashing.HASHES for d in (12, 17)] + [(PARITY_TEXTS[1], "fmix32", 17, 12345)]
+    for text, which, log2_d, seed in seeds:
+        b, neg, _ = features.bucket_tokens(pa.array([text]), log2_d, which, seed)
+        cases.append({"text": text, "hash": which, "seed": seed, "n_min": 1, "n_max": 5, "log2_d": log2_d, "keys": [str(k) for k in features.token_keys(text)], "buckets": b.tolist(), "negative": neg.astype(int).tolist()})
+    with open(args.out, "w", encoding="utf-8") as f:
+        json.dump({"cases": cases}, f, ensure_ascii=False)
+    print(f"{len(cases)} cases")
+
+
 #: Command -> (function, options): a value is the default, a type alone is required (or
 #: repeated, for list); names without dashes in front are positional.
 COMMANDS = {
-    "detect": (cmd_detect, {"model": str, "*input": str, "lines": False, "json": False}),
+    "detect": (cmd_detect, {"model": str, "*input": str, "lines": False, "json": False, "batch": 1024}),
     "eval": (cmd_eval, {"model": str, "*files": list}),
     "assess": (cmd_assess, {"model": str, "*files": list, "dump_errors": None, "dump_per_lang": 50}),
     "fetch": (cmd_fetch, {"source": list, "cache": "cache"}),
@@ -127,6 +226,10 @@ COMMANDS = {
     "short-verify": (cmd_short_verify, {"data": str, "out": str, "judge": list, "min_agree": 2}),
     "referee": (cmd_referee, {"data": str, "train": str, "out": str, "judge": list, "per_lang": 500}),
     "card": (cmd_card, {"*manifest": str}),
+    "eval-fasttext": (cmd_eval_fasttext, {"predictions": str, "*files": list, "labels": "lid176", "skip_ladder": False}),
+    "lid-bench": (cmd_lid_bench, {"model": str, "*files": list, "tool": list, "labels": "lid176", "rows_per_lang": 500, "seed": 42, "per_lang": False, "by_length": False}),
+    "bench": (cmd_bench, {"model": str, "*files": list, "repeats": 5, "single": False}),
+    "gen-fixtures": (cmd_gen_fixtures, {"out": str}),
 }
 
 

@@ -125,6 +125,37 @@ def _slices(arr: pa.Array) -> Iterator[pa.Array]:
         i = j
 
 
+def _detected(texts: pa.Array, m: Model, known: Words, restrict_to_group: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language or None, confidence, whether it is uncertain) of each text."""
+    route = scripts.routes(texts)
+    lang = np.array([None, None, None, *scripts.DIRECT], object)[route]
+    conf, unsure = np.where(route < 3, 0.0, 1.0).astype(np.float32), route < 3
+    todo = np.flatnonzero((route == scripts.LATIN) | (route == scripts.CYRILLIC))
+    names, at = np.array(m.languages, object), 0
+    for piece in _slices(texts.take(pa.array(todo))) if len(todo) else ():
+        rows = todo[at : at + len(piece)]
+        at += len(piece)
+        sums, count = text_sums(piece, m, known.columns.T, known)
+        allowed = None
+        if restrict_to_group:
+            col = np.arange(len(known.columns))
+            span = np.array([COLUMN_RANGE["Latin" if r == scripts.LATIN else "Cyrillic"] for r in route[rows]])
+            allowed = (col >= span[:, :1]) & (col < span[:, 1:])
+        best, p = read_out(sums, count, m.bias, allowed=allowed)
+        lang[rows], conf[rows] = names[best], p
+        unsure[rows] = conf[rows] < np.float32(m.theta)
+    return lang, conf, unsure
+
+
+def detect_batch(texts: list[str], m: Model, max_batch: int | None = None, known: Words | None = None) -> list[dict]:
+    """Detection of a few texts in this process: lang (None if undetermined), confidence, is_uncertain.
+    More than ``max_batch`` texts are an error."""
+    if max_batch is not None and len(texts) > max_batch:
+        raise ValueError(f"{len(texts)} texts; a batch has {max_batch} at most")
+    found = _detected(pa.array(texts, pa.string()), m, known or Words(m, m.doubled()), False)
+    return [{"lang": a, "confidence": float(b), "is_uncertain": bool(c)} for a, b, c in zip(*found)]
+
+
 def detection(spark: SparkSession, m: Model, column: Column | str = "text", restrict_to_group: bool = False) -> Column:
     """struct(lang, confidence, is_uncertain) of a text; lang is null if undetermined.
 
@@ -138,26 +169,8 @@ def detection(spark: SparkSession, m: Model, column: Column | str = "text", rest
     def detect(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         known = known_words(key, m, m.doubled())
-        names = np.array(m.languages, object)
         for texts in parts:
-            route = scripts.routes(texts)
-            lang = np.array([None, None, None, *scripts.DIRECT], object)[route]
-            conf = np.where(route < 3, 0.0, 1.0)
-            unsure = route < 3
-            todo = np.flatnonzero((route == scripts.LATIN) | (route == scripts.CYRILLIC))
-            at = 0
-            for piece in _slices(texts.take(pa.array(todo))) if len(todo) else ():
-                rows = todo[at : at + len(piece)]
-                at += len(piece)
-                sums, count = text_sums(piece, m, known.columns.T, known)
-                allowed = None
-                if restrict_to_group:
-                    col = np.arange(len(known.columns))
-                    span = np.array([COLUMN_RANGE["Latin" if r == scripts.LATIN else "Cyrillic"] for r in route[rows]])
-                    allowed = (col >= span[:, :1]) & (col < span[:, 1:])
-                best, p = read_out(sums, count, m.bias, allowed=allowed)
-                lang[rows], conf[rows], unsure[rows] = names[best], p, p.astype(np.float32) < np.float32(m.theta)
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(conf.astype(np.float32)), pa.array(unsure.astype(bool))], ["lang", "confidence", "is_uncertain"])
+            yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(_detected(texts, m, known, restrict_to_group), (pa.string(), pa.float32(), pa.bool_()))], ["lang", "confidence", "is_uncertain"])
 
     return detect(t).alias("detection")
 

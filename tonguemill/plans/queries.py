@@ -507,6 +507,79 @@ def certified(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.certified(F.when(F.col("lang") == "en", "rus").otherwise(F.col("lang")), F.col("text")).alias("certified"))
 
 
+# -- the same functions on other scripts: the documents with their letters exchanged
+
+_ABC = "abcdefghijklmnopqrstuvwxyzäöüßéèñ"
+_OTHER_LETTERS = {
+    0: "абцдэфгхийклмнопярстувьыжзщёюєіїў",  # Cyrillic, with the letters that prove a language
+    1: "абцдefghijklmnopqrstuvwxyzїєґіўўў",  # mixed, with Ukrainian letters for German and a Belarusian one for French
+    2: "一二三四efghijklmnopqrstuvwxyzäöüßéè中",
+    3: "一二三四五六七八九十百千万上下左右大小山川日月火水木金土人入力",
+    4: "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसहअआइउ",
+    5: "ابتثجحخدذرزسشصضطظعغفقكلمنهويىءآأؤ",
+    6: "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみ",
+    7: "1234567890!?;:,.()[]{}+-=*&%$#/<>",
+}
+_PRINTED = {k: v[: len(_ABC)] for k, v in _OTHER_LETTERS.items()}
+_SCRIPTED = "(SELECT doc_id, lang, CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN translate(lower(text), '{_ABC[: len(v)]}', '{v}')" for k, v in _PRINTED.items()) + " ELSE text END AS text FROM documents)"
+_EAST = "CASE lang WHEN 'en' THEN 'rus' WHEN 'de' THEN 'ukr' WHEN 'fr' THEN 'bel' ELSE lang END"
+
+
+def _scripted(spark, sf_dir) -> DataFrame:
+    """All documents; eight in nine with letters of other scripts, whole texts."""
+    text, k = F.col("text"), F.col("doc_id") % 9
+    out = text
+    for i, v in _PRINTED.items():
+        out = F.when(k == i, F.translate(F.lower(text), _ABC[: len(v)], v)).otherwise(out)
+    return _docs(spark, sf_dir).select("doc_id", "lang", out.alias("text"))
+
+
+@_query("scripted_routes", f"SELECT doc_id, split_part(r, ':', 1) AS route, nullif(split_part(r, ':', 2), '') AS direct_lang FROM (SELECT doc_id, {_route()} AS r FROM {_SCRIPTED})")
+def scripted_routes(spark, sf_dir):
+    return _scripted(spark, sf_dir).select("doc_id", tx.route("text").alias("r")).select("doc_id", "r.route", "r.direct_lang")
+
+
+@_query("scripted_letters", "SELECT doc_id, " + ", ".join(f"{_n(v)} AS {k.lower()}" for k, v in tx.SCRIPTS.items()) + f" FROM {_SCRIPTED}")
+def scripted_letters(spark, sf_dir):
+    """Letters of each script, counted from the bytes."""
+    from ..functions import scripts
+
+    names = [n.lower() for n in scripts._ORDER]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: int" for n in names) + ">")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in scripts.letter_counts(texts).T], names)
+
+    return _scripted(spark, sf_dir).select("doc_id", count(F.col("text")).alias("n")).select("doc_id", "n.*")
+
+
+@_query("scripted_chars", "SELECT script, count(*) AS n, sum(c)::BIGINT AS total FROM (SELECT ch, count(*) AS c, CASE " + " ".join(f"WHEN regexp_matches(ch, '^[{v}]$') THEN '{k}'" for k, v in tx.SCRIPTS.items()) + f" END AS script FROM (SELECT unnest(string_split(text, '')) AS ch FROM {_SCRIPTED}) WHERE ch <> '' GROUP BY ch) GROUP BY script")
+def scripted_chars(spark, sf_dir):
+    ch = _scripted(spark, sf_dir).select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("c"))
+    return ch.groupBy(tx.char_script("ch").alias("script")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("total"))
+
+
+@_query("scripted_cyrillic", rf"SELECT doc_id, CASE WHEN length(l) > 0 THEN (length(l) - length(regexp_replace(l, '[\x{{0400}}-\x{{04FF}}]+', '', 'g'))) / length(l) ELSE 0.0 END::DOUBLE AS ratio, {_n(chr(92) + 'x{0400}-' + chr(92) + 'x{052F}')} > {_n('A-Za-z')} AS is_cyrillic FROM (SELECT doc_id, text, {_LETTERS} AS l FROM {_SCRIPTED})")
+def scripted_cyrillic(spark, sf_dir):
+    return _scripted(spark, sf_dir).select("doc_id", tx.cyrillic_ratio("text").alias("ratio"), tx.is_cyrillic("text").alias("is_cyrillic"))
+
+
+_FOREIGN = {"rus": ("[ыъёэ]", "[іїєґ]|[ў]"), "ukr": ("[іїєґ]", "[ыъёэ]|[ў]"), "bel": ("[ў]", "[ыъёэ]|[іїєґ]")}
+
+
+@_query("scripted_certified", "SELECT doc_id, lang, CASE lang " + " ".join(f"WHEN '{k}' THEN regexp_matches(text, '{a}') AND NOT regexp_matches(text, '{b}')" for k, (a, b) in _FOREIGN.items()) + f" ELSE false END AS certified FROM (SELECT doc_id, {_EAST} AS lang, text FROM {_SCRIPTED})")
+def scripted_certified(spark, sf_dir):
+    """Spelling proof, where English stands for Russian, German for Ukrainian and French for Belarusian."""
+    lang = F.when(F.col("lang") == "en", "rus").when(F.col("lang") == "de", "ukr").when(F.col("lang") == "fr", "bel").otherwise(F.col("lang"))
+    return _scripted(spark, sf_dir).select("doc_id", lang.alias("lang"), "text").select("doc_id", "lang", tx.certified("lang", "text").alias("certified"))
+
+
+@_query("scripted_words", f"SELECT class, count(*) AS n, count(DISTINCT w) AS words FROM (SELECT w, {_class('w')} AS class FROM (SELECT unnest({_RETAINED}) AS w FROM {_SCRIPTED})) GROUP BY class")
+def scripted_words(spark, sf_dir):
+    words = _scripted(spark, sf_dir).select(F.explode(tx.retained_words("text")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    return words.groupBy(tx.classify_word("w").alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("words"))
+
+
 # -- stored tables
 
 
@@ -627,6 +700,12 @@ def integer_detection(spark, sf_dir):
     return dt.detect(_docs(spark, sf_dir), _int_model()).select("doc_id", "lang_detected", "is_uncertain")
 
 
+@_query("scripted_detection", f"WITH {_detected_sql(f'SELECT doc_id AS id, text FROM {_SCRIPTED}')} SELECT id AS doc_id, lang AS lang_detected, unsure AS is_uncertain FROM found")
+def scripted_detection(spark, sf_dir):
+    """Routed languages, undetermined texts, and scored ones in Latin and Cyrillic letters."""
+    return dt.detect(_scripted(spark, sf_dir), _int_model()).select("doc_id", "lang_detected", "is_uncertain")
+
+
 @_query("detect_histogram", f"WITH {_detected_sql(_TEXT_ID)} SELECT coalesce(lang, 'und') AS lang, count(*) AS n, sum(unsure::BIGINT)::BIGINT AS n_uncertain FROM found GROUP BY 1")
 def detect_histogram(spark, sf_dir):
     """Languages of all turns, by a table of whole numbers."""

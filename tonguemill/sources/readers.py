@@ -3,8 +3,13 @@ they run in the scan's stage and simple ones are pushed into it."""
 
 from __future__ import annotations
 
+import csv
+import io
 import random
+import tarfile
+import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +19,7 @@ from ..functions import augment
 from ..functions import text as tx
 from ..functions.langs import ALL, CODES, lookup
 from ..operators import mix
-from .registry import positioned, source
+from .registry import first_rows, plain_path, positioned, source
 
 _ALIASES = {"oss": ["os"], "mon": ["khk"], "mhr": ["mari"]}
 _CYRILLIC_ONLY = ("srp", "uzn")
@@ -55,15 +60,16 @@ def _table(spark: SparkSession, path: str, files: str | None = None) -> DataFram
 
 
 def windows(df: DataFrame, per_doc: int, seed: int) -> DataFrame:
-    """Pieces of documents (text, _pos). Each document has its own random stream, seeded by its
-    content."""
+    """Pieces of documents (text, _pos, and ``lang`` where there is one). Each document has its own
+    random stream, seeded by its content."""
 
     @F.arrow_udf("array<string>")
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array([augment.windows_from_doc(t or "", augment.stream(seed, "d", "", t or ""), per_doc) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return df.select("_pos", F.posexplode(cut(F.col("text"))).alias("i", "text")).select("text", (F.col("_pos") * 1000 + F.col("i")).alias("_pos"))
+    keep = [c for c in ("lang",) if c in df.columns]
+    return df.select(*keep, "_pos", F.posexplode(cut(F.col("text"))).alias("i", "text")).select(*keep, "text", (F.col("_pos") * 1000 + F.col("i")).alias("_pos"))
 
 
 @source("hf")
@@ -76,7 +82,7 @@ def documents(spark: SparkSession, path: str, lang: str, column: str = "text", f
     df = positioned(df.select(F.col(column).cast("string").alias("text")))
     if raw:
         return _out(gates(df, min_chars, max_chars, cyr, truncate=True, drop_cjk=drop_cjk), lang, docs)
-    return _out(windows(df.orderBy("_pos").limit(docs), per_doc, seed), lang)
+    return _out(windows(first_rows(df, docs), per_doc, seed), lang)
 
 
 @source("fineweb2")
@@ -89,8 +95,9 @@ def web_corpus(spark: SparkSession, path: str, docs_per_lang: int = 600, per_doc
 
     df = positioned(df.select("lang", "text"))
     df = df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("_pos"))).where(F.col("r") <= docs_per_lang)
-    w = windows(df.select("text", "_pos"), per_doc, seed)
-    return w.join(df.select("lang", F.col("_pos").alias("d")), F.floor(F.col("_pos") / 1000) == F.col("d")).select("lang", "text", "_pos")
+    known = F.create_map(*[F.lit(x) for i, c in enumerate(CODES) for x in (c, i)])
+    # places differ between languages, too
+    return windows(df.select("lang", "text", (F.col("r") * 64 + F.coalesce(known[F.col("lang")], F.lit(63))).alias("_pos")), per_doc, seed).select("lang", "text", "_pos")
 
 
 def tatoeba_tables(spark: SparkSession, sentences: str, max_per_lang: int = 2000, min_chars: int = 20, train_per_lang: int = 8000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -112,10 +119,45 @@ def tatoeba(spark: SparkSession, sentences: str, max_per_lang: int = 2000, min_c
     return positioned(tatoeba_tables(spark, sentences, max_per_lang, min_chars, train_per_lang, seed)[1])
 
 
+def _archive_rows(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
+    """Rows that ``read`` finds in the bytes of each archive, with ``_pos`` in the order of archives by
+    path and of rows in them. An archive is a task; files of up to 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    number = {plain_path(f): i for i, f in enumerate(sorted(files.inputFiles()))}
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for at, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows, n = read(content.as_py()), number[plain_path(at)] << 43
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*part)), pa.array(range(n, n + len(part)), pa.int64())], [*names, "_pos"])
+                    n += len(part)
+
+    return files.select("path", "content").mapInArrow(run, schema + ", _pos bigint")
+
+
+def tar_sentences(content: bytes) -> Iterator[tuple[str]]:
+    """The lines of an archive's file of sentences."""
+    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+        inner = next(m for m in tar if m.name.endswith("-sentences.txt"))
+        for line in io.TextIOWrapper(tar.extractfile(inner), "utf-8", newline="\n"):
+            yield (line.rstrip("\r\n"),)
+
+
+def zip_reviews(content: bytes) -> Iterator[tuple[str | None, str | None]]:
+    """(custom_id, text) of the CSV in an archive; an empty text is none."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
+        for row in csv.DictReader(io.TextIOWrapper(f, "utf-8", newline="")):
+            yield row.get("custom_id"), row.get("text") or None
+
+
 @source("leipzig")
 def leipzig(spark: SparkSession, path: str, lang: str, limit: int = 999_999, min_chars: int = 20, cyr: float = 0.0) -> DataFrame:
-    """``id<TAB>sentence`` lines (unpacked)."""
-    df = positioned(spark.read.text(path)).select(F.split("value", "\t", 2)[1].alias("text"), "_pos")
+    """``id<TAB>sentence`` lines, unpacked or in a tar archive."""
+    packed = path.endswith((".tar.gz", ".tgz", ".tar"))
+    lines = _archive_rows(spark, path, tar_sentences, "value string") if packed else positioned(spark.read.text(path))
+    df = lines.select(F.split("value", "\t", 2)[1].alias("text"), "_pos")
     return _out(gates(df, min_chars, cyr=cyr), lang, limit)
 
 
@@ -152,8 +194,12 @@ def social(spark: SparkSession, path: str, lang: str = "mon", limit: int = 400_0
 
 @source("kazsandra")
 def reviews(spark: SparkSession, path: str, lang: str = "kaz", limit: int = 400_000, min_chars: int = 20, max_chars: int = 0, cyr: float = 0.5) -> DataFrame:
-    """The first row with a text of each ``custom_id``, before all gates."""
-    df = positioned(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select("custom_id", "text")).where("text is not null")
+    """The first row with a text of each ``custom_id``, before all gates; of CSV files, plain or zipped."""
+    if path.endswith(".zip"):
+        df = _archive_rows(spark, path, zip_reviews, "custom_id string, text string")
+    else:
+        df = positioned(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').select("custom_id", "text"))
+    df = df.where("text is not null")
     first = df.groupBy("custom_id").agg(F.min(F.struct("_pos", "text")).alias("x")).select("x.text", "x._pos")
     return _out(gates(first, min_chars, max_chars, cyr), lang, limit)
 
@@ -178,7 +224,8 @@ def _per_book(df: DataFrame, keep: int, seed: int) -> DataFrame:
 def books(spark: SparkSession, path: str, langs: str = "ru", max_books: int = 80, per_book: int = 4000, min_chars: int = 20, max_chars: int = 200, seed: int = 42, banned: str = "война и мир|war and peace|guerre et paix") -> DataFrame:
     """Books (title, text) without licence frames: sentences, a seeded pick of each book."""
     lang = next(x.iso3 for x in ALL if x.iso1 == langs)
-    df = positioned(_table(spark, path).select("title", "text")).where(~F.coalesce(F.lower("title"), F.lit("")).rlike(banned)).orderBy("_pos").limit(max_books)
+    df = positioned(_table(spark, path).select("title", "text")).where(~F.coalesce(F.lower("title"), F.lit("")).rlike(banned))
+    df = first_rows(df, max_books)
     t = F.regexp_replace(F.regexp_replace("text", r"(?s)^.*?\*\*\* ?START OF[^\n]*\n", ""), r"(?s)\*\*\* ?END OF.*$", "")
     return _out(_per_book(df.select("_pos", tx.sentences(t, min_chars, max_chars).alias("s")), per_book, seed), lang)
 
@@ -186,7 +233,7 @@ def books(spark: SparkSession, path: str, langs: str = "ru", max_books: int = 80
 @source("wikisource")
 def wiki_pages(spark: SparkSession, path: str, lang: str = "rus", docs: int = 150_000, per_doc: int = 40, banned: str = "война и мир|war and peace", min_chars: int = 20, max_chars: int = 200, seed: int = 42) -> DataFrame:
     """Pages (title, text): sentences that aren't navigation, a seeded pick of each page."""
-    df = positioned(_table(spark, path).select("title", "text")).orderBy("_pos").limit(docs).where(~F.coalesce(F.lower("title"), F.lit("")).rlike(banned))
+    df = first_rows(positioned(_table(spark, path).select("title", "text")), docs).where(~F.coalesce(F.lower("title"), F.lit("")).rlike(banned))
     s = F.filter(tx.sentences(F.coalesce("text", F.lit("")), min_chars, max_chars), lambda x: ~tx.is_boilerplate(x))
     return _out(_per_book(df.select("_pos", s.alias("s")), per_doc, seed), lang)
 

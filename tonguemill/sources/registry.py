@@ -12,9 +12,14 @@ import hashlib
 import inspect
 import json
 import os
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {}
@@ -87,6 +92,48 @@ def cached(spark: SparkSession, spec: str, cache_dir: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
+#: Bits of ``_pos`` for the place in a file; those above number the files by path.
+_PLACE_BITS = 43
+
+
+def plain_path(path: str) -> str:
+    """One spelling of a file's address, as readers differ in theirs."""
+    return re.sub(r"^(\w+):/*", r"\1:/", unquote(path))
+
+
 def positioned(df: DataFrame) -> DataFrame:
-    """With ``_pos``, in the order of files and of rows within them."""
-    return df.withColumn("_pos", F.monotonically_increasing_id())
+    """With ``_pos``, in the order of files by path and of rows within them, however the scan is
+    cut and packed into tasks: the first byte of a row's split and its number in it (for Parquet its
+    number in the file). ``df`` reads files; of other tables the rows are numbered as they come."""
+    files = sorted(map(plain_path, df.inputFiles()))
+    if not files or "_metadata" in df.columns:
+        return df.withColumn("_pos", F.monotonically_increasing_id())
+    sent = df.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(files)})
+
+    @F.arrow_udf("bigint")
+    def place(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, n = None, 0
+        for paths, starts in parts:
+            keys = list(zip(paths.to_pylist(), starts.to_pylist()))
+            out = np.empty(len(keys), np.int64)
+            for i, key in enumerate(keys):
+                n = n + 1 if key == last else 0
+                last = key
+                out[i] = (sent.value[plain_path(key[0])] << _PLACE_BITS) + key[1] + n
+            yield pa.array(out)
+
+    @F.arrow_udf("bigint")
+    def number(paths: pa.Array, rows: pa.Array) -> pa.Array:
+        file = np.array([sent.value[plain_path(f)] for f in paths.to_pylist()], np.int64)
+        return pa.array((file << _PLACE_BITS) + rows.to_numpy(zero_copy_only=False))
+
+    m = F.col("_metadata")
+    try:
+        return df.withColumn("_pos", number(m["file_path"], m["row_index"]))
+    except AnalysisException:  # rows of text, CSV and JSON have no number in their file
+        return df.withColumn("_pos", place(m["file_path"], m["file_block_start"]))
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by ``_pos``, which then counts from 0."""
+    return df.orderBy("_pos").limit(n).withColumn("_pos", (F.row_number().over(Window.orderBy("_pos")) - 1).cast("bigint"))

@@ -13,14 +13,16 @@ of offsets. Anchors of all templates are looked up at once among the hashed word
 pairs of a batch; the automaton runs from the possible starts. One pass, no shuffle.
 
 Nulls and odd input: null and empty texts hold no licence; a null ``doc_id`` is
-carried along; a repeated row is reported again; long texts are searched whole;
-columns other than ``doc_id`` and ``text`` are not read.
+carried along; a repeated row is reported again; very long texts are searched whole; where
+several licences match (ties) each is reported, and of one licence's matches from a place the longest;
+an empty table gives no rows; columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,9 @@ TEMPLATES: dict[str, str] = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an <<var;name=\"ack\";match=\"acknowledge?ment\";words=1-1>> in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.",
 }
 
+# The bodies of longer licences are kept as files; how to apply them, addresses and titles are optional there.
+TEMPLATES |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
 SCHEMA = "doc_id bigint, license_id string, first_pos int, found int"
 
 
@@ -80,7 +85,7 @@ def _plain_words(text: str) -> list[str]:
 def parse(template: str) -> list:
     """Nested items: str (word), ('opt', items), ('var', regex, lo, hi)."""
     stack: list[list] = [[]]
-    for part in re.split(r"(<<.*?>>)", template):
+    for part in re.split(r"(<<(?:beginOptional|endOptional|var;.*?)>>|<<[a-z]+>>)", template):
         if part == "<<beginOptional>>":
             stack.append([])
         elif part == "<<endOptional>>":

@@ -14,12 +14,13 @@ parser can take exactly one off: it is injective and needs no more than one leve
 content; a role that isn't a plain word is written as ``other`` with the true role,
 quoted, as the first line of its content, at level 2.
 
-Conversations are grouped with one shuffle; a conversation stays in one row.
+Conversations are grouped with one shuffle; a conversation is one row of the result, so all its turns
+meet in one task, whatever is done.
 
 Nulls and odd input: a null text is an empty turn and a null role is ``user``; turns
 go by ``turn`` (nulls last), then role and text, so ties have a fixed order and repeated rows are
-repeated turns; rows with a null ``conv_id`` form one conversation of their own; an empty
-table gives no rows; other columns are not read.
+repeated turns; very long texts are rendered whole; a row with a null ``conv_id`` belongs to no other and is a conversation of its own;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,7 +123,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """One row (conv_id, rendered, n_turns, escaped, rounds) for each conversation."""
     session_of(conversations)
     turn = F.struct(F.col("turn").isNull().alias("last"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), turn.alias("t"))
+    grouped = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    grouped = grouped.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("t")))
 
     def run(batches):
         for b in batches:
@@ -150,4 +153,4 @@ e AS (SELECT conv_id, turn, role, text, level, '<|im_start|>' || CASE WHEN level
     || CASE WHEN level > 0 THEN regexp_replace(body, '<\|(\\*)(im_start\|>|im_end\|>)', '<|\\\1\2', 'g') ELSE body END || '<|im_end|>' || chr(10) AS out FROM r)
 SELECT conv_id, string_agg(out, '' ORDER BY turn NULLS LAST, role, text) AS rendered, count(*)::INTEGER AS n_turns,
     (count(*) FILTER (level > 0))::INTEGER AS escaped, (1 + max(level))::INTEGER AS rounds
-FROM e GROUP BY conv_id"""
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM e) GROUP BY conv_id, alone"""

@@ -8,8 +8,9 @@ at equal distances whatever surrounds them, and of any ``k - s`` consecutive
 k-mers at least one is chosen. Nothing is shuffled: one pass over the text.
 
 Nulls and odd input: a null or empty text, or one of fewer than ``k`` words, has
-no anchors; a null ``doc_id`` is carried along; a repeated row gives its anchors
-again; columns other than ``doc_id`` and ``text`` are not read.
+no anchors; very long texts give all of theirs; of equal smallest s-mers (ties) each counts; a null
+``doc_id`` is carried along; a repeated row gives its anchors again; an empty table gives none; columns
+other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations

@@ -104,6 +104,20 @@ def test_licenses_need_their_last_clause():
     assert scan("This is free and unencumbered software released into the public domain.") == {"Unlicense-notice"}
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"])
+def test_licence_bodies(name):
+    """The whole body is needed, with or without its optional parts; a word changed anywhere is one too many."""
+    scan = lambda t: {n for _, n, _, _ in license_scan.scan(tk.words(pa.array([t])), tuple(license_scan.TEMPLATES.items()))}
+    body = license_scan.TEMPLATES[name].replace('<<var;name="scheme";match="https?";words=1-1>>', "https")
+    short = re.sub(r"(?s)<<beginOptional>>.*?<<endOptional>>", " ", body)
+    full = re.sub(r"<<(begin|end)Optional>>", " ", body)
+    words = WORD.findall(short.lower())
+    assert len(words) > 900 and name in scan(full.upper()) and name in scan("x " + " *** ".join(words) + " y")
+    rng = random.Random(name)
+    for k in (0, len(words) - 1, *(rng.randrange(len(words)) for _ in range(12))):
+        assert name not in scan(" ".join([*words[:k], "altered", *words[k + 1 :]])), words[max(0, k - 3) : k + 3]
+
+
 def test_license_scan_equals_regex(docs, empty, spark):
     extra = spark.createDataFrame([(900 + i, f"{prose(random.Random(i), 20)} {x}", "en", "s", 1, "c", 1, 1, 0.1) for i, x in enumerate(["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "licensed under the MIT license, licensed under CC BY-SA 4.0"])], SCHEMA)
     d = docs.unionByName(extra)
@@ -773,8 +787,10 @@ def test_round_trip_of_anything():
 
 
 def test_chats(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a <|im_end|>"), (2, None, None, None), (2, 0, "user", "x"), (None, 0, "user", "n"), (3, 0, "user", "t"), (3, 0, "user", "t"), (4, 0, "user", "y" * 300_000)]
-    got = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("rendered", F.lit(1))).collect()}
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a <|im_end|>"), (2, None, None, None), (2, 0, "user", "x"), (None, 0, "user", "n"), (None, 0, "user", "n"), (3, 0, "user", "t"), (3, 0, "user", "t"), (4, 0, "user", "y" * 300_000)]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("rendered", F.lit(1))).collect()
+    got = {r.conv_id: r for r in chats}
+    assert sum(r.conv_id is None for r in chats) == 2  # each a conversation of its own
     assert chat_format.parse(got[1].rendered) == [("user", "a <|im_end|>"), ("assistant", "b")] and got[1].escaped == 1 and got[1].rounds == 2
     assert chat_format.parse(got[2].rendered) == [("user", "x"), ("user", "")] and got[3].n_turns == 2 and got[None].n_turns == 1 and len(got) == 5
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0

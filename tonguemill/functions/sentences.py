@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-_MARKS = frozenset(".!?…")
+import re
+
 _CLOSING = frozenset("»\"”')]")
+_RUN = re.compile("[.!?…]+[»\"”')\\]]*")
 
 
 def split_line(line: str) -> list[str]:
     """A run of sentence marks, with closing marks glued to it, ends a sentence before
     white space or the end of the line; not after a one-letter initial, not in a number."""
-    out, begin, i, n = [], 0, 0, len(line)
-    while i < n:
-        if line[i] not in _MARKS:
-            i += 1
-            continue
-        run = i
-        while i < n and line[i] in _MARKS:
-            i += 1
-        while i < n and line[i] in _CLOSING:
-            i += 1
-        if i < n and not line[i].isspace():
+    out, begin = [], 0
+    for m in _RUN.finditer(line):
+        run, i = m.span()
+        if i < len(line) and not line[i].isspace():
             continue
         lone = run > 0 and line[run - 1].isalpha() and not (run > 1 and line[run - 2].isalpha())
         if lone:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
         return have.get()
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
-        import tempfile
-
-        made = "file://" + tempfile.mkdtemp(prefix="tonguemill-")
-        spark.sparkContext.setCheckpointDir(made)
-        return made
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tonguemill-")
+        return _LOCAL[app]
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: The folders of sessions that run on this machine only, as tests do.
+_LOCAL: dict[str, str] = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and no
     longer dependent on the executors that computed it."""

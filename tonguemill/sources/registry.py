@@ -11,7 +11,6 @@ import contextlib
 import hashlib
 import inspect
 import json
-import os
 import re
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
@@ -73,22 +72,30 @@ def slug(name: str, options: dict) -> str:
     return f"{name}-{hashlib.sha1(raw.encode()).hexdigest()[:10]}"
 
 
+def _file(spark: SparkSession, path: str):
+    """A file's system and address, wherever it is: on this machine or shared."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def cached(spark: SparkSession, spec: str, cache_dir: str) -> DataFrame:
     """The source of ``spec``, from its cache or written through to it. The options
     beside the data are written last: without them, or with others, it is built again."""
     name, options = parse_spec(spec)
-    at = os.path.join(cache_dir, slug(name, options))
-    side = at + ".options.json"
+    at = f"{cache_dir.rstrip('/')}/{slug(name, options)}"
+    fs, side = _file(spark, at + ".options.json")
     want = json.loads(json.dumps(full_options(name, options), default=str))
-    if os.path.exists(side):
-        with open(side, encoding="utf-8") as f:
-            if json.load(f) == want:
-                return spark.read.parquet(at)
-        os.remove(side)
-    os.makedirs(cache_dir, exist_ok=True)
+    if fs.exists(side):
+        stream = fs.open(side)
+        have = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if json.loads(have) == want:
+            return spark.read.parquet(at)
+        fs.delete(side, False)
     create(spark, name, options).write.mode("overwrite").parquet(at)
-    with open(side, "w", encoding="utf-8") as f:
-        json.dump(want, f)
+    out = fs.create(side, True)
+    out.write(bytearray(json.dumps(want).encode()))
+    out.close()
     return spark.read.parquet(at)
 
 

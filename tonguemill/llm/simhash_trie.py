@@ -51,7 +51,7 @@ from .tables import fresh, quoted, sent_if_small, session_of, table, written
 BUDGET, RATIO = 19, 0.0
 WORDS, BLOCKS = 4, 6
 CELL = 200_000
-LEAF = 16  # fingerprints of a node that are compared one by one
+LEAF = 32  # fingerprints of a node that are compared one by one
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -182,21 +182,27 @@ def _lower(top: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray)
 
 def _leaves(pair, top, halves, size, top_budget, budget, ratio, part) -> Iterator[np.ndarray]:
     """All pairs of the fingerprints of two nodes, settled by counting bits."""
-    na, nb = pair[:, 1] - pair[:, 0], pair[:, 3] - pair[:, 2]
-    each = na * nb
+    na = pair[:, 1] - pair[:, 0]
+    row = np.repeat(pair[:, 0] - (np.cumsum(na) - na), na) + np.arange(int(na.sum()))  # the first of each pair
+    same = np.repeat(pair[:, 0] == pair[:, 2], na)
+    begin, end = np.where(same, row + 1, np.repeat(pair[:, 2], na)), np.repeat(pair[:, 3], na)
+    n = end - begin
+    total = np.cumsum(n)
+    row, begin, most = row.astype(np.int32), begin.astype(np.int32), top_budget.astype(np.uint8)
+    even = bool((most == most[0]).all())
+    split = bool((part >= 0).any())
     start = 0
-    total = np.cumsum(each)
-    while start < len(pair):  # about a million at once
-        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 20), "right")))
-        p, n, m = pair[start:stop], each[start:stop], nb[start:stop]
-        who = np.repeat(np.arange(len(p)), n)
-        k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = p[who, 0] + k // m[who], p[who, 2] + k % m[who]
-        good = (i < j) & ((part[i] != part[j]) | (part[i] < 0))
-        i, j = i[good], j[good]
-        good = np.bitwise_count(top[i] ^ top[j]) <= top_budget[i]
-        i, j = i[good], j[good]
-        good = (np.bitwise_count(halves[i, 0] ^ halves[j, 0]).astype(np.int64) + np.bitwise_count(halves[i, 1] ^ halves[j, 1]) <= budget) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
+    while start < len(row):  # about half a million at once
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 19), "right")))
+        m = n[start:stop]
+        j = np.repeat(begin[start:stop] - (np.cumsum(m) - m).astype(np.int32), m) + np.arange(int(m.sum()), dtype=np.int32)
+        near = np.flatnonzero(np.bitwise_count(np.repeat(top[row[start:stop]], m) ^ top[j]) <= (most[0] if even else np.repeat(most[row[start:stop]], m)))
+        j, i = j[near], row[start:stop][np.searchsorted(np.cumsum(m), near, "right")]
+        good = np.bitwise_count(halves[i, 0] ^ halves[j, 0]).astype(np.int64) + np.bitwise_count(halves[i, 1] ^ halves[j, 1]) <= budget
+        if split:
+            good &= (part[i] != part[j]) | (part[i] < 0)
+        if ratio > 0:
+            good &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
         if good.any():
             yield np.stack([i[good], j[good]], 1)
         start = stop

@@ -25,6 +25,8 @@ prior, or 0.5); an empty table gives an empty one; other columns pass, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -116,18 +118,46 @@ class Model:
 
 
 class _Sparse:
-    """Binary rows of features as places (row, feature), by row and by feature."""
+    """Binary rows of features, by row and by feature. Sums over rows skip the features whose values
+    are all zero, which add nothing: they are left out once half of what is looked at has become so.
+    Sums are made a block at a time, so that the driver holds places (of 32 bits) only."""
+
+    BLOCK = 1 << 18
 
     def __init__(self, x: np.ndarray, size: np.ndarray, dim: int):
-        self.x, self.row, self.n, self.dim = x, np.repeat(np.arange(len(size)), size), len(size), dim
-        order = np.argsort(x, kind="stable")
-        self.by_x, self.row_by_x = x[order], self.row[order]
+        self.n, self.dim = len(size), dim
+        self.whole = self.x, self.size = x, size
+        self.held = np.ones(dim, bool)  # the features in x
+        self.each = np.bincount(x, minlength=dim)
+        self.row_by_x = self._owners(size)[np.argsort(x, kind="stable")]
+        self.pool = ThreadPoolExecutor(RANK + 2)
+
+    def _owners(self, size: np.ndarray) -> np.ndarray:
+        return np.repeat(np.arange(self.n, dtype=np.int32), size)
+
+    def _sums(self, values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(size)), np.flatnonzero(size)
+        end = np.cumsum(size[some])
+        i = done = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(end, done + self.BLOCK, "right")))
+            begin = np.concatenate([[0], end[i : j - 1] - done])
+            out[some[i:j]] = np.add.reduceat(values.take(at[done : end[j - 1]]), begin)
+            i, done = j, int(end[j - 1])
+        return out
 
-    def rows(self, of_feature: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=of_feature[self.x], minlength=self.n).astype(float)
+    def rows(self, columns: list[np.ndarray]) -> np.ndarray:
+        """For each row, the sums of its features' values."""
+        on = np.logical_or.reduce([c != 0 for c in columns])
+        if 2 * self.each[on].sum() < len(self.x) or (on & ~self.held).any():  # few are left, or some are back
+            x, size = self.whole
+            keep = on[x]
+            self.x, self.size, self.held = x[keep], np.bincount(self._owners(size)[keep], minlength=self.n), on
+        return np.stack(list(self.pool.map(lambda c: self._sums(c, self.x, self.size), columns)))
 
-    def features(self, of_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.by_x, weights=of_row[self.row_by_x], minlength=self.dim).astype(float)
+    def features(self, columns: list[np.ndarray]) -> np.ndarray:
+        """For each feature, the sums of its rows' values."""
+        return np.stack(list(self.pool.map(lambda c: self._sums(c, self.row_by_x, self.each), columns)))
 
 
 def _descend(at: _Sparse, y: np.ndarray, weight: np.ndarray, p: np.ndarray, w0: float, steps: int, lasso: float) -> tuple[np.ndarray, float]:
@@ -135,10 +165,10 @@ def _descend(at: _Sparse, y: np.ndarray, weight: np.ndarray, p: np.ndarray, w0:
     feature's vector shrinks as a group after each step."""
     mom, var, b0 = np.zeros_like(p), np.zeros_like(p), 0.0
     for t in range(1, steps + 1):
-        s = np.stack([at.rows(c) for c in p])
-        z = w0 + s[0] + 0.5 * ((s[1:] ** 2).sum(0) - at.rows((p[1:] ** 2).sum(0)))
+        *s, squares = at.rows([*p, (p[1:] ** 2).sum(0)])
+        z = w0 + s[0] + 0.5 * (np.sum(np.square(s[1:]), axis=0) - squares)
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        grad = np.stack([at.features(g), *(at.features(g * c) for c in s[1:])])
+        grad = at.features([g, *(g * c for c in s[1:])])
         grad[1:] -= p[1:] * grad[0]
         grad += L2 * p
         mom, var, b0 = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad**2, 0.9 * b0 + 0.1 * g.sum()
@@ -148,15 +178,20 @@ def _descend(at: _Sparse, y: np.ndarray, weight: np.ndarray, p: np.ndarray, w0:
         if lasso:
             p *= np.maximum(0, 1 - lasso * step[0] / np.maximum(np.sqrt((p**2).sum(0)), 1e-12))
         w0 -= rate * b0
+    at.pool.shutdown()
     return p, w0
 
 
+def _digest(x: np.ndarray) -> bytes:
+    return blake2b(np.ascontiguousarray(x), digest_size=16).digest()
+
+
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = _SEED) -> Model:
     """Fit to (buckets, 0/1) rows. The loss weighs both labels alike."""
     dim = 1 << LOG_DIM
     alike: dict[bytes, list[int]] = {}
     for i, r in enumerate(rows):  # copies of a document count as one, by majority
-        alike.setdefault(r[0].tobytes(), []).append(i)
+        alike.setdefault(_digest(r[0]), []).append(i)
     votes = [(rows[i[0]][0], int(2 * sum(rows[k][1] for k in i) >= len(i))) for i in alike.values()]
     y = np.array([v[1] for v in votes], float)
     model = Model(0.0, np.zeros(dim), np.zeros((dim, RANK)), np.zeros(dim, bool))
@@ -167,15 +202,20 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = _SEED) -> Model:
         return model
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     size = np.array([len(v[0]) for v in votes])
-    ids, x = np.unique(np.concatenate([v[0] for v in votes]), return_inverse=True)
+    x = np.concatenate([v[0] for v in votes]).astype(np.int32)
+    number = np.zeros(dim, np.int32)
+    number[x] = 1
+    ids = np.flatnonzero(number)
+    number[ids] = np.arange(len(ids))
+    x = number[x]
     rng = np.random.default_rng(seed)
     p = np.concatenate([np.zeros((1, len(ids))), rng.normal(0, 0.2, (RANK, len(ids)))])
     p, w0 = _descend(_Sparse(x, size, len(ids)), y, weight, p, 0.0, STEPS, LASSO)
     on = np.flatnonzero((p**2).sum(0) > 0)  # what the lasso leaves is fitted again without it
-    number = np.full(len(ids), -1)
+    number = np.full(len(ids), -1, np.int32)
     number[on] = np.arange(len(on))
     left = number[x] >= 0
-    size = np.bincount(np.repeat(np.arange(len(size)), size)[left], minlength=len(size))
+    size = np.bincount(np.repeat(np.arange(len(size), dtype=np.int32), size)[left], minlength=len(size))
     p, w0 = _descend(_Sparse(number[x[left]], size, len(on)), y, weight, p[:, on], w0, REFIT, 0.0)
     w, v, active = np.zeros(dim), np.zeros((dim, RANK)), np.zeros(dim, bool)
     w[ids[on]], v[ids[on]], active[ids[on]] = p[0], p[1:].T, True
@@ -209,7 +249,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
     got = joined.select("__tm_id", "text", "lang", "source", "__tm_y").mapInArrow(run, "id bigint, x array<int>, y int").toArrow()
     out = [(r, x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32), y) for r, x, y in zip(got.column("id").to_pylist(), got.column("x"), got.column("y").to_pylist())]
-    out.sort(key=lambda r: (r[0], r[2], r[1].tobytes()))
+    out.sort(key=lambda r: (r[0], r[2], _digest(r[1])))
     return [(x, y) for _, x, y in out]
 
 

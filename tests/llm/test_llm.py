@@ -724,6 +724,49 @@ def test_trie_equals_brute_force():
         assert got == want
 
 
+def biased(rng, n):
+    """Fingerprints whose bits lean to one side, as those of one language do, and some near copies."""
+    x = np.packbits(rng.random((n, 128)) < rng.choice([0.28, 0.72], 128), axis=1).view(np.uint64)
+    for i in range(n // 2, n // 2 + n // 20):
+        x[i] = x[i - n // 2]
+        for b in rng.choice(128, rng.integers(1, 24), replace=False):
+            x[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return x
+
+
+def test_cells_hold_few_pairs_and_each_near_pair_once():
+    x = biased(np.random.default_rng(4), 8000)
+    w = x.view(np.uint32).reshape(-1, 4)
+    cells = simhash_trie.Cells(19)
+    i, j = np.arange(4000, 4400), np.arange(400)
+    held, mine, choices = 0, np.zeros(400, int), len(cells.one.choices)
+    for k, code in enumerate(cells.first(w)):
+        n = np.unique(code, return_counts=True)[1].astype(float)
+        held += (n * (n - 1) / 2).sum()
+        word, choice, none = (np.full(400, v) for v in (k // choices, k % choices, -1))
+        mine += (code[i] == code[j]) & cells.mine(w[i] ^ w[j], word, choice, none, none)
+    near = np.bitwise_count(x[i] ^ x[j]).sum(1) <= 19
+    assert near.sum() > 100 and (mine[near] == 1).all() and mine.max() == 1
+    assert held < 0.1 * len(x) * (len(x) - 1) / 2  # more by far in six blocks of a word, two of them equal
+
+
+def test_large_cells_equal_brute_force():
+    rng = np.random.default_rng(6)
+    x = biased(rng, 3000)
+    x[1500:1510] = x[1500]
+    top, size, wide = x.view(np.uint32).reshape(-1, 4)[:, 2].copy(), rng.integers(20, 60, len(x)), x[:, 1].copy()
+    cell = np.where(rng.random(len(x)) < 0.8, 0, rng.integers(1, 40, len(x)))  # one large, many small
+    part = np.where(cell == 0, rng.integers(0, 2, len(x)), -1)
+    for ratio in (0.0, 0.8):
+        pairs = [tuple(sorted(p)) for p in simhash_trie.trie_join(top, x, size, 4, 19, ratio, cell, part, wide, 9).tolist()]
+        want = set()
+        for i in range(len(x)):
+            ok = (np.bitwise_count(x[i] ^ x[:i]).sum(1) <= 19) & (np.bitwise_count(top[i] ^ top[:i]) <= 4) & (np.bitwise_count(wide[i] ^ wide[:i]) <= 9)
+            ok &= (cell[i] == cell[:i]) & ((part[i] < 0) | (part[i] != part[:i])) & (np.minimum(size[i], size[:i]) >= ratio * np.maximum(size[i], size[:i]))
+            want |= {(int(j), i) for j in np.flatnonzero(ok)}
+        assert len(pairs) == len(want) > 5 and set(pairs) == want
+
+
 def brute_groups(rows):
     f, n = simhash_trie.fingerprints(tk.words(pa.array([r.text for r in rows], pa.string())))
     root = list(range(len(rows)))

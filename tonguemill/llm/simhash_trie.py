@@ -9,14 +9,16 @@ The join traverses a binary trie of fingerprints against itself. A step takes pa
 nodes at one level, extends each to the pairs of their children, adds up differing bits, and
 drops a pair as soon as its budget is exceeded; a subtree with few fingerprints is a
 leaf, and pairs of leaves are settled by counting the bits that are left. All node pairs of a
-level are handled at once as arrays.
-
-To spread the trie over tasks, its levels are permuted. Among the four 32-bit words of
-the fingerprint, one differs in at most BUDGET // 4 bits; among :data:`BLOCKS` blocks of
-that word, all but so many then don't differ at all. So each fingerprint goes to a cell for each
-word and each choice of that many blocks, with their values (60 cells of 10 or 11 bits), and
-in its cell the trie is walked with the word's bits on top,
-where only BUDGET // 4 differences are allowed. Cells are counted where one might be hot. One of more than
+level are handled at once as arrays; leaves are compared by shifting one array along itself.
+
+To spread the trie over tasks, its levels are permuted. Of the two halves of the fingerprint
+one differs in at most BUDGET // 2 bits, and of that half's two 32-bit words one in at most BUDGET // 4.
+Masks of 16 or 17 bits cover such words (see :class:`Covering`): of any two, one mask at least has no
+bit that differs. So each fingerprint goes to a cell for each
+word and each mask, with the word's bits under it (124 cells of 16 or 17 bits), and
+in its cell the trie is walked with the word's bits on top, where only BUDGET // 4 differences
+are allowed, and BUDGET // 2 in its half. Fingerprints travel packed by groups of cells, as one binary
+value for each group and batch. Cells are counted where one might be hot. One of more than
 :data:`CELL` fingerprints is split by a block of its other three words (one of them differs in
 at most BUDGET // 3 bits, and one of its seven blocks not at all); what is still too large
 is cut into parts by its own count, and each pair of parts is a cell. No pair within the budget
@@ -51,7 +53,9 @@ from .tables import fresh, quoted, sent_if_small, session_of, table, written
 BUDGET, RATIO = 19, 0.0
 WORDS, BLOCKS = 4, 6
 CELL = 200_000
-LEAF = 32  # fingerprints of a node that are compared one by one
+LEAF = 256  # fingerprints of a node that are compared one by one
+COVER = 7  # differences up to which masks are used; their number doubles with each
+GROUP = 1 << 14  # rows of a group of cells, about
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -103,25 +107,33 @@ def _bits32(x: np.ndarray, n: int) -> np.ndarray:
     return ((x[:, None] >> np.arange(n - 1, -1, -1, dtype=x.dtype)) & 1).astype(np.uint8)
 
 
-def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget: int | np.ndarray, budget: int, ratio: float, cell: np.ndarray | None = None, part: np.ndarray | None = None) -> Iterator[np.ndarray]:
+def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget: int | np.ndarray, budget: int, ratio: float, cell: np.ndarray | None = None, part: np.ndarray | None = None, wide: np.ndarray | None = None, wide_budget: int | None = None) -> Iterator[np.ndarray]:
     """Arrays of pairs (i, j) whose ``top`` words (uint32) differ in at most ``top_budget`` bits (one number, or one by row and alike in a cell),
     their ``halves`` (n, 2 uint64) in at most ``budget``, and whose sizes are
     within ``ratio``. With ``cell``, only pairs within one cell; with ``part``,
-    only pairs of different parts where they are not negative. The tries of all
+    only pairs of different parts where they are not negative; with ``wide`` (uint64), only
+    pairs that differ in at most ``wide_budget`` of its bits. The tries of all
     cells and size classes are walked together."""
+    if wide is None:
+        wide, wide_budget = halves[:, 0], budget
     if ratio <= 0:
         klass = np.zeros(len(top), np.int64)
     else:
         klass = np.floor(np.log(np.maximum(size, 1)) / -np.log(ratio)).astype(np.int64) if ratio < 1 else size.astype(np.int64)
     cell = np.zeros(len(top), np.int64) if cell is None else cell
     part = np.full(len(top), -1, np.int64) if part is None else part
-    order = np.lexsort((top, klass, cell))
-    top, halves, size, klass, cell, part = top[order], halves[order], size[order], klass[order], cell[order], part[order]
-    top_budget = np.broadcast_to(top_budget, len(top))[order]
     if not len(top):
         return
+    order = np.argsort(cell) if ratio <= 0 else np.lexsort((top, klass, cell))
+    cell, klass = cell[order], klass[order]
     begin = np.flatnonzero(np.concatenate([[True], (klass[1:] != klass[:-1]) | (cell[1:] != cell[:-1])]))
     end = np.concatenate([begin[1:], [len(klass)]])
+    if ratio <= 0:  # only where the trie is walked must it be in order
+        at = np.flatnonzero(np.repeat(end - begin > LEAF, end - begin))
+        order[at] = order[at][np.lexsort((top[order[at]], cell[at]))]
+    top_budget = np.broadcast_to(top_budget, len(top))
+    row_top, row_budget = top, top_budget
+    top, wide, top_budget = top[order], wide[order], top_budget[order]
     next_to = np.flatnonzero((cell[begin[1:]] == cell[begin[:-1]]) & (klass[begin[1:]] == klass[begin[:-1]] + 1))
     roots = np.concatenate([np.stack([begin, end, begin, end], 1), np.stack([begin[next_to], end[next_to], begin[next_to + 1], end[next_to + 1]], 1)])
     roots = roots[(roots[:, 1] - roots[:, 0] > 1) | (roots[:, 0] != roots[:, 2])]
@@ -135,8 +147,16 @@ def trie_pairs(top: np.ndarray, halves: np.ndarray, size: np.ndarray, top_budget
         width = np.maximum(pair[:, 1] - pair[:, 0], pair[:, 3] - pair[:, 2])
         leaf = (width <= LEAF) | (level == 32)
         if leaf.any():
-            for found in _leaves(pair[leaf], top, halves, size, top_budget, budget, ratio, part):
-                yield order[found]
+            for i, j in _leaves(pair[leaf], wide, wide_budget):
+                i, j = order[i], order[j]
+                good = np.bitwise_count(row_top[i] ^ row_top[j]) <= row_budget[i]
+                i, j = i[good], j[good]
+                good = np.bitwise_count(halves[i, 0] ^ halves[j, 0]).astype(np.int64) + np.bitwise_count(halves[i, 1] ^ halves[j, 1]) <= budget
+                good &= (part[i] != part[j]) | (part[i] < 0)
+                if ratio > 0:
+                    good &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+                if good.any():
+                    yield np.stack([i[good], j[good]], 1)
             pair, diff = pair[~leaf], diff[~leaf]
         if not len(pair):
             continue
@@ -180,31 +200,79 @@ def _lower(top: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray)
         hi = np.where(open_ & ~less, mid, hi)
 
 
-def _leaves(pair, top, halves, size, top_budget, budget, ratio, part) -> Iterator[np.ndarray]:
-    """All pairs of the fingerprints of two nodes, settled by counting bits."""
-    na = pair[:, 1] - pair[:, 0]
-    row = np.repeat(pair[:, 0] - (np.cumsum(na) - na), na) + np.arange(int(na.sum()))  # the first of each pair
-    same = np.repeat(pair[:, 0] == pair[:, 2], na)
-    begin, end = np.where(same, row + 1, np.repeat(pair[:, 2], na)), np.repeat(pair[:, 3], na)
-    n = end - begin
+def _leaves(pair: np.ndarray, wide: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of rows (i, j) of two nodes that differ in at most ``budget`` bits of ``wide``."""
+    same = pair[:, 0] == pair[:, 2]
+    yield from _within(pair[same, 0], pair[same, 1], wide, budget)
+    pair = pair[~same]
+    na, nb = pair[:, 1] - pair[:, 0], pair[:, 3] - pair[:, 2]
+    many = na * nb >= 1 << 12
+    left, right, held = [], [], 0
+    for a0, a1, b0, b1 in pair[many].tolist():
+        step = max(1, (1 << 16) // (b1 - b0))
+        for a in range(a0, a1, step):
+            found = np.flatnonzero(np.bitwise_count(wide[a : min(a + step, a1), None] ^ wide[b0:b1]) <= budget)
+            if len(found):
+                i, j = np.divmod(found, b1 - b0)
+                left.append(i + a)
+                right.append(j + b0)
+                held += len(found)
+            if held > 1 << 14:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+    yield from _across(pair[~many], na[~many], nb[~many], wide, budget)
+
+
+def _within(begin: np.ndarray, end: np.ndarray, wide: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same within each of many ranges: the ranges side by side, the longest first, are held
+    against themselves shifted by 1, 2 and so on."""
+    order = np.argsort(begin - end)
+    begin, width = begin[order], (end - begin)[order]
+    total = np.cumsum(width)
+    start = 0
+    while start < len(width):  # about so many rows as a processor keeps at hand
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + (1 << 14), "right")))
+        w, last = width[start:stop], total[start:stop] - done
+        row = np.repeat(begin[start:stop] - (last - w), w) + np.arange(last[-1])
+        own = np.repeat(np.arange(len(w)), w)
+        x = wide[row]
+        differ, count, near = np.empty(len(x), np.uint64), np.empty(len(x), np.uint8), np.empty(len(x), bool)
+        longer = last[np.searchsorted(-w, -np.arange(1, w[0]), "left") - 1].tolist()  # rows of ranges longer than the shift
+        at, shifts = [], []
+        for shift, rows in enumerate(longer, 1):
+            n = rows - shift
+            np.bitwise_xor(x[shift:rows], x[:n], out=differ[:n])
+            np.bitwise_count(differ[:n], out=count[:n])
+            np.less_equal(count[:n], budget, out=near[:n])
+            found = np.flatnonzero(near[:n])
+            if len(found):
+                found = found[own[found] == own[found + shift]]
+                if len(found) > 1 << 12:
+                    yield row[found], row[found + shift]
+                else:
+                    at.append(found)
+                    shifts.append(shift)
+        if at:
+            i = np.concatenate(at)
+            yield row[i], row[i + np.repeat(shifts, [len(f) for f in at])]
+        start = stop
+
+
+def _across(pair: np.ndarray, na: np.ndarray, nb: np.ndarray, wide: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of many pairs of small nodes."""
+    row = np.repeat(pair[:, 0] - (np.cumsum(na) - na), na) + np.arange(int(na.sum()))
+    begin, n = np.repeat(pair[:, 2], na), np.repeat(nb, na)
     total = np.cumsum(n)
-    row, begin, most = row.astype(np.int32), begin.astype(np.int32), top_budget.astype(np.uint8)
-    even = bool((most == most[0]).all())
-    split = bool((part >= 0).any())
     start = 0
     while start < len(row):  # about half a million at once
         stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (1 << 19), "right")))
         m = n[start:stop]
-        j = np.repeat(begin[start:stop] - (np.cumsum(m) - m).astype(np.int32), m) + np.arange(int(m.sum()), dtype=np.int32)
-        near = np.flatnonzero(np.bitwise_count(np.repeat(top[row[start:stop]], m) ^ top[j]) <= (most[0] if even else np.repeat(most[row[start:stop]], m)))
-        j, i = j[near], row[start:stop][np.searchsorted(np.cumsum(m), near, "right")]
-        good = np.bitwise_count(halves[i, 0] ^ halves[j, 0]).astype(np.int64) + np.bitwise_count(halves[i, 1] ^ halves[j, 1]) <= budget
-        if split:
-            good &= (part[i] != part[j]) | (part[i] < 0)
-        if ratio > 0:
-            good &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-        if good.any():
-            yield np.stack([i[good], j[good]], 1)
+        j = np.repeat(begin[start:stop] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        near = np.flatnonzero(np.bitwise_count(np.repeat(wide[row[start:stop]], m) ^ wide[j]) <= budget)
+        yield row[start:stop][np.searchsorted(np.cumsum(m), near, "right")], j[near]
         start = stop
 
 
@@ -254,9 +322,32 @@ class Pigeonhole:
         return out
 
 
+class Covering:
+    """Masks of a 32-bit word. Each bit has a vector of ``most + 1`` bits that isn't zero, and each
+    such vector v a mask of the bits whose vectors have an odd product with v. ``most`` differences
+    leave a v that is orthogonal to the vectors of all, so its mask has none of them.
+    All masks have about half of the bits, where as many choices of blocks would have fewer."""
+
+    def __init__(self, most: int):
+        every = (1 << most + 1) - 1
+        vectors = [1 + i % every for i in range(32)]
+        self.most = most
+        self.choices = [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() & 1) for v in range(1, every + 1)]
+
+    def values(self, word: np.ndarray) -> Iterator[np.ndarray]:
+        for mask in self.choices:
+            yield (word & np.uint32(mask)).astype(np.int64)
+
+    def first(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -1)
+        for c in range(len(self.choices) - 1, -1, -1):
+            out[x & np.uint32(self.choices[c]) == 0] = c
+        return out
+
+
 @dataclass
 class Cells:
-    """The cells of fingerprints: a word, a choice of its blocks and their value; besides, a block
+    """The cells of fingerprints: a word, a mask of it and the value under it; besides, a block
     and its value in a second word where that is ``hot``; and two parts where that is hot, too.
     Codes in ``hot`` are sorted; ``parts`` go with ``hot2``."""
 
@@ -267,7 +358,8 @@ class Cells:
 
     def __post_init__(self):
         most, most2 = self.budget // WORDS, self.budget // (WORDS - 1)
-        self.one, self.two = Pigeonhole(max(BLOCKS, most + 1), most), Pigeonhole(most2 + 1, most2)
+        self.one = Covering(most) if most <= COVER else Pigeonhole(max(BLOCKS, most + 1), most)
+        self.two = Pigeonhole(most2 + 1, most2)
 
     @property
     def most(self) -> tuple[int, int]:
@@ -316,7 +408,8 @@ class Cells:
         """Whether pairs that differ by ``x`` (n, 4 uint32) share this cell first."""
         every = np.arange(len(x))
         own, choice = np.where(word1 < 0, word, word1), np.where(word1 < 0, block, block1)
-        low = np.bitwise_count(x) <= self.one.most
+        count = np.bitwise_count(x)
+        low = (count <= self.one.most) & np.repeat(count[:, ::2] + count[:, 1::2] <= self.budget // 2, 2, axis=1)
         good = (low.argmax(1) == own) & low[every, own] & (self.one.first(x[every, own]) == choice)
         inner = np.flatnonzero(good & (word1 >= 0))
         if len(inner):
@@ -356,30 +449,69 @@ def _fingerprint_columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return ids, np.stack([lo, hi], 1).copy().view(np.uint32).reshape(-1, 4), size
 
 
-def _hot(nodes: DataFrame, codes, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with more than ``limit`` fingerprints, sorted, and their counts. Each task
-    adds up its own first."""
+def _hot(nodes: DataFrame, codes, limit: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with more than ``limit`` fingerprints, sorted, and their counts; ``rows`` codes are
+    expected. Buckets of codes are counted first, and then the codes of buckets above the limit
+    only. Each task adds up its own first."""
+    buckets = 1 << max(12, min(22, (32 * rows // limit).bit_length()))
 
-    def run(batches):
+    def counted(batches, names):
         total: dict[int, int] = {}
         for b in batches:
             ids, words, _ = _fingerprint_columns(b)
-            for code in codes(words):
-                for c, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True))):
-                    total[c] = total.get(c, 0) + n
+            for c, n in zip(*(x.tolist() for x in np.unique(names(words), return_counts=True))):
+                total[c] = total.get(c, 0) + n
             if len(total) > 1 << 20:
                 yield pa.RecordBatch.from_pydict({"c": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
                 total = {}
         yield pa.RecordBatch.from_pydict({"c": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
 
-    found = nodes.select("id", "hi", "lo", "n").mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") > limit).orderBy("c").toArrow()
-    return found.column(0).to_numpy(), found.column(1).to_numpy()
+    def coarse(batches):
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            ids, words, _ = _fingerprint_columns(b)
+            for code in _joined(codes(words)):
+                total += np.bincount(_group(code, buckets), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["c", "n"])
+
+    def fine(batches):
+        def names(words):
+            return np.concatenate([np.zeros(0, np.int64), *(code[_among(_group(code, buckets), full)] for code in codes(words))])
+
+        return counted(batches, names)
+
+    def above(run):
+        found = nodes.select("id", "hi", "lo", "n").mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") > limit).orderBy("c").toArrow()
+        return found.column(0).to_numpy(), found.column(1).to_numpy()
+
+    full, n = above(coarse)
+    return above(fine) if len(full) else (full, n)
+
 
+def _joined(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same in fewer arrays, of a bounded size."""
+    held, rows = [], 0
+    for x in arrays:
+        held.append(x)
+        rows += len(x)
+        if rows > 1 << 21:
+            yield np.concatenate(held)
+            held, rows = [], 0
+    if rows:
+        yield np.concatenate(held)
 
-def cells_of(nodes: DataFrame, budget: int, limit: int) -> Cells:
+
+def _group(code: np.ndarray, groups: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (tk.mix64(code.view(np.uint64) * np.uint64(tk.BASE)) % np.uint64(groups)).astype(np.int64)
+
+
+def cells_of(nodes: DataFrame, budget: int, limit: int, count: int) -> Cells:
     cells = Cells(budget)
-    if nodes.count() > limit:  # else no cell can hold so many
-        cells.hot, _ = _hot(nodes, cells.first, limit)
+    rows = count * WORDS * len(cells.one.choices)
+    if count > limit:  # else no cell can hold so many
+        cells.hot, _ = _hot(nodes, cells.first, limit, rows)
     if len(cells.hot):
 
         def second(words):
@@ -388,63 +520,82 @@ def cells_of(nodes: DataFrame, budget: int, limit: int) -> Cells:
                 if len(at):
                     yield from cells.second(words[at], code[at])
 
-        cells.hot2, n = _hot(nodes, second, limit)
+        cells.hot2, n = _hot(nodes, second, limit, rows)
         cells.parts = -(-n // max(limit // 2, 1))
     return cells
 
 
-_CELL = "cell bigint, hi bigint, lo bigint, n int, kind bigint"
+_ROW = np.dtype([("cell", "<i8"), ("kind", "<i8"), ("hi", "<i8"), ("lo", "<i8"), ("n", "<i4")])
 
 
 def near_pairs(nodes: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:
     """Of the near-copy graph of ``nodes`` (id, hi, lo, n): edges (a, b, 0) that span its
     components, and rows (a, a, links) that add up to the links of each node."""
-    cells = cells_of(nodes, budget, cell)
+    count = nodes.count()
+    cells = cells_of(nodes, budget, cell, count)
+    groups = max(1, count * WORDS * len(cells.one.choices) // GROUP)
     sent = nodes.sparkSession.sparkContext.broadcast(cells)  # at most 8,192 and 2**20 codes or so
 
+    def packed(b, at, code, kind, size):
+        """A row for each group of cells: its number, and its fingerprints' rows."""
+        group = _group(code, groups)
+        order = np.argsort(group)
+        group, at = group[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        rows = np.empty(len(at), _ROW)
+        rows["cell"], rows["kind"], rows["n"] = code[order], kind[order], size[at]
+        rows["hi"], rows["lo"] = b.column(1).to_numpy()[at], b.column(2).to_numpy()[at]
+        cut = (np.append(first, len(rows)) * _ROW.itemsize).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut), pa.py_buffer(rows.view(np.uint8))])
+        return pa.RecordBatch.from_arrays([pa.array(group[first]), values], ["part", "rows"])
+
     def scatter(batches):
         for b in batches:
-            ids, words, _ = _fingerprint_columns(b)
-            held = [[], [], []]
+            ids, words, size = _fingerprint_columns(b)
+            waiting, held = [], 0
             for x in sent.value.all(words, ids):
-                for column, v in zip(held, x):
-                    column.append(v)
-            at, code, kind = (np.concatenate(c) for c in held)
-            for i in range(0, len(at), 1 << 17):
-                take = pa.array(at[i : i + (1 << 17)])
-                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + (1 << 17)]), *(b.column(c).take(take) for c in (1, 2, 3)), pa.array(kind[i : i + (1 << 17)])], ["cell", "hi", "lo", "n", "kind"])
+                waiting.append(x)
+                held += len(x[0])
+                if held > 1 << 21:
+                    yield packed(b, *(np.concatenate(c) for c in zip(*waiting)), size)
+                    waiting, held = [], 0
+            if held:
+                yield packed(b, *(np.concatenate(c) for c in zip(*waiting)), size)
 
     def join(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        data = b"".join(x for b in batches for x in b.column(1).to_pylist())
+        if not data:
             return
-        t = pa.Table.from_batches(parts)
-        cell, hi, lo, size, kind = (t.column(i).to_numpy() for i in range(5))
-        del t, parts
+        rows = np.frombuffer(data, _ROW)
+        cell, kind, size = (rows[c].copy() for c in ("cell", "kind", "n"))
+        halves = np.stack([rows["lo"], rows["hi"]], 1).view(np.uint64)
+        del rows, data
         cells = sent.value
-        halves = np.stack([lo, hi], 1).view(np.uint64)
         words = halves.view(np.uint32).reshape(-1, 4)
         word, block, word1, block1, part = _parse_kind(kind)
-        ids = name(halves, size)
-        top = words[np.arange(len(words)), word]
+        every = np.arange(len(words))
+        top, wide = words[every, word], halves[every, np.where(word1 < 0, word, word1) // 2]
         most = np.where(word1 < 0, *cells.most)
-        same, node = np.unique(ids, return_inverse=True)
-        links = np.zeros(len(same), np.int64)
+        links = np.zeros(len(words), np.int64)
         edges, waiting, held = np.zeros((0, 2), np.int64), [], 0
-        for pairs in trie_pairs(top, halves, size.astype(np.int64), most, budget, ratio, cell, part):
+        for pairs in trie_pairs(top, halves, size.astype(np.int64), most, budget, ratio, cell, part, wide, budget // 2):
             i, j = pairs[:, 0], pairs[:, 1]
             good = cells.mine(words[i] ^ words[j], word[i], block[i], word1[i], block1[i]) & (kind[i] << 24 == kind[j] << 24)
-            found = node[pairs[good]]
-            links += np.bincount(found.reshape(-1), minlength=len(same))
+            found = pairs[good]
+            np.add.at(links, found.reshape(-1), 1)
             waiting.append(found)
             held += len(found)
             if held > 1 << 20:
-                edges, waiting, held = spanning(np.concatenate([edges, *waiting]), len(same)), [], 0
-        edges = spanning(np.concatenate([edges, *waiting]), len(same))
-        own = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(same[np.concatenate([edges[:, 0], own])]), pa.array(same[np.concatenate([edges[:, 1], own])]), pa.array(np.concatenate([np.zeros(len(edges), np.int64), links[own]]))], ["a", "b", "links"])
-
-    return nodes.select("id", "hi", "lo", "n").mapInArrow(scatter, _CELL).repartition("cell").mapInArrow(join, "a bigint, b bigint, links bigint")
+                edges, waiting, held = spanning(np.concatenate([edges, *waiting]), len(words)), [], 0
+        edges = spanning(np.concatenate([edges, *waiting]), len(words))
+        own = np.flatnonzero(links)  # a fingerprint may have rows in several cells
+        same, node = np.unique(name(halves[own], size[own]), return_inverse=True)
+        edges = spanning(node[np.searchsorted(own, edges)], len(same))
+        total = np.zeros(len(same), np.int64)
+        np.add.at(total, node, links[own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([same[edges[:, 0]], same])), pa.array(np.concatenate([same[edges[:, 1]], same])), pa.array(np.concatenate([np.zeros(len(edges), np.int64), total]))], ["a", "b", "links"])
+
+    return nodes.select("id", "hi", "lo", "n").mapInArrow(scatter, "part bigint, rows binary").repartition("part").mapInArrow(join, "a bigint, b bigint, links bigint")
 
 
 def grouped(docs: DataFrame, budget: int = BUDGET, ratio: float = RATIO, cell: int = CELL) -> DataFrame:

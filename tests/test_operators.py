@@ -360,3 +360,28 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.lang: r.n for r in spark.table("langs_seen").collect()} == {"jpn": 2, "und": 1}
+
+
+# -- larger tables
+
+
+def test_keys_for_the_spread_travel_in_packed_pieces(monkeypatch):
+    monkeypatch.setattr(train, "HELD_KEYS", 5000)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(40)] + [None, "", "one"]
+    monkeypatch.setattr(dt, "BATCH_BYTES", 4000)
+    got = list(train.packed_keys(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert len(got) > 3 and all(sum(len(k) for k in b.column(1).to_pylist()) < 8 * 25_000 for b in got)
+    with np.errstate(over="ignore"):
+        keys = [np.frombuffer(k, np.uint64) for b in got for k in b.column(1).to_pylist()]
+        assert set((np.concatenate(keys) * train._BACK).tolist()) == set(train.features.text_keys(pa.array(texts))[0].tolist())
+    assert all((k >> np.uint64(52) == part).all() for b in got for part, k in zip(b.column(0).to_pylist(), (np.frombuffer(k, np.uint64) for k in b.column(1).to_pylist())))
+
+
+def test_spread_of_all_hashes_by_brute_force(spark):
+    rows = spark.createDataFrame([("kot pies kot",), ("dom kot",), (None,), ("",)], "text string").repartition(3)
+    keys = np.unique(train.features.text_keys(pa.array(["kot pies kot", "dom kot"]))[0])
+    for w, got in train.hash_spreads(rows, 6).items():
+        o = np.bincount(train.features.hashing.buckets(keys, 6, w)[0], minlength=64)
+        assert got == pytest.approx(((o**2).sum() / (o.sum() / 64) - o.sum()) / 63, rel=1e-12)
+    assert set(train.hash_spreads(rows.limit(0), 6).values()) == {0.0}

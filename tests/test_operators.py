@@ -385,3 +385,21 @@ def test_spread_of_all_hashes_by_brute_force(spark):
         o = np.bincount(train.features.hashing.buckets(keys, 6, w)[0], minlength=64)
         assert got == pytest.approx(((o**2).sum() / (o.sum() / 64) - o.sum()) / 63, rel=1e-12)
     assert set(train.hash_spreads(rows.limit(0), 6).values()) == {0.0}
+
+
+@pytest.mark.parametrize("options", [{"budget": 5}, {"budget": 40, "expose_top": 30}, {"budget": 30, "min_gain": 3, "min_df": 4}])
+def test_distributed_coverage_takes_what_one_process_takes(spark, monkeypatch, options):
+    rng = random.Random(5)
+    pool = []
+    for lang, n, letters in (("a", 400, "abcdefghijklmnop"), (None, 150, "xyz"), ("b", 1, "q")):
+        for i in range(n):
+            w = [rng.choice(letters) * rng.randint(1, 7) + rng.choice("st ").strip() for _ in range(rng.choice([0, 3, 6, 12, 45]))]
+            pool.append((lang, rng.randrange(-(1 << 62), 1 << 62), " ".join(w), w))
+    want = set()
+    for lang in {r[0] for r in pool}:
+        mine = sorted((r for r in pool if r[0] == lang), key=lambda r: r[1])
+        want |= {(lang, mine[i][1], mine[i][2], k) for k, i in enumerate(select.Coverage(**options).select([r[2] for r in mine], [r[3] for r in mine]))}
+    rows = spark.createDataFrame(pool, "lang string, row_id bigint, text string, lemmas array<string>").repartition(5)
+    plan = select.select_coverage(rows, **options)
+    assert {tuple(r) for r in plan.collect()} == want
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()  # no language is held by one task as a whole

@@ -403,3 +403,33 @@ def test_distributed_coverage_takes_what_one_process_takes(spark, monkeypatch, o
     plan = select.select_coverage(rows, **options)
     assert {tuple(r) for r in plan.collect()} == want
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()  # no language is held by one task as a whole
+
+
+def brute_runs(texts, k):
+    lists = [[w for w in (t or "").split(" ") if any(c.isalpha() for c in w)] for t in texts]
+    return [(i, " ".join(w[j : j + k])) for i, w in enumerate(lists) for j in range(len(w) - k + 1)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+@pytest.mark.parametrize("collide", [False, True])
+def test_runs_are_counted_by_ranges(monkeypatch, k, collide):
+    from collections import Counter
+
+    from tonguemill.functions import fragments
+
+    monkeypatch.setattr(fragments, "HELD_RUNS", 200)
+    monkeypatch.setattr(fragments, "PIECE_BYTES", 400)
+    if collide:
+        monkeypatch.setattr(fragments, "_hash", lambda words: np.zeros(len(words), np.uint64))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ein", "zwei", "3", "...", "été", "x" * 30, "б"]) for _ in range(rng.randint(0, 30))) for _ in range(120)] + [None, "", "a a a a"]
+    langs_ = [rng.choice(["de", None, "", "a\nb", "1"]) for _ in texts]
+    sent = list(fragments.packed_runs(k)(iter([pa.RecordBatch.from_arrays([pa.array(langs_, pa.string()), pa.array(texts)], ["lang", "text"])])))
+    assert len(sent) > 2  # never all at once
+    back = pa.Table.from_batches(sent).sort_by("part").combine_chunks().to_batches()
+    got = Counter()
+    for b in fragments._counted("lang")(iter(back)):
+        for lang, run, n in zip(*(b.column(c).to_pylist() for c in range(3))):
+            assert (lang, run) not in got
+            got[lang, run] = n
+    assert got == Counter((langs_[i], run) for i, run in brute_runs(texts, k))

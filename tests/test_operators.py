@@ -433,3 +433,27 @@ def test_runs_are_counted_by_ranges(monkeypatch, k, collide):
             assert (lang, run) not in got
             got[lang, run] = n
     assert got == Counter((langs_[i], run) for i, run in brute_runs(texts, k))
+
+
+def test_letters_are_counted_in_pieces(monkeypatch):
+    from tonguemill.functions import scripts
+
+    monkeypatch.setattr(scripts, "PIECE_BYTES", 64)
+    seen = []
+    piece = scripts._count_piece
+    monkeypatch.setattr(scripts, "_count_piece", lambda t, *a: (seen.append((len(t), t.nbytes)), piece(t, *a)))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aZé ßжЎ漢かアकع9😀ſ") for _ in range(n)) for n in (0, 1, 5, 40, 700, 3, 2000, 9)] + [None]
+    texts = pa.array([*texts, *texts[:4] * 20]).slice(1)
+    got = scripts.letter_counts(texts)
+    assert got.tolist() == [[scripts.count(t or "", s) for s in scripts._ORDER] for t in texts.to_pylist()]
+    assert len(seen) > 10
+    own = scripts.kinds("a-z", r"éß\x{0416}-\x{0436}")
+    assert scripts.letter_counts(texts, own, 2).tolist() == [[sum("a" <= c <= "z" for c in t or ""), sum(c in "éß" or "Ж" <= c <= "ж" for c in t or "")] for t in texts.to_pylist()]
+
+
+def test_letter_columns_keep_null(spark):
+    from tonguemill.functions import scripts
+
+    rows = spark.createDataFrame([("aé",), (None,), ("",)], "text string").select(scripts.letters("text", first="a", second="é").alias("n"), scripts.route_column("text").alias("r"))
+    assert [(r.n and tuple(r.n), tuple(r.r)) for r in rows.collect()] == [((1, 1), ("latin", None)), (None, ("unknown", None)), ((0, 0), ("unknown", None))]

@@ -457,3 +457,23 @@ def test_letter_columns_keep_null(spark):
 
     rows = spark.createDataFrame([("aé",), (None,), ("",)], "text string").select(scripts.letters("text", first="a", second="é").alias("n"), scripts.route_column("text").alias("r"))
     assert [(r.n and tuple(r.n), tuple(r.r)) for r in rows.collect()] == [((1, 1), ("latin", None)), (None, ("unknown", None)), ((0, 0), ("unknown", None))]
+
+
+def test_stratified_cap_reads_its_rows_once(spark):
+    rng = random.Random(6)
+    data = [(lang, split, "".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 40)))) for lang, n in (("a", 300), ("b", 5), (None, 90)) for split in ("train", "test") for _ in range(n)]
+    data = list(dict.fromkeys(data))
+    d = spark.createDataFrame(data, "lang string, split string, text string").repartition(4)
+    got = mix.cap_stratified(d, 20, 0.3, seed=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan ExistingRDD") == 1
+    import hashlib
+
+    key = lambda r: hashlib.md5("\x1f".join(["7", *[x for x in (r[0], r[2]) if x is not None]]).encode()).hexdigest()
+    want = set()
+    for g in {(r[0], r[1]) for r in data}:
+        mine = sorted((r for r in data if (r[0], r[1]) == g), key=key)
+        short, long = ([r for r in mine if (len(r[2]) <= 19) == s] for s in (True, False))
+        s = min(len(short), 6)
+        want |= set(mine) if len(mine) <= 20 else {*short[: s + max(0, 20 - s - len(long))], *long[: 20 - s]}
+    assert {tuple(r) for r in got.collect()} == want and got.columns == d.columns

@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import augment as au
 from ..functions import text as tx
@@ -63,18 +66,60 @@ def cap_stratified(rows: DataFrame, n: int, short_floor: float, seed: int = 42,
     """
     if short_floor <= 0:
         return cap(rows, n, seed, by)
-    short = F.length("text") <= SHORT
-    size = rows.groupBy(*by).agg(F.sum(short.cast("bigint")).alias("__s"), F.sum((~short).cast("bigint")).alias("__l"))
+    # one pass: tasks keep the first n of each group and count all, so what is ranked is small
+    key = [F.col(f"`{c}`").alias(f"__by{i}") for i, c in enumerate(by)]
+    r = rows.select(*key, (F.length("text") <= SHORT).alias("__short"), order_key(seed, "lang", "text").alias("__k"), F.col("lang").alias("__lang"), F.col("text").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    r = r.withColumn("__n", F.lit(None).cast("bigint"))
+    first = r.mapInArrow(_first_of_groups(len(by), n), T.StructType([T.StructField(f.name, f.dataType) for f in r.schema]))
+    same = [f"__by{i}" for i in range(len(by))]
+    total, strata = Window.partitionBy(*same), Window.partitionBy(*same, "__short")
+    first = first.withColumns({"__s": F.sum(F.when(F.col("__short"), F.col("__n"))).over(total), "__l": F.sum(F.when(~F.col("__short"), F.col("__n"))).over(total)}).fillna(0, ["__s", "__l"]).where("__k is not null")
+    first = first.withColumn("__r", F.row_number().over(strata.orderBy("__k", "__lang", "__text")))
     want = F.least(F.col("__s"), F.lit(int(n * short_floor)))
-    size = size.withColumn("__ws", want + F.greatest(F.lit(0), F.lit(n) - want - F.col("__l"))).withColumn("__wl", F.least(F.lit(n) - want, F.col("__l")))
-    r = rows.join(size, list(by)).withColumns({"__short": short, "__k": order_key(seed, "lang", "text")})
-    r = r.withColumn("__want", F.when(F.col("__short"), F.col("__ws")).otherwise(F.col("__wl")))
-    small, columns = F.col("__s") + F.col("__l") <= n, [F.col(f"`{c}`") for c in rows.columns]
-    large = r.where(~small)
-    for slice_ in ([F.substring("__k", 1, 2)], []):  # within hash slices first, as a hot group is too much for one task
-        w = Window.partitionBy(*by, "__short", *slice_).orderBy("__k", "lang", "text")
-        large = large.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("__want"))
-    return r.where(small).select(*columns).unionByName(large.select(*columns))
+    places = F.when(F.col("__short"), want + F.greatest(F.lit(0), F.lit(n) - want - F.col("__l"))).otherwise(F.least(F.lit(n) - want, F.col("__l")))
+    return first.where((F.col("__s") + F.col("__l") <= n) | (F.col("__r") <= places)).select("__row.*")
+
+
+def _first_of_groups(n_by: int, n: int):
+    """mapInArrow over (by..., short, k, lang, text, row, n): the ``n`` first rows of each group by k, lang and text, and
+    a row with the number of all of them, where k is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, list] = {}  # number of rows, the greatest key that counts, rows
+
+        def cut(g: list) -> None:
+            t = pa.Table.from_batches(g[2])
+            t = t.take(pc.sort_indices(t.select(["__k", "__lang", "__text"]), [(c, "ascending") for c in ("__k", "__lang", "__text")])[:n])
+            g[2] = t.combine_chunks().to_batches()
+            if t.num_rows == n:
+                g[1] = t["__k"][n - 1].as_py()
+
+        schema = None
+        for b in batches:
+            schema = b.schema
+            code, names = np.zeros(b.num_rows, np.int64), [()]
+            for i in range(n_by + 1):
+                d = b.column(i).dictionary_encode()
+                values = [*d.dictionary.to_pylist(), None]
+                code = code * len(values) + pc.fill_null(d.indices, len(values) - 1).to_numpy(zero_copy_only=False)
+                names = [(*x, v) for x in names for v in values]
+            for c in np.unique(code).tolist():
+                g = groups.setdefault(names[c], [0, None, []])
+                mine = b.filter(pa.array(code == c))
+                g[0] += mine.num_rows
+                if g[1] is not None:
+                    mine = mine.filter(pc.less_equal(mine.column("__k"), g[1]))
+                if mine.num_rows:
+                    g[2].append(mine)
+                    if sum(x.num_rows for x in g[2]) > 4 * n + 10_000:
+                        cut(g)
+        for name, g in groups.items():
+            cut(g)
+            yield from g[2]
+            columns = [pa.array([v], f.type) for v, f in zip(name, schema)] + [pa.nulls(1, f.type) for f in list(schema)[n_by + 1 : -1]] + [pa.array([g[0]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
 
 
 def balanced_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -477,3 +477,10 @@ def test_stratified_cap_reads_its_rows_once(spark):
         s = min(len(short), 6)
         want |= set(mine) if len(mine) <= 20 else {*short[: s + max(0, 20 - s - len(long))], *long[: 20 - s]}
     assert {tuple(r) for r in got.collect()} == want and got.columns == d.columns
+
+
+def test_ladder_tells_no_fragments_apart_by_a_shuffle(spark):
+    rows = spark.createDataFrame([("deu", "ein haus ein haus"), (None, "x y"), ("fra", None)], "lang string, text string")
+    out = metrics.ladder(rows, lambda d: d.withColumn("pred", F.when(F.col("text").contains("haus"), "deu")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before: one for all fragments as well
+    assert {(r.n, r.gold, r.ok, r.n_rows) for r in out.collect()} == {(0, "deu", 1, 1), (0, None, 1, 1), (0, "fra", 0, 1), (1, "deu", 2, 4), (1, None, 2, 2), (2, "deu", 3, 3), (2, None, 1, 1), (3, "deu", 2, 2)}

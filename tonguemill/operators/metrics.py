@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.fragments import in_pieces
 from ..functions.langs import CODES
 
 
@@ -55,14 +56,13 @@ def fragment_rows(rows: DataFrame, n: int, lang: str = "lang", text: str = "text
 def ladder(rows: DataFrame, predict, lang: str = "lang", text: str = "text") -> DataFrame:
     """Accuracy by granularity: words, pairs, triples (n = 1, 2, 3) and whole texts (0).
 
-    ``predict`` maps a DataFrame with ``text`` to one with ``pred`` as well. Each
-    distinct fragment is judged once.
+    ``predict`` maps a DataFrame with ``text`` to one with ``pred`` as well. Of some texts (2 MB), each
+    distinct fragment is judged once; over all texts nearly all are different, and telling
+    them apart would cost a shuffle of all.
     """
-    whole = rows.select(F.col(lang).alias("gold"), F.lit(0).alias("n"), F.col(text).alias("text"))
-    for n in (1, 2, 3):
-        whole = whole.unionByName(fragment_rows(rows, n, lang, text))
-    distinct = whole.groupBy("gold", "n", "text").agg(F.count(F.lit(1)).alias("c"))
-    p = predict(distinct)
+    rows = rows.select(F.col(lang).alias("gold"), F.col(text).alias("text"))
+    whole = rows.select("gold", F.lit(0).alias("n"), "text", F.lit(1).cast("bigint").alias("c"))
+    p = predict(whole.unionByName(rows.mapInArrow(in_pieces(), "gold string, n int, text string, c bigint")))
     return p.groupBy("n", "gold").agg(F.sum(F.when(F.col("gold").eqNullSafe(F.col("pred")), F.col("c")).otherwise(0)).alias("ok"), F.sum("c").alias("n_rows")).withColumn("accuracy", F.col("ok") / F.col("n_rows"))
 
 

@@ -484,3 +484,9 @@ def test_ladder_tells_no_fragments_apart_by_a_shuffle(spark):
     out = metrics.ladder(rows, lambda d: d.withColumn("pred", F.when(F.col("text").contains("haus"), "deu")))
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before: one for all fragments as well
     assert {(r.n, r.gold, r.ok, r.n_rows) for r in out.collect()} == {(0, "deu", 1, 1), (0, None, 1, 1), (0, "fra", 0, 1), (1, "deu", 2, 4), (1, None, 2, 2), (2, "deu", 3, 3), (2, None, 1, 1), (3, "deu", 2, 2)}
+
+
+def test_hygiene_verdicts_come_of_one_pass(spark, sf):
+    from tonguemill.plans.queries import QUERIES
+
+    assert QUERIES["hygiene"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

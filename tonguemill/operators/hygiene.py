@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scripts
 from ..functions import text as tx
 from ..functions.langs import CODES, LABEL_ALIASES, twin_protected
 
@@ -13,7 +14,7 @@ CYRILLIC, LATIN = CODES[:21], CODES[21:26]
 
 def latin_candidate(lang: Column, text: Column) -> Column:
     """A row of a Cyrillic language with clearly more ASCII letters, at least 4."""
-    n = tx.script_counts(text)
+    n = scripts.letters(F.when(lang.isin(CYRILLIC), text), latin="A-Za-z", cyrillic=r"\x{0400}-\x{04FF}")
     return lang.isin(CYRILLIC) & (n["latin"] >= F.greatest(F.lit(4), n["cyrillic"] + 1))
 
 
@@ -25,12 +26,17 @@ def drop_rule(lang: Column, pred: Column, conf: Column, latin_verdict: Column, m
     return F.when(sure, ~twin_protected(lang, pred)).otherwise(F.coalesce(latin_verdict, F.lit(False)))
 
 
-def clean(rows: DataFrame, min_conf: float = 0.995, only_langs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of rows (lang, text, pred, conf, latin_top, latin_p)."""
+def marked(rows: DataFrame, min_conf: float = 0.995, only_langs: list[str] | None = None) -> DataFrame:
+    """Rows (lang, text, pred, conf, latin_top, latin_p) with ``dropped``, in one pass."""
     scope = F.col("lang").isin(only_langs) if only_langs else F.lit(True)
     latin = scope & latin_candidate(F.col("lang"), F.col("text")) & F.col("latin_top").isin("en", "es", "fr", "pt", "de") & (F.col("latin_p") >= 0.9)
-    marked = rows.withColumn("__drop", drop_rule(F.col("lang"), F.col("pred"), F.col("conf"), latin, min_conf, scope))
-    return marked.where(~F.col("__drop")).drop("__drop"), marked.where("__drop").drop("__drop")
+    return rows.withColumn("dropped", drop_rule(F.col("lang"), F.col("pred"), F.col("conf"), latin, min_conf, scope))
+
+
+def clean(rows: DataFrame, min_conf: float = 0.995, only_langs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) of rows (lang, text, pred, conf, latin_top, latin_p)."""
+    both = marked(rows, min_conf, only_langs)
+    return both.where(~F.col("dropped")).drop("dropped"), both.where("dropped").drop("dropped")
 
 
 def hard_negatives(rows: DataFrame, min_conf: float = 0.98, per_source: int = 4000) -> DataFrame:

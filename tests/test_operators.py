@@ -490,3 +490,16 @@ def test_hygiene_verdicts_come_of_one_pass(spark, sf):
     from tonguemill.plans.queries import QUERIES
 
     assert QUERIES["hygiene"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_token_numbers_are_the_native_ones(spark):
+    texts = ["a bc def #x # @me you@x.de www.a.b 12 3.4 İstanbul ΟΔΟΣ x.y x\x1cy", None, "", "   ", "#", "é" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.token_count("text").alias("a"), dt.token_numbers("text").alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+
+
+@pytest.mark.parametrize("name", ["script_counts", "token_count", "scripted_routes", "scripted_letters"])
+def test_letters_and_tokens_use_no_regular_expressions(spark, sf, name):
+    from tonguemill.plans.queries import QUERIES
+
+    assert "regexp" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().lower()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import line_sentences
-from ..operators.detect import detect
+from ..operators.detect import _slices, detect
 from ..operators.metrics import histogram
 from ..operators.model import Model
 
@@ -20,7 +20,7 @@ def sentence_rows(docs: DataFrame, key: str, min_chars: int = 20) -> DataFrame:
     @F.arrow_udf("array<string>")
     def split(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pa.array([line_sentences(t, min_chars) for t in texts.to_pylist()], pa.list_(pa.string()))
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.string())), *[pa.array([line_sentences(t, min_chars) for t in piece.to_pylist()], pa.list_(pa.string())) for piece in _slices(texts)]])
 
     s = docs.select(key, F.posexplode(split(F.col("text"))).alias("sentence_no", "text"))
     return s.where((F.length("text") >= min_chars) & F.col("text").rlike(r"\p{IsAlphabetic}"))

@@ -435,28 +435,11 @@ def test_runs_are_counted_by_ranges(monkeypatch, k, collide):
     assert got == Counter((langs_[i], run) for i, run in brute_runs(texts, k))
 
 
-def test_letters_are_counted_in_pieces(monkeypatch):
-    from tonguemill.functions import scripts
-
-    monkeypatch.setattr(scripts, "PIECE_BYTES", 64)
-    seen = []
-    piece = scripts._count_piece
-    monkeypatch.setattr(scripts, "_count_piece", lambda t, *a: (seen.append((len(t), t.nbytes)), piece(t, *a)))
-    rng = random.Random(8)
-    texts = ["".join(rng.choice("aZé ßжЎ漢かアकع9😀ſ") for _ in range(n)) for n in (0, 1, 5, 40, 700, 3, 2000, 9)] + [None]
-    texts = pa.array([*texts, *texts[:4] * 20]).slice(1)
-    got = scripts.letter_counts(texts)
-    assert got.tolist() == [[scripts.count(t or "", s) for s in scripts._ORDER] for t in texts.to_pylist()]
-    assert len(seen) > 10
-    own = scripts.kinds("a-z", r"éß\x{0416}-\x{0436}")
-    assert scripts.letter_counts(texts, own, 2).tolist() == [[sum("a" <= c <= "z" for c in t or ""), sum(c in "éß" or "Ж" <= c <= "ж" for c in t or "")] for t in texts.to_pylist()]
-
-
-def test_letter_columns_keep_null(spark):
-    from tonguemill.functions import scripts
-
-    rows = spark.createDataFrame([("aé",), (None,), ("",)], "text string").select(scripts.letters("text", first="a", second="é").alias("n"), scripts.route_column("text").alias("r"))
-    assert [(r.n and tuple(r.n), tuple(r.r)) for r in rows.collect()] == [((1, 1), ("latin", None)), (None, ("unknown", None)), ((0, 0), ("unknown", None))]
+def test_ladder_tells_no_fragments_apart_by_a_shuffle(spark):
+    rows = spark.createDataFrame([("deu", "ein haus ein haus"), (None, "x y"), ("fra", None)], "lang string, text string")
+    out = metrics.ladder(rows, lambda d: d.withColumn("pred", F.when(F.col("text").contains("haus"), "deu")))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before: one for all fragments as well
+    assert {(r.n, r.gold, r.ok, r.n_rows) for r in out.collect()} == {(0, "deu", 1, 1), (0, None, 1, 1), (0, "fra", 0, 1), (1, "deu", 2, 4), (1, None, 2, 2), (2, "deu", 3, 3), (2, None, 1, 1), (3, "deu", 2, 2)}
 
 
 def test_stratified_cap_reads_its_rows_once(spark):
@@ -479,17 +462,28 @@ def test_stratified_cap_reads_its_rows_once(spark):
     assert {tuple(r) for r in got.collect()} == want and got.columns == d.columns
 
 
-def test_ladder_tells_no_fragments_apart_by_a_shuffle(spark):
-    rows = spark.createDataFrame([("deu", "ein haus ein haus"), (None, "x y"), ("fra", None)], "lang string, text string")
-    out = metrics.ladder(rows, lambda d: d.withColumn("pred", F.when(F.col("text").contains("haus"), "deu")))
-    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before: one for all fragments as well
-    assert {(r.n, r.gold, r.ok, r.n_rows) for r in out.collect()} == {(0, "deu", 1, 1), (0, None, 1, 1), (0, "fra", 0, 1), (1, "deu", 2, 4), (1, None, 2, 2), (2, "deu", 3, 3), (2, None, 1, 1), (3, "deu", 2, 2)}
+def test_letters_are_counted_in_pieces(monkeypatch):
+    from tonguemill.functions import scripts
 
+    monkeypatch.setattr(scripts, "PIECE_BYTES", 64)
+    seen = []
+    piece = scripts._count_piece
+    monkeypatch.setattr(scripts, "_count_piece", lambda t, *a: (seen.append((len(t), t.nbytes)), piece(t, *a)))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aZé ßжЎ漢かアकع9😀ſ") for _ in range(n)) for n in (0, 1, 5, 40, 700, 3, 2000, 9)] + [None]
+    texts = pa.array([*texts, *texts[:4] * 20]).slice(1)
+    got = scripts.letter_counts(texts)
+    assert got.tolist() == [[scripts.count(t or "", s) for s in scripts._ORDER] for t in texts.to_pylist()]
+    assert len(seen) > 10
+    own = scripts.kinds("a-z", r"éß\x{0416}-\x{0436}")
+    assert scripts.letter_counts(texts, own, 2).tolist() == [[sum("a" <= c <= "z" for c in t or ""), sum(c in "éß" or "Ж" <= c <= "ж" for c in t or "")] for t in texts.to_pylist()]
 
-def test_hygiene_verdicts_come_of_one_pass(spark, sf):
-    from tonguemill.plans.queries import QUERIES
 
-    assert QUERIES["hygiene"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+def test_letter_columns_keep_null(spark):
+    from tonguemill.functions import scripts
+
+    rows = spark.createDataFrame([("aé",), (None,), ("",)], "text string").select(scripts.letters("text", first="a", second="é").alias("n"), scripts.route_column("text").alias("r"))
+    assert [(r.n and tuple(r.n), tuple(r.r)) for r in rows.collect()] == [((1, 1), ("latin", None)), (None, ("unknown", None)), ((0, 0), ("unknown", None))]
 
 
 def test_token_numbers_are_the_native_ones(spark):
@@ -498,8 +492,32 @@ def test_token_numbers_are_the_native_ones(spark):
     assert all(r.a == r.b for r in rows.collect())
 
 
+def test_hygiene_verdicts_come_of_one_pass(spark, sf):
+    from tonguemill.plans.queries import QUERIES
+
+    assert QUERIES["hygiene"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 @pytest.mark.parametrize("name", ["script_counts", "token_count", "scripted_routes", "scripted_letters"])
 def test_letters_and_tokens_use_no_regular_expressions(spark, sf, name):
     from tonguemill.plans.queries import QUERIES
 
     assert "regexp" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_detection_looks_at_a_piece_at_a_time(monkeypatch):
+    m = noisy()
+    rng = random.Random(9)
+    texts = pa.array([" ".join("".join(rng.choice("abcdeжзи") for _ in range(rng.randint(1, 8))) for _ in range(20)) for _ in range(60)] + [None, "", "漢字"])
+    want = dt._detected(texts, m, dt.Words(m, m.doubled()), False)
+    monkeypatch.setattr(dt, "BATCH_BYTES", 600)
+    monkeypatch.setattr(dt, "WORDS_AT_ONCE", 7)
+    sizes, routes, table = [], dt.scripts.routes, dt.features.word_table
+    monkeypatch.setattr(dt.scripts, "routes", lambda t: (sizes.append(len(t)), routes(t))[1])
+    monkeypatch.setattr(dt.features, "word_table", lambda w, *a: (sizes.append(len(w)), table(w, *a))[1])
+    known = dt.Words(m, m.doubled())
+    got = dt._detected(texts, m, known, False)
+    assert max(sizes) < 20 and all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(got, want))
+    monkeypatch.setattr(dt, "KNOWN", 50)
+    few = dt.Words(m, m.doubled())
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(dt._detected(texts, m, few, False), want)) and few.sums.shape[1] < 2000
